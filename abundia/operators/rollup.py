@@ -211,8 +211,7 @@ def label_order(parts: Sequence[DataFrame], column: str, extra: Sequence[str] =
     for part in parts[1:]:
         labels = labels.unionByName(part.select(column))
     if extra:
-        spark = labels.sparkSession
-        labels = labels.unionByName(spark.createDataFrame([(e,) for e in extra], f"`{column}` string"))
+        labels = labels.unionByName(labels.sparkSession.createDataFrame([(e,) for e in extra], f"`{column}` string"))
     return dense_positions(labels.distinct(), [F.col(column)])
 
 

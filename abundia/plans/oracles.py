@@ -71,6 +71,39 @@ CTES: dict[str, str] = {
           FROM supplier GROUP BY 1) s ON s.s_nationkey = n_nationkey
         LEFT JOIN (SELECT c_nationkey, avg(o_totalprice) AS o_price FROM orders JOIN customer ON o_custkey = c_custkey
           GROUP BY 1) o ON o.c_nationkey = n_nationkey""",
+    "grid": """SELECT p_partkey AS entity, n_nationkey AS site, coalesce(abundance, 0) AS a FROM part CROSS JOIN nation
+        LEFT JOIN cut ON entity = p_partkey AND site = n_nationkey""",
+    "srank": """SELECT entity, site, rank() OVER (PARTITION BY site ORDER BY a)
+        + (count(*) OVER (PARTITION BY site, a) - 1) / CAST(2 AS DOUBLE) AS r FROM grid""",
+    "srho": """SELECT x.site AS site_a, y.site AS site_b, corr(x.r, y.r) AS rho FROM srank x JOIN srank y USING (entity)
+        GROUP BY 1, 2""",
+    "erank": """SELECT entity, site, rank() OVER (PARTITION BY entity ORDER BY a)
+        + (count(*) OVER (PARTITION BY entity, a) - 1) / CAST(2 AS DOUBLE) AS r FROM grid
+        WHERE entity IN (SELECT entity FROM grid GROUP BY 1 HAVING min(a) < max(a))""",
+    "covf": "SELECT site, "
+    + ", ".join(f"coalesce({c}, (SELECT avg({c}) FROM cov)) AS {c}" for c in ("c_bal", "n_cust", "n_rich", "s_bal", "n_supp", "o_price"))
+    + " FROM cov",
+    "pp": "SELECT site, entity, abundance / (SELECT sum(abundance) FROM cut) AS p FROM cut",
+    "rw": "SELECT site, sum(p) AS r FROM pp GROUP BY 1",
+    "cw": "SELECT entity, sum(p) AS c FROM pp GROUP BY 1",
+    "xw": """SELECT site, r, s_bal - sum(r * s_bal) OVER () AS x1, o_price - sum(r * o_price) OVER () AS x2,
+        n_cust - sum(r * n_cust) OVER () AS x3 FROM rw JOIN covf USING (site)""",
+    "gg": """SELECT sum(r * x1 * x1) AS g11, sum(r * x1 * x2) AS g12, sum(r * x2 * x2) AS g22, sum(r * x1 * x3) AS g13,
+        sum(r * x2 * x3) AS g23, sum(r * x3 * x3) AS g33 FROM xw""",
+    "hh": """SELECT entity, sum(p * x1) / sqrt(any_value(c)) AS h1, sum(p * x2) / sqrt(any_value(c)) AS h2
+        FROM pp JOIN xw USING (site) JOIN cw USING (entity) GROUP BY 1""",
+    "inert": "SELECT sum(p * p / (r * c)) - 1 AS total FROM pp JOIN rw USING (site) JOIN cw USING (entity)",
+    "kern": """SELECT a.site AS i, b.site AS k, sum(a.p * b.p / c) AS v FROM pp a JOIN pp b USING (entity) JOIN cw USING (entity)
+        GROUP BY 1, 2""",
+    "perms": """SELECT perm, s.site, t.s_bal AS x FROM (SELECT perm, site, row_number() OVER (PARTITION BY perm
+        ORDER BY CASE WHEN perm = 0 THEN lpad(CAST(site AS VARCHAR), 9, '0') ELSE md5('7|' || perm || '|' || site) END) AS pos
+        FROM rw CROSS JOIN (SELECT unnest(range(0, 100)) AS perm)) o
+        JOIN (SELECT site, row_number() OVER (ORDER BY site) AS pos FROM rw) s USING (pos) JOIN covf t ON t.site = o.site""",
+    "permx": "SELECT perm, site, r, x - sum(r * x) OVER (PARTITION BY perm) AS x FROM perms JOIN rw USING (site)",
+    "permf": """SELECT perm, fitted / ((total - fitted) / ((SELECT count(*) FROM rw) - 2)) AS f FROM (
+        SELECT a.perm, sum(a.x * b.x * v) / any_value(g) AS fitted FROM permx a JOIN permx b USING (perm)
+        JOIN kern ON i = a.site AND k = b.site JOIN (SELECT perm, sum(r * x * x) AS g FROM permx GROUP BY 1) q USING (perm)
+        GROUP BY 1) CROSS JOIN inert""",
 }
 
 
@@ -282,4 +315,60 @@ _BODIES: dict[str, str] = {
     + " FROM cov",
 }
 
+_COV = ["c_bal", "n_cust", "n_rich", "s_bal", "n_supp", "o_price"]
+_VIF = """CROSS JOIN (SELECT g12 / sqrt(g11 * g22) AS r12, g13 / sqrt(g11 * g33) AS r13, g23 / sqrt(g22 * g33) AS r23 FROM gg)"""
+_DET = "(1 + 2 * r12 * r13 * r23 - r12 * r12 - r13 * r13 - r23 * r23)"
+_HOLED = """SELECT c_custkey, CASE WHEN md5(CAST(c_custkey AS VARCHAR))[1] <> '0' THEN c_acctbal END AS c_acctbal,
+    CASE WHEN md5(CAST(c_custkey AS VARCHAR))[1] <> '1' THEN c_mktsegment END AS c_mktsegment, price, n FROM customer
+    LEFT JOIN (SELECT o_custkey, avg(o_totalprice) AS price, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1)
+    ON o_custkey = c_custkey"""
+
+_BODIES |= {
+    "spearman_sites": f"SELECT site_a, site_b, {r6('rho', 'rho')} FROM srho WHERE site_a < site_b",
+    "profile_distance": f"""SELECT a.site_a AS site_a, b.site_a AS site_b, {r6("sqrt(sum((a.rho - b.rho) * (a.rho - b.rho)))", "distance")}
+        FROM srho a JOIN srho b ON a.site_b = b.site_b AND a.site_a < b.site_a GROUP BY 1, 2""",
+    "spearman_entities": f"""SELECT entity_a, entity_b, {r6("rho", "rho")} FROM (SELECT x.entity AS entity_a, y.entity AS entity_b,
+        corr(x.r, y.r) AS rho FROM erank x JOIN erank y ON x.site = y.site AND x.entity < y.entity GROUP BY 1, 2)
+        WHERE abs(round(rho, 9)) >= 0.7""",
+    "hellinger": f"SELECT entity, site, {r6('sqrt(abundance / sum(abundance) OVER (PARTITION BY site))', 'abundance')} FROM cut",
+    "zscore": " UNION ALL ".join(
+        f"SELECT site, '{c}' AS covariate, {r6(f'({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()', 'z')} FROM cov" for c in _COV
+    ),
+    "covariate_corr": " UNION ALL ".join(
+        f"SELECT '{a}' AS x, '{b}' AS y, CAST(regr_count({a}, {b}) AS BIGINT) AS n, {r6(f'corr({a}, {b})', 'r')} FROM cov"
+        for i, a in enumerate(_COV)
+        for b in _COV[i + 1 :]
+    ),
+    "impute_baseline": f"""WITH h AS ({_HOLED}) SELECT c_custkey, coalesce(c_mktsegment, (SELECT c_mktsegment FROM h
+        WHERE c_mktsegment IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS c_mktsegment,
+        {r6("coalesce(c_acctbal, (SELECT avg(c_acctbal) FROM h))", "c_acctbal")},
+        {r6("coalesce(price, (SELECT avg(price) FROM h))", "price")}, {r6("coalesce(n, (SELECT avg(n) FROM h))", "n")} FROM h""",
+    "cca_one": f"""SELECT {r6("total", "total")}, {r6("s / g11", "constrained")}, {r6("s / g11 / total", "explained")}
+        FROM inert CROSS JOIN gg CROSS JOIN (SELECT sum(h1 * h1) AS s FROM hh)""",
+    "cca_eigen": f"""SELECT axis, {r6("v", "eigenvalue")}, {r6("v / tr", "share")}, {r6("v / total", "share_of_total")},
+        {r6("CASE axis WHEN 'CCA1' THEN v / tr ELSE 1 END", "cumulative")} FROM (
+        SELECT axis, tr, (tr + d * sqrt(tr * tr - 4 * det)) / 2 AS v FROM (
+        SELECT (g22 * s11 - 2 * g12 * s12 + g11 * s22) / (g11 * g22 - g12 * g12) AS tr,
+        (s11 * s22 - s12 * s12) / (g11 * g22 - g12 * g12) AS det FROM gg
+        CROSS JOIN (SELECT sum(h1 * h1) AS s11, sum(h1 * h2) AS s12, sum(h2 * h2) AS s22 FROM hh))
+        CROSS JOIN (VALUES ('CCA1', 1), ('CCA2', -1)) t(axis, d)) CROSS JOIN inert""",
+    "vif_two": f"""SELECT covariate, {r6("1 / (1 - g12 * g12 / (g11 * g22))", "vif")} FROM gg
+        CROSS JOIN (VALUES ('s_bal'), ('o_price')) t(covariate)""",
+    "vif": f"""SELECT covariate, {r6(f"(1 - CASE covariate WHEN 's_bal' THEN r23 * r23 WHEN 'o_price' THEN r13 * r13 ELSE r12 * r12 END) / {_DET}", "vif")}
+        FROM (VALUES ('s_bal'), ('o_price'), ('n_cust')) t(covariate) {_VIF}""",
+    "permutation_f": f"""SELECT 'model' AS term, {r6("o.f", "f")}, count(*) AS reached,
+        {r6("(1 + count(*)) / CAST(100 AS DOUBLE)", "p")} FROM (SELECT f FROM permf WHERE perm = 0) o
+        JOIN permf ON permf.perm > 0 AND permf.f >= o.f - 1e-9 GROUP BY o.f""",
+    "clade_label": """SELECT 'R' || r_regionkey AS node, lower(r_name) AS clade FROM region
+        UNION ALL SELECT 'N' || n_nationkey, lower(r_name) FROM nation JOIN region ON n_regionkey = r_regionkey
+        UNION ALL SELECT 'C' || c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'building' ELSE lower(r_name) END
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+        UNION ALL SELECT 'O' || o_orderkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'building' ELSE lower(r_name) END
+        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+        JOIN region ON n_regionkey = r_regionkey""",
+    "tip_labels": """SELECT node, short || CASE WHEN n > 0 THEN '.' || n ELSE '' END AS tip_label, length FROM (
+        SELECT p_partkey AS node, p_name AS short, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS n,
+        CASE WHEN p_size = 1 THEN 1e-16 ELSE p_size / CAST(10 AS DOUBLE) END AS length FROM part)""",
+}
+
 ORACLES: dict[str, str] = {name: sql(body) for name, body in _BODIES.items()}

@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 
 from abundia.functions import numeric as N
 from abundia.functions import text as X
+from abundia.operators import correlate as C
+from abundia.operators import impute as I
+from abundia.operators import linkage as L
 from abundia.operators import markers as M
 from abundia.operators import ordering as O
+from abundia.operators import ordination as Z
+from abundia.operators import permute as P
 from abundia.operators import relational as R
 from abundia.operators import reshape as S
 from abundia.operators import rollup as U
 from abundia.operators import traits as T
+from abundia.operators import transform as D
+from abundia.operators import trees as G
 from abundia.plans import bindings as B
+from abundia.sources.scratch import saved, small_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -210,7 +218,7 @@ TAXON_RULES = [
 
 @query
 def taxon_mask(spark: SparkSession, sf: str) -> DataFrame:
-    rules = spark.createDataFrame(TAXON_RULES, "rank string, taxon string, trait string, value int")
+    rules = small_table(spark, TAXON_RULES, "rank string, taxon string, trait string, value int")
     return R.taxon_mask(B.redox(spark, sf), B.entity_dim(spark, sf), rules)
 
 
@@ -555,3 +563,234 @@ def ratio_features(spark: SparkSession, sf: str) -> DataFrame:
 
     ratios = {k: N.finite_or_zero(N.ratio(total(a), total(b))) for k, (a, b) in RATIOS.items()}
     return B.covariates(spark, sf).select("site", *[r6(k, v) for k, v in ratios.items()])
+
+
+# ---- ranks, profiles, clustering --------------------------------------------------------
+
+
+def _n_entities(spark: SparkSession, sf: str) -> int:
+    return B.table(spark, sf, "part").count()
+
+
+@query
+def spearman_sites(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = C.spearman_sites(B.cut_abundance(spark, sf), B.sites(spark, sf), _n_entities(spark, sf))
+    return pairs.select("site_a", "site_b", r6("rho"))
+
+
+@query
+def profile_distance(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = C.profile_distance(B.cut_abundance(spark, sf), B.sites(spark, sf), _n_entities(spark, sf))
+    return pairs.select("site_a", "site_b", r6("distance"))
+
+
+@query
+def spearman_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Strongly correlated entity pairs over all entities."""
+    profiles = C.entity_profiles(B.cut_abundance(spark, sf), B.sites(spark, sf))
+    return C.spearman_entities(profiles, 0.7).select("entity_a", "entity_b", r6("rho"))
+
+
+def _entity_points(spark: SparkSession, sf: str) -> DataFrame:
+    sites = B.sites(spark, sf)
+    return saved(C.entity_points(C.entity_profiles(B.cut_abundance(spark, sf), sites), len(sites)))
+
+
+def _site_points(spark: SparkSession, sf: str) -> DataFrame:
+    return C.site_points(B.cut_abundance(spark, sf), B.sites(spark, sf), _n_entities(spark, sf))
+
+
+@query
+def linkage_merges(spark: SparkSession, sf: str) -> DataFrame:
+    """The full merge tree of the entities by their correlation profiles."""
+    return L.linkage_merges(_entity_points(spark, sf)).select("left", "right", r6("height"), "size")
+
+
+@query
+def leaf_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Left-to-right order of the sites in their merge tree."""
+    points = _site_points(spark, sf)
+    return L.leaf_order(L.linkage_merges(points), points)
+
+
+CUT_HEIGHT = 10.0
+
+
+@query
+def cut_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Entity clusters at a height; only the merges up to it are made."""
+    points = _entity_points(spark, sf)
+    return L.cut_tree(L.linkage_merges(points, CUT_HEIGHT), points, CUT_HEIGHT)
+
+
+@query
+def community_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Site clusters of the tree named as communities: the two first-numbered are regional."""
+    points = _site_points(spark, sf)
+    merges = L.linkage_merges(points)
+    clusters = L.cut_tree(merges, points, 1.5)
+    names = small_table(spark, [(1, "regional"), (2, "regional")], "cluster int, community string")
+    return clusters.join(names, "cluster", "left").select(
+        "id", "cluster", F.coalesce("community", F.lit("prevalent")).alias("community")
+    )
+
+
+# ---- transforms, covariates, imputation -------------------------------------------------
+
+
+@query
+def hellinger(spark: SparkSession, sf: str) -> DataFrame:
+    return D.hellinger(B.cut_abundance(spark, sf)).select("entity", "site", r6("abundance"))
+
+
+@query
+def zscore(spark: SparkSession, sf: str) -> DataFrame:
+    long = D.zscore(B.covariates(spark, sf), "site", B.COVARIATES)
+    return long.select("site", "covariate", r6("z"))
+
+
+@query
+def covariate_corr(spark: SparkSession, sf: str) -> DataFrame:
+    return C.covariate_corr(B.covariates(spark, sf), B.COVARIATES).select("x", "y", "n", r6("r"))
+
+
+def _holes(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers with cells emptied by the first digit of an md5, text and numbers alike."""
+    digit = F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 1)
+    volume = (
+        B.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("price"), F.count("*").cast("double").alias("n"))
+    )
+    rows = B.table(spark, sf, "customer").join(volume, "c_custkey", "left")
+    return rows.select(
+        "c_custkey",
+        F.when(digit != "0", F.col("c_acctbal")).alias("c_acctbal"),
+        F.when(digit != "1", F.col("c_mktsegment")).alias("c_mktsegment"),
+        "price",
+        "n",
+    )
+
+
+_HOLED = ["c_acctbal", "c_mktsegment", "price", "n"]
+
+
+@query
+def impute_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    filled = I.impute_baseline(_holes(spark, sf), _HOLED)
+    return filled.select("c_custkey", "c_mktsegment", r6("c_acctbal"), r6("price"), r6("n"))
+
+
+@query
+def impute_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return I.impute_forest(_holes(spark, sf), "c_custkey", _HOLED, max_iter=2, trees=10, depth=5)
+
+
+# ---- ordination -------------------------------------------------------------------------
+
+
+def _ordination_input(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Non-zero cells after the cut-off, and the covariates of their sites without gaps."""
+    known = I.impute_baseline(B.covariates(spark, sf), B.COVARIATES)
+    return R.align_sites(B.cut_abundance(spark, sf), known)
+
+
+@query
+def cca_one(spark: SparkSession, sf: str) -> DataFrame:
+    """Inertia explained by one covariate."""
+    cells, covariates = _ordination_input(spark, sf)
+    summary = Z.inertia_summary(Z.fit(cells, covariates, ["s_bal"]), spark)
+    return summary.select(r6("total"), r6("constrained"), r6("explained"))
+
+
+@query
+def cca_eigen(spark: SparkSession, sf: str) -> DataFrame:
+    cells, covariates = _ordination_input(spark, sf)
+    axes = Z.eigenvalues(Z.fit(cells, covariates, ["s_bal", "o_price"]), spark)
+    return axes.select("axis", r6("eigenvalue"), r6("share"), r6("share_of_total"), r6("cumulative"))
+
+
+@query
+def cca_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Entity and site scores in both scalings, stacked."""
+    cells, covariates = _ordination_input(spark, sf)
+    model = Z.fit(cells, covariates, ["s_bal", "o_price", "n_cust"])
+    parts = {}
+    for scaling in ("sites", "species"):
+        for kind, scores in (("entity", Z.entity_scores(model, scaling)), ("site", Z.site_scores(model, scaling))):
+            named = scores.withColumnRenamed(kind, "key").withColumn("key", F.col("key").cast("long"))
+            parts[f"{scaling}/{kind}"] = named
+    return R.tagged_union(parts, "part").select("part", "key", r6("CCA1"), r6("CCA2"))
+
+
+@query
+def decorate_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Entity scores with label and plotting size, site scores with label and region, stacked."""
+    cells, covariates = _ordination_input(spark, sf)
+    model = Z.fit(cells, covariates, ["s_bal", "o_price", "n_cust"])
+    entities = Z.decorate_entities(Z.entity_scores(model), B.entity_dim(spark, sf), cells, len(B.sites(spark, sf)))
+    sites = Z.decorate_sites(Z.site_scores(model), B.site_dim(spark, sf))
+    sites = sites.withColumn("entity", F.col("site").cast("long")).drop("site")
+    both = R.tagged_union({"entity": entities, "site": sites}, "part")
+    return both.select("part", F.col("entity").alias("key"), r6("CCA1"), r6("CCA2"), "class", r6("size"), "abbrev", "region")
+
+
+@query
+def vif_two(spark: SparkSession, sf: str) -> DataFrame:
+    cells, covariates = _ordination_input(spark, sf)
+    return Z.vif(cells, covariates, ["s_bal", "o_price"]).select("covariate", r6("vif"))
+
+
+@query
+def vif(spark: SparkSession, sf: str) -> DataFrame:
+    cells, covariates = _ordination_input(spark, sf)
+    return Z.vif(cells, covariates, ["s_bal", "o_price", "n_cust"]).select("covariate", r6("vif"))
+
+
+def _moments(spark: SparkSession, sf: str, names: list[str], n: int) -> P.Moments:
+    cells, covariates = _ordination_input(spark, sf)
+    return P.moments(cells, covariates, names, n, seed=7)
+
+
+@query
+def permutation_f(spark: SparkSession, sf: str) -> DataFrame:
+    return P.model_test(_moments(spark, sf, ["s_bal"], 99)).select("term", r6("f"), "reached", r6("p"))
+
+
+@query
+def permutation_margin(spark: SparkSession, sf: str) -> DataFrame:
+    tested = P.margin_test(_moments(spark, sf, ["s_bal", "o_price", "n_cust"], 9999))
+    return tested.select("term", r6("f"), "reached", r6("p"))
+
+
+@query
+def permutation_axis(spark: SparkSession, sf: str) -> DataFrame:
+    tested = P.axis_test(_moments(spark, sf, ["s_bal", "o_price", "n_cust"], 9999))
+    return tested.select("term", r6("f"), "reached", r6("p"))
+
+
+@query
+def stepwise_constraints(spark: SparkSession, sf: str) -> DataFrame:
+    return P.stepwise(_moments(spark, sf, ["s_bal", "o_price", "n_cust", "c_bal"], 199))
+
+
+# ---- trees ------------------------------------------------------------------------------
+
+
+@query
+def clade_label(spark: SparkSession, sf: str) -> DataFrame:
+    return G.clade_label(B.tree_edges(spark, sf))
+
+
+@query
+def tip_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as tips under their brands; the price remainder stands for the branch length."""
+    part = B.table(spark, sf, "part")
+    tips = part.select(
+        F.col("p_partkey").alias("node"),
+        (-1 - F.regexp_extract("p_brand", "([0-9]+)", 1).cast("long")).alias("parent"),
+        F.concat_ws("_", F.regexp_replace("p_name", " ", "_"), F.lit("protein"), "p_size").alias("label"),
+        F.when(F.col("p_size") == 1, 0.0).otherwise(F.col("p_size") / 10.0).alias("length"),
+    )
+    brands = tips.select(F.col("parent").alias("node")).distinct().select(
+        "node", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("string").alias("label"), F.lit(1.0).alias("length")
+    )
+    return G.tip_labels(tips.unionByName(brands))

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_root: str | None = None
 
@@ -49,3 +50,13 @@ def bounded_values(df: DataFrame, column: str, limit: int) -> list:
     if len(rows) > limit:
         raise ValueError(f"{column} has more than {limit} distinct values")
     return sorted(row[0] for row in rows)
+
+
+MAX_SMALL_ROWS = 10_000
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A lookup table from literal rows, marked for broadcast because its size is known here."""
+    if len(rows) > MAX_SMALL_ROWS:
+        raise ValueError(f"{len(rows)} literal rows are more than {MAX_SMALL_ROWS}; read them as a table")
+    return F.broadcast(spark.createDataFrame(rows, schema))
