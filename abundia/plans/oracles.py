@@ -93,6 +93,18 @@ CTES: dict[str, str] = {
     "hh": """SELECT entity, sum(p * x1) / sqrt(any_value(c)) AS h1, sum(p * x2) / sqrt(any_value(c)) AS h2
         FROM pp JOIN xw USING (site) JOIN cw USING (entity) GROUP BY 1""",
     "inert": "SELECT sum(p * p / (r * c)) - 1 AS total FROM pp JOIN rw USING (site) JOIN cw USING (entity)",
+    "eig": """SELECT *, (tr + sqrt(tr * tr - 4 * det)) / 2 AS l1, (tr - sqrt(tr * tr - 4 * det)) / 2 AS l2 FROM (
+        SELECT *, (g22 * s11 - g12 * s12) / dg AS m11, (g22 * s12 - g12 * s22) / dg AS m12,
+        (g22 * s11 - 2 * g12 * s12 + g11 * s22) / dg AS tr, (s11 * s22 - s12 * s12) / dg AS det FROM (
+        SELECT *, g11 * g22 - g12 * g12 AS dg FROM gg CROSS JOIN (
+        SELECT sum(h1 * h1) AS s11, sum(h1 * h2) AS s12, sum(h2 * h2) AS s22 FROM hh)))""",
+    "ax": """SELECT axis, l, b1 * s / norm AS a1, b2 * s / norm AS a2 FROM (
+        SELECT *, sqrt(g11 * b1 * b1 + 2 * g12 * b1 * b2 + g22 * b2 * b2) AS norm,
+        sign(CASE WHEN abs(sqrt(g11) * b1) >= abs(sqrt(g22) * b2) THEN b1 ELSE b2 END) AS s FROM (
+        SELECT 1 AS axis, l1 AS l, m12 AS b1, l1 - m11 AS b2, g11, g12, g22 FROM eig
+        UNION ALL SELECT 2, l2, m12, l2 - m11, g11, g12, g22 FROM eig))""",
+    "esc": """SELECT entity, axis, l, (h1 * a1 + h2 * a2) / sqrt(l) / sqrt(c) AS v FROM hh JOIN cw USING (entity) CROSS JOIN ax""",
+    "ssc": """SELECT pp.site, axis, l, sum(p * v) / sum(p) AS u FROM pp JOIN esc USING (entity) GROUP BY 1, 2, 3""",
     "kern": """SELECT a.site AS i, b.site AS k, sum(a.p * b.p / c) AS v FROM pp a JOIN pp b USING (entity) JOIN cw USING (entity)
         GROUP BY 1, 2""",
     "perms": """SELECT perm, s.site, t.s_bal AS x FROM (SELECT perm, site, row_number() OVER (PARTITION BY perm
@@ -371,4 +383,29 @@ _BODIES |= {
         CASE WHEN p_size = 1 THEN 1e-16 ELSE p_size / CAST(10 AS DOUBLE) END AS length FROM part)""",
 }
 
+
+
+def _scores(part: str, key: str, table: str, value: str) -> str:
+    one, two = (f"max({value}) FILTER (axis = {k})" for k in (1, 2))
+    return f"""SELECT '{part}' AS part, CAST({key} AS BIGINT) AS key, {r6(one, '"CCA1"')}, {r6(two, '"CCA2"')}
+        FROM {table} GROUP BY {key}"""
+
+
+_BODIES |= {
+    "cca_scores": " UNION ALL ".join(
+        [
+            _scores("sites/entity", "entity", "esc", "v"),
+            _scores("sites/site", "site", "ssc", "u"),
+            _scores("species/entity", "entity", "esc", "v * sqrt(l)"),
+            _scores("species/site", "site", "ssc", "u / sqrt(l)"),
+        ]
+    ),
+    "decorate_scores": f"""SELECT e.*, label AS class, {r6("""1 + 19 * (mean - min(mean) OVER ())
+        / (max(mean) OVER () - min(mean) OVER ())""", "size")}, NULL AS abbrev, NULL AS region
+        FROM ({_scores("entity", "entity", "esc", "v * sqrt(l)")}) e JOIN dim ON dim.entity = key
+        JOIN (SELECT entity, sum(abundance) / 25 AS mean FROM cut GROUP BY 1) m ON m.entity = key
+        UNION ALL SELECT s.*, NULL, NULL, code || type, region FROM ({_scores("site", "site", "ssc", "u / sqrt(l)")}) s
+        JOIN sites ON sites.site = key""",
+}
+
 ORACLES: dict[str, str] = {name: sql(body) for name, body in _BODIES.items()}

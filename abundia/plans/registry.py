@@ -712,7 +712,7 @@ def cca_eigen(spark: SparkSession, sf: str) -> DataFrame:
 def cca_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Entity and site scores in both scalings, stacked."""
     cells, covariates = _ordination_input(spark, sf)
-    model = Z.fit(cells, covariates, ["s_bal", "o_price", "n_cust"])
+    model = Z.fit(cells, covariates, ["s_bal", "o_price"])
     parts = {}
     for scaling in ("sites", "species"):
         for kind, scores in (("entity", Z.entity_scores(model, scaling)), ("site", Z.site_scores(model, scaling))):
@@ -725,7 +725,7 @@ def cca_scores(spark: SparkSession, sf: str) -> DataFrame:
 def decorate_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Entity scores with label and plotting size, site scores with label and region, stacked."""
     cells, covariates = _ordination_input(spark, sf)
-    model = Z.fit(cells, covariates, ["s_bal", "o_price", "n_cust"])
+    model = Z.fit(cells, covariates, ["s_bal", "o_price"])
     entities = Z.decorate_entities(Z.entity_scores(model), B.entity_dim(spark, sf), cells, len(B.sites(spark, sf)))
     sites = Z.decorate_sites(Z.site_scores(model), B.site_dim(spark, sf))
     sites = sites.withColumn("entity", F.col("site").cast("long")).drop("site")
