@@ -35,20 +35,28 @@ def _all(parts: Sequence[Column]) -> Column:
     return functools.reduce(lambda a, b: a & b, parts)
 
 
-def marker_evidence(annotation: DataFrame, rules: Sequence[MarkerRule]) -> DataFrame:
-    """(entity, trait) for every entity that meets a rule; several rules of a trait are alternatives."""
+def marker_sets(annotation: DataFrame, rules: Sequence[MarkerRule]) -> DataFrame:
+    """(entity, found): the traits whose rule an entity meets; several rules of a trait are alternatives.
+
+    One grouping decides all rules, and only one row per entity and task is shuffled.
+    """
     wanted = sorted({m for rule in rules for group in rule.groups for m in group})
     seen = [
         F.coalesce(F.bool_or(F.col("marker").isin(group)), F.lit(False)).alias(f"_{i}_{j}")
         for i, rule in enumerate(rules)
         for j, group in enumerate(rule.groups)
     ]
-    found = annotation.where(F.col("marker").isin(wanted)).groupBy("entity").agg(*seen)
+    flags = annotation.where(F.col("marker").isin(wanted)).groupBy("entity").agg(*seen)
     met: dict[str, list[Column]] = {}
     for i, rule in enumerate(rules):
         met.setdefault(rule.trait, []).append(_all([F.col(f"_{i}_{j}") for j in range(len(rule.groups))]))
     traits = F.array(*[F.when(_any(ways), F.lit(trait)) for trait, ways in met.items()])
-    return found.select("entity", F.explode(F.array_compact(traits)).alias("trait"))
+    return flags.select("entity", F.array_compact(traits).alias("found"))
+
+
+def marker_evidence(annotation: DataFrame, rules: Sequence[MarkerRule]) -> DataFrame:
+    """(entity, trait) for every rule an entity meets."""
+    return marker_sets(annotation, rules).select("entity", F.explode("found").alias("trait"))
 
 
 def entities_with_any(annotation: DataFrame, markers: Sequence[str]) -> DataFrame:
@@ -77,17 +85,20 @@ def _compare(score: Column, op: str, threshold: float) -> Column:
     return {">": score > threshold, ">=": score >= threshold, "=": score == threshold}[op]
 
 
-def score_flags(pathway: DataFrame, rules: Sequence[ScoreRule]) -> DataFrame:
-    """One 0/1 column per trait for every entity with scores; rules of a trait are alternatives."""
+def flag_columns(rules: Sequence[ScoreRule]) -> list[Column]:
+    """One 0/1 aggregate per trait over the pathway rows of an entity; rules of a trait are alternatives."""
     ways: dict[str, list[Column]] = {}
     for rule in rules:
         hit = (F.col("pathway") == rule.pathway) & _compare(F.col("score"), rule.op, rule.threshold)
         ways.setdefault(rule.trait, []).append(hit)
-    flags = [F.max(F.when(_any(hits), 1).otherwise(0)).alias(trait) for trait, hits in ways.items()]
-    return pathway.groupBy("entity").agg(*flags)
+    return [F.max(F.when(_any(hits), 1).otherwise(0)).alias(trait) for trait, hits in ways.items()]
+
+
+def score_columns(names: dict[str, str]) -> list[Column]:
+    """One aggregate per pathway score, ``{pathway: column}``; a missing score is NULL."""
+    return [F.max(F.when(F.col("pathway") == p, F.col("score"))).alias(c) for p, c in names.items()]
 
 
 def scores_wide(pathway: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Pathway scores as columns, ``{pathway: column}``; a missing score is NULL."""
-    columns = [F.max(F.when(F.col("pathway") == p, F.col("score"))).alias(c) for p, c in names.items()]
-    return pathway.groupBy("entity").agg(*columns)
+    """Pathway scores as columns."""
+    return pathway.groupBy("entity").agg(*score_columns(names))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from abundia.operators.markers import MarkerRule, ScoreRule, marker_evidence, score_flags
+from abundia.operators.markers import MarkerRule, ScoreRule, flag_columns, marker_sets, score_columns
 
 FIXATION = ["CBB.present", "rTCA.present", "Wood.Ljungdahl.present"]
 
 
+def _side() -> Column:
+    fixer = "cbb >= 0.6 OR (rtca >= 1 AND tca >= 0.5) OR wl >= 0.6"
+    other = "cbb < 0.6 AND (rtca < 1 OR tca < 0.5) AND wl < 0.6"
+    return F.when(F.expr(fixer), F.lit("autotroph")).when(F.expr(other), F.lit("heterotroph"))
+
+
 def trophic_candidates(scores: DataFrame) -> DataFrame:
     """Split entities by pathway scores ``cbb``, ``rtca``, ``tca`` and ``wl``.
 
@@ -20,10 +25,7 @@ def trophic_candidates(scores: DataFrame) -> DataFrame:
     and heterotroph when all are known to be too low. A missing score that
     leaves both open puts the entity on neither side.
     """
-    fixer = "cbb >= 0.6 OR (rtca >= 1 AND tca >= 0.5) OR wl >= 0.6"
-    other = "cbb < 0.6 AND (rtca < 1 OR tca < 0.5) AND wl < 0.6"
-    side = F.when(F.expr(fixer), F.lit("autotroph")).when(F.expr(other), F.lit("heterotroph"))
-    return scores.withColumn("candidate", side).where("candidate IS NOT NULL")
+    return scores.withColumn("candidate", _side()).where("candidate IS NOT NULL")
 
 
 def strict_wl(scores: DataFrame, above: float = 0.6) -> DataFrame:
@@ -31,56 +33,59 @@ def strict_wl(scores: DataFrame, above: float = 0.6) -> DataFrame:
     return scores.where(F.col("wl") > above)
 
 
-def trophic_class(scores: DataFrame, annotation: DataFrame, cbb: MarkerRule, wl: MarkerRule) -> DataFrame:
-    """Fixation flags and trophic class of every candidate entity.
+def _has(trait: str) -> Column:
+    return F.coalesce(F.array_contains("found", trait), F.lit(False))
+
+
+def _fixation() -> list[Column]:
+    """Fixation and trophic flags; NULL for entities on neither side.
 
     CBB and Wood-Ljungdahl need marker evidence within the autotroph
     candidates; rTCA needs a score of exactly 1 there.
     """
-    sided = trophic_candidates(scores)
-    evidence = marker_evidence(annotation, [MarkerRule("cbb", cbb.groups), MarkerRule("wl", wl.groups)])
-    found = evidence.groupBy("entity").agg(
-        F.bool_or(F.col("trait") == "cbb").alias("_cbb"), F.bool_or(F.col("trait") == "wl").alias("_wl")
-    )
     fixer = F.col("candidate") == "autotroph"
-    flags = {
-        "CBB.present": F.when(fixer & F.col("_cbb"), 1).otherwise(0),
-        "rTCA.present": F.when(fixer & (F.col("rtca") == 1), 1).otherwise(0),
-        "Wood.Ljungdahl.present": F.when(fixer & F.col("_wl"), 1).otherwise(0),
-    }
-    flagged = sided.join(found, "entity", "left").select(
-        "entity", "candidate", *[flag.alias(name) for name, flag in flags.items()]
-    )
-    fixes = F.greatest(*[F.col(f"`{name}`") for name in FIXATION])
-    return flagged.withColumns({"Autotrophy": fixes, "Heterotrophy": 1 - fixes})
+    sided = F.col("candidate").isNotNull()
+    shown = [fixer & _has("CBB.present"), fixer & F.coalesce(F.col("rtca") == 1, F.lit(False)), fixer & _has("Wood.Ljungdahl.present")]
+    flags = [F.when(sided, flag.cast("int")) for flag in shown]
+    fixes = F.greatest(*flags)
+    return [*[f.alias(name) for name, f in zip(FIXATION, flags)], fixes.alias("Autotrophy"), (1 - fixes).alias("Heterotrophy")]
+
+
+def trophic_class(scores: DataFrame, annotation: DataFrame, cbb: MarkerRule, wl: MarkerRule) -> DataFrame:
+    """Fixation flags and trophic class of every candidate entity."""
+    rules = [MarkerRule("CBB.present", cbb.groups), MarkerRule("Wood.Ljungdahl.present", wl.groups)]
+    found = marker_sets(annotation, rules)
+    return trophic_candidates(scores).join(found, "entity", "left").select("entity", "candidate", *_fixation())
 
 
-def redox_traits(
+def entity_traits(
     pathway: DataFrame,
     annotation: DataFrame,
+    score_names: dict[str, str],
     score_rules: Sequence[ScoreRule],
     marker_rules: Sequence[MarkerRule],
 ) -> DataFrame:
-    """(entity, trait, value) for every scored entity and every trait of either rule set."""
-    by_score = score_flags(pathway, score_rules)
+    """Candidate side and every trait flag of each scored entity, one row per entity.
+
+    The pathway and the annotation table are each grouped once for all rules,
+    and the two results meet on the partitioning they already have.
+    """
     scored = list(dict.fromkeys(r.trait for r in score_rules))
-    traits = list(dict.fromkeys([*scored, *(r.trait for r in marker_rules)]))
-    found = marker_evidence(annotation, marker_rules).groupBy("entity").agg(F.collect_set("trait").alias("_found"))
+    redox = [t for t in dict.fromkeys([*scored, *(r.trait for r in marker_rules)]) if t not in FIXATION]
+    wide = pathway.groupBy("entity").agg(*score_columns(score_names), *flag_columns(score_rules))
+    sided = wide.withColumn("candidate", _side()).join(marker_sets(annotation, marker_rules), "entity", "left")
     flags = [
-        F.greatest(
-            F.col(f"`{t}`") if t in scored else F.lit(0),
-            F.when(F.array_contains("_found", t), 1).otherwise(0),
-        ).alias(t)
-        for t in traits
+        F.greatest(F.col(f"`{t}`") if t in scored else F.lit(0), _has(t).cast("int")).alias(t) for t in redox
     ]
-    return by_score.join(found, "entity", "left").select("entity", *flags).unpivot(["entity"], traits, "trait", "value")
+    return sided.select("entity", "candidate", *flags, *_fixation())
 
 
-def trait_table(kinds: dict[str, Sequence[str]], *parts: DataFrame) -> DataFrame:
-    """Stack (entity, trait, value) tables and add the kind each trait belongs to."""
-    stacked = functools.reduce(lambda a, b: a.unionByName(b), parts)
-    kind_of = [F.when(F.col("trait").isin(list(names)), F.lit(kind)) for kind, names in kinds.items()]
-    return stacked.select("entity", "trait", F.coalesce(*kind_of).alias("kind"), "value")
+def trait_rows(wide: DataFrame, kinds: dict[str, Sequence[str]]) -> DataFrame:
+    """(entity, trait, kind, value) of the trait columns; an undecided flag has no row."""
+    names = [n for names in kinds.values() for n in names]
+    long = wide.unpivot(["entity"], [F.col(f"`{n}`") for n in names], "trait", "value")
+    kind_of = F.coalesce(*[F.when(F.col("trait").isin(list(part)), F.lit(kind)) for kind, part in kinds.items()])
+    return long.where("value IS NOT NULL").select("entity", "trait", kind_of.alias("kind"), "value")
 
 
 def trait_flags(traits: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -57,11 +57,11 @@ def score_table(sheets: Sheets) -> DataFrame:
 
 
 def iron_flags(sheets: Sheets) -> DataFrame:
-    """(entity, trait, value) from the transposed iron sheet; entities absent there have no rows."""
+    """Iron trait columns from the transposed iron sheet; entities absent there have no row."""
     columns = [c for c in sheets.iron.columns if c != "category"]
     flipped = reshape.transposed(sheets.iron, "category", columns, list(V.IRON_TRAITS), "entity")
     flags = [F.when(F.col(c) > 0, 1).otherwise(0).alias(t) for c, t in V.IRON_TRAITS.items()]
-    return flipped.select("entity", *flags).unpivot(["entity"], list(V.IRON_TRAITS.values()), "trait", "value")
+    return flipped.select("entity", *flags)
 
 
 def curated(spark) -> DataFrame:
@@ -72,34 +72,22 @@ def curated(spark) -> DataFrame:
     return small_table(spark, rows, "entity string, trait string, value int")
 
 
-def rubisco_forms(entities: DataFrame) -> DataFrame:
-    """(entity, trait, value) of the curated RuBisCO forms."""
-    forms = [F.col("entity").isin(members).cast("int").alias(form) for form, members in V.RUBISCO_FORMS.items()]
-    return entities.select("entity", *forms).unpivot(["entity"], list(V.RUBISCO_FORMS), "trait", "value")
-
-
 def trait_table(sheets: Sheets, entities: DataFrame) -> DataFrame:
     """All traits of the candidate entities, after curated edits and taxon masks."""
     spark = entities.sparkSession
-    scores = score_table(sheets)
-    trophic = traits.trophic_class(markers.scores_wide(scores, V.SCORE_NAMES), sheets.annotation, V.CBB_RULE, V.WL_RULE)
-    classes = [*V.FIXATION, "Autotrophy", "Heterotrophy"]
-    by_class = trophic.unpivot(["entity"], [F.col(f"`{c}`") for c in classes], "trait", "value")
-    redox = traits.redox_traits(scores, sheets.annotation, V.SCORE_RULES, V.MARKER_RULES)
-    present = trophic.select("entity")
-    iron = present.select("entity", F.explode(F.array(*[F.lit(t) for t in V.IRON_TRAITS.values()])).alias("trait"))
-    iron = iron.join(iron_flags(sheets), ["entity", "trait"], "left").fillna(0, ["value"])
+    rules = [V.CBB_RULE, V.WL_RULE, *V.MARKER_RULES]
+    wide = traits.entity_traits(score_table(sheets), sheets.annotation, V.SCORE_NAMES, V.SCORE_RULES, rules)
+    forms = [F.col("entity").isin(members).cast("int").alias(form) for form, members in V.RUBISCO_FORMS.items()]
+    decided = wide.where("candidate IS NOT NULL").join(iron_flags(sheets), "entity", "left").select("*", *forms)
     kinds = {
         "donor": V.DONORS, "acceptor": V.ACCEPTORS, "fixation": V.FIXATION,
         "form": list(V.RUBISCO_FORMS), "trophic": ["Autotrophy", "Heterotrophy"],
     }
-    stacked = traits.trait_table(
-        kinds, relational.keep_keys(redox, present, "entity").select("entity", "trait", "value"),
-        iron, by_class, rubisco_forms(present),
-    )
+    iron = {t: F.coalesce(F.col(f"`{t}`"), F.lit(0)) for t in V.IRON_TRAITS.values()}
+    stacked = traits.trait_rows(decided.withColumns(iron), kinds)
     edited = relational.apply_overrides(stacked, curated(spark))
-    rules = small_table(spark, V.TAXON_RULES, "rank string, taxon string, trait string, value int")
-    masked = relational.taxon_mask(edited, entities, rules)
+    taxa = small_table(spark, V.TAXON_RULES, "rank string, taxon string, trait string, value int")
+    masked = relational.taxon_mask(edited, entities, taxa)
     return relational.conditional_mask(masked, "Microaerobic", "Wood.Ljungdahl.present")
 
 

@@ -11,9 +11,10 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from abundia.operators.markers import MarkerRule, ScoreRule, scores_wide
-from abundia.operators.traits import FIXATION, redox_traits, trait_table, trophic_class
+from abundia.operators.traits import FIXATION, entity_traits, trait_rows
 from abundia.sources.scratch import bounded_values
 
 CUT_OFF = 20.0
@@ -40,8 +41,15 @@ KINDS = {"donor": DONORS, "acceptor": ACCEPTORS, "fixation": FIXATION, "trophic"
 TRAITS = [*DONORS, *ACCEPTORS, *FIXATION, "Autotrophy", "Heterotrophy"]
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A parquet table; its schema is read from the footers once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def abundance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,34 +152,34 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores_wide(pathway(spark, sf_dir), SCORE_NAMES)
 
 
-def trophic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trophic_class(scores(spark, sf_dir), annotation(spark, sf_dir), CBB_RULE, WL_RULE)
+def trait_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate side and all trait flags, one row per scored entity."""
+    rules = [CBB_RULE, WL_RULE, *MARKER_RULES]
+    return entity_traits(pathway(spark, sf_dir), annotation(spark, sf_dir), SCORE_NAMES, SCORE_RULES, rules)
 
 
 def traits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(entity, trait, kind, value) of the candidate entities, all traits filled."""
-    names = [*FIXATION, "Autotrophy", "Heterotrophy"]
-    classes = trophic(spark, sf_dir)
-    by_class = classes.unpivot(["entity"], [F.col(f"`{n}`") for n in names], "trait", "value")
-    redox = redox_traits(pathway(spark, sf_dir), annotation(spark, sf_dir), SCORE_RULES, MARKER_RULES)
-    return trait_table(KINDS, redox, by_class)
+    """(entity, trait, kind, value) of every decided flag."""
+    return trait_rows(trait_wide(spark, sf_dir), KINDS)
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity, metabolism) for every donor, acceptor and fixation trait shown."""
-    held = traits(spark, sf_dir).where("value > 0 AND kind <> 'trophic'")
+    kinds = {k: v for k, v in KINDS.items() if k != "trophic"}
+    held = trait_rows(trait_wide(spark, sf_dir), kinds).where("value > 0")
     return held.select("entity", F.col("trait").alias("metabolism"))
 
 
 def fixers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity, pathway) for every carbon fixation pathway shown."""
-    held = trophic(spark, sf_dir).unpivot(["entity"], [F.col(f"`{n}`") for n in FIXATION], "pathway", "value")
-    return held.where("value > 0").select("entity", "pathway")
+    held = trait_rows(trait_wide(spark, sf_dir), {"fixation": FIXATION}).where("value > 0")
+    return held.select("entity", F.col("trait").alias("pathway"))
 
 
 def redox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity, trait, value) of donors and acceptors."""
-    return redox_traits(pathway(spark, sf_dir), annotation(spark, sf_dir), SCORE_RULES, MARKER_RULES)
+    kinds = {"donor": DONORS, "acceptor": ACCEPTORS}
+    return trait_rows(trait_wide(spark, sf_dir), kinds).select("entity", "trait", "value")
 
 
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:

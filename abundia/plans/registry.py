@@ -133,7 +133,8 @@ def trophic_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def trophic_class(spark: SparkSession, sf: str) -> DataFrame:
-    return B.trophic(spark, sf).select(
+    held = T.trophic_class(B.scores(spark, sf), B.annotation(spark, sf), B.CBB_RULE, B.WL_RULE)
+    return held.select(
         "entity", "candidate", F.col("`CBB.present`").alias("cbb"), F.col("`rTCA.present`").alias("rtca"),
         F.col("`Wood.Ljungdahl.present`").alias("wl"), "Autotrophy", "Heterotrophy",
     )

@@ -69,10 +69,13 @@ def test_redox_rules_and_missing_scores(spark):
     )
     annotation = spark.createDataFrame([("c", "g", "K"), ("zz", "g", "K")], "entity string, gene_id string, marker string")
     rules = [M.ScoreRule("S", "p", ">=", 0.32), M.ScoreRule("N", "q", ">", 0.33)]
-    got = sorted(map(tuple, T.redox_traits(pathway, annotation, rules, [M.MarkerRule("S", [["K"]]), M.MarkerRule("H", [["K"]])]).collect()))
-    assert got == sorted(
-        [("a", "S", 1), ("a", "N", 0), ("a", "H", 0), ("b", "S", 0), ("b", "N", 0), ("b", "H", 0), ("c", "S", 1), ("c", "N", 0), ("c", "H", 1)]
-    )
+    names = {"p": "cbb", "q": "rtca", "r": "tca", "s": "wl"}
+    wide = T.entity_traits(pathway, annotation, names, rules, [M.MarkerRule("S", [["K"]]), M.MarkerRule("H", [["K"]])])
+    got = {r.entity: (r.S, r.N, r.H) for r in wide.collect()}
+    assert got == {"a": (1, 0, 0), "b": (0, 0, 0), "c": (1, 0, 1)}
+    # no Wood-Ljungdahl score is known, so no side and no fixation flag is decided
+    rows = T.trait_rows(wide, {"redox": ["S", "N", "H"], "fixation": T.FIXATION})
+    assert rows.count() == 9 and {r.kind for r in rows.collect()} == {"redox"}
 
 
 def traits(spark):
