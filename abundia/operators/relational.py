@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from abundia.sources.scratch import sized
+
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """Join on every column name the two tables share."""
@@ -84,5 +86,5 @@ def fixed_order(df: DataFrame, column: str, levels: Sequence[str], out: str = "o
 def align_sites(cells: DataFrame, covariates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Keep the sites that have both a non-zero total and a covariate row."""
     alive = cells.groupBy("site").agg(F.sum("abundance").alias("_total")).where("_total <> 0").select("site")
-    kept = alive.join(covariates.select("site"), "site", "left_semi")
+    kept = sized(alive.join(covariates.select("site"), "site", "left_semi"))
     return keep_keys(cells, kept, "site"), keep_keys(covariates, kept, "site")

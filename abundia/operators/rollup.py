@@ -16,6 +16,7 @@ from abundia.functions.numeric import cut_off, positive, rescaled, standard_erro
 from abundia.functions.text import class_label
 from abundia.operators.ordering import dense_positions, running_total
 from abundia.operators.reshape import to_wide, zero_filled
+from abundia.sources.scratch import sized
 
 
 def clean_abundance(abundance: DataFrame, dropped: DataFrame, entity_dim: DataFrame, threshold: float) -> DataFrame:
@@ -79,7 +80,7 @@ def rescale_minmax(
         low = df.agg(F.min(value)).scalar()
         high = df.agg(F.max(value)).scalar()
         return df.withColumn(out, rescaled(F.col(value), low, high, to))
-    bounds = df.groupBy(*keys).agg(*ends)
+    bounds = sized(df.groupBy(*keys).agg(*ends))
     scaled = rescaled(F.col(value), F.col("_low"), F.col("_high"), to)
     return df.join(bounds, list(keys)).withColumn(out, scaled).drop("_low", "_high")
 

@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from abundia.sources.scratch import sized
+
 
 def hellinger(cells: DataFrame) -> DataFrame:
     """Square root of each cell's share of its site; a site without abundance gives 0."""
-    totals = cells.groupBy("site").agg(F.sum("abundance").alias("_total"))
+    totals = sized(cells.groupBy("site").agg(F.sum("abundance").alias("_total")))
     share = F.try_divide(F.col("abundance"), F.col("_total"))
     return cells.join(totals, "site").withColumn("abundance", F.sqrt(F.coalesce(share, F.lit(0.0)))).drop("_total")
 
@@ -18,7 +20,7 @@ def hellinger(cells: DataFrame) -> DataFrame:
 def zscore(covariates: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
     """(key, covariate, value, z) with the sample standard deviation; a constant column gives NULL."""
     long = covariates.unpivot([key], list(names), "covariate", "value")
-    stats = long.groupBy("covariate").agg(F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_sd"))
+    stats = sized(long.groupBy("covariate").agg(F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_sd")))
     z = F.try_divide(F.col("value") - F.col("_mean"), F.col("_sd"))
     return long.join(stats, "covariate").select(key, "covariate", "value", z.alias("z"))
 

@@ -626,14 +626,13 @@ def cut_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def community_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Site clusters of the tree named as communities: the two first-numbered are regional."""
-    points = _site_points(spark, sf)
-    merges = L.linkage_merges(points)
-    clusters = L.cut_tree(merges, points, 1.5)
-    names = small_table(spark, [(1, "regional"), (2, "regional")], "cluster int, community string")
-    return clusters.join(names, "cluster", "left").select(
-        "id", "cluster", F.coalesce("community", F.lit("prevalent")).alias("community")
-    )
+    """Entity clusters named as communities by a lookup table; one entity row each."""
+    points = _entity_points(spark, sf)
+    clusters = L.cut_tree(L.linkage_merges(points, CUT_HEIGHT), points, CUT_HEIGHT)
+    names = small_table(spark, [(1, "regional"), (5, "regional")], "cluster int, community string")
+    named = clusters.join(names, "cluster", "left").withColumn("community", F.coalesce("community", F.lit("prevalent")))
+    dim = B.entity_dim(spark, sf).select("entity", X.class_label().alias("class"))
+    return named.withColumnRenamed("id", "entity").join(dim, "entity").select("entity", "class", "cluster", "community")
 
 
 # ---- transforms, covariates, imputation -------------------------------------------------

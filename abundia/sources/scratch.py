@@ -40,6 +40,16 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """Materialise a side that is expected to be small before it meets a large table.
+
+    Its true size is then known when the join is planned: below the session's
+    broadcast threshold the large table is not shuffled at all, above it the
+    join is a sort-merge join, whose hot partitions adaptive execution splits.
+    """
+    return saved(df)
+
+
 def bounded_values(df: DataFrame, column: str, limit: int) -> list:
     """Sorted distinct values of a dimension that must stay below ``limit``.
 
