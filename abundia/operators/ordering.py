@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from abundia.sources.scratch import saved
+from abundia.sources.scratch import saved, sized
 
 
 def running_total(
@@ -76,16 +76,26 @@ def make_unique(df: DataFrame, label: str, order: str, out: str = "unique_label"
     suffixes t_i (i-th smallest) with t_i - i < k.
     """
     placed = running_total(df, [label], [F.col(order)], out="_repeat")
-    repeats = placed.groupBy(label).agg(F.max("_repeat").alias("_repeats")).where("_repeats > 0")
-    labels = df.select(label).distinct()
-    taken = (
-        labels.select(
-            F.regexp_extract(label, r"^(.*)\.([1-9][0-9]*)$", 1).alias("_base"),
-            F.expr(f"try_cast(regexp_extract(`{label}`, '^(.*)[.]([1-9][0-9]*)$', 2) AS bigint)").alias("_suffix"),
-        )
-        .where("_suffix IS NOT NULL")
-        .join(repeats.select(F.col(label).alias("_base")), "_base", "left_semi")
-    )
+    number = F.col("_repeat")
+    repeats = placed.where("_repeat > 0")
+    pattern = r"^(.*)[.]([1-9][0-9]*)$"
+    base, digits = F.regexp_extract(label, pattern, 1), F.regexp_extract(label, pattern, 2)
+    numbered = placed.select(label).where(F.col(label).rlike(pattern)).distinct()
+    taken = numbered.select(base.alias("_base"), digits.try_cast("bigint").alias("_suffix")).where("_suffix IS NOT NULL")
+    taken = sized(taken.join(repeats.select(F.col(label).alias("_base")), "_base", "left_semi"))
+    if not taken.isEmpty():
+        placed = placed.join(_skipped(taken, repeats, label), [label, "_repeat"], "left")
+        number = number + F.coalesce("_skipped", F.lit(0))
+    unique = F.when(F.col("_repeat") == 0, F.col(label)).otherwise(F.concat_ws(".", F.col(label), number.cast("string")))
+    return placed.withColumn(out, unique).drop("_repeat", "_skipped")
+
+
+def _skipped(taken: DataFrame, repeats: DataFrame, label: str) -> DataFrame:
+    """(label, _repeat, _skipped): how many taken suffixes each repeat steps over.
+
+    Only labels with a taken suffix are looked at. A taken suffix counts for a
+    repeat when its mark lies before it, so at one place repeats sort first.
+    """
     ranked = running_total(taken, ["_base"], [F.col("_suffix")], out="_i")
     marks = ranked.select(
         F.col("_base").alias(label),
@@ -93,20 +103,9 @@ def make_unique(df: DataFrame, label: str, order: str, out: str = "unique_label"
         F.lit(1).alias("_mark"),
         F.col("_i").alias("_tie"),
     )
-    copies = placed.where("_repeat > 0").select(
+    copies = repeats.join(taken.select(F.col("_base").alias(label)), label, "left_semi").select(
         label, F.col("_repeat").alias("_at"), F.lit(0).alias("_mark"), F.lit(0).cast("long").alias("_tie")
     )
-    # a mark counts for a repeat when its position is smaller, so repeats sort first
-    shifted = running_total(
-        marks.unionByName(copies), [label], [F.col("_at"), F.col("_mark"), F.col("_tie")], "_mark", "_skipped"
-    )
-    suffix = shifted.where("_mark = 0").select(label, F.col("_at").alias("_repeat"), "_skipped")
-    number = F.col("_repeat") + F.col("_skipped")
-    return (
-        placed.join(suffix, [label, "_repeat"], "left")
-        .withColumn(
-            out,
-            F.when(F.col("_repeat") == 0, F.col(label)).otherwise(F.concat_ws(".", F.col(label), number.cast("string"))),
-        )
-        .drop("_repeat", "_skipped")
-    )
+    order = [F.col("_at"), F.col("_mark"), F.col("_tie")]
+    shifted = running_total(marks.unionByName(copies), [label], order, "_mark", "_skipped")
+    return shifted.where("_mark = 0").select(label, F.col("_at").alias("_repeat"), "_skipped")
