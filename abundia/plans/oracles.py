@@ -77,6 +77,18 @@ CTES: dict[str, str] = {
         + (count(*) OVER (PARTITION BY site, a) - 1) / CAST(2 AS DOUBLE) AS r FROM grid""",
     "srho": """SELECT x.site AS site_a, y.site AS site_b, corr(x.r, y.r) AS rho FROM srank x JOIN srank y USING (entity)
         GROUP BY 1, 2""",
+    "sdist": """SELECT x.site_a AS a, y.site_a AS b, sqrt(sum((x.rho - y.rho) * (x.rho - y.rho))) AS d
+        FROM srho x JOIN srho y ON x.site_b = y.site_b AND x.site_a < y.site_a GROUP BY 1, 2""",
+    "lk": """SELECT 0 AS step, a, b, d FROM sdist UNION ALL
+        SELECT step + 1, least(x, y), greatest(x, y), max(d) FROM (
+          SELECT step, d, CASE WHEN a = mb THEN ma ELSE a END AS x, CASE WHEN b = mb THEN ma ELSE b END AS y FROM (
+            SELECT *, first_value(a) OVER (ORDER BY d, a, b) AS ma, first_value(b) OVER (ORDER BY d, a, b) AS mb FROM lk))
+        WHERE x <> y GROUP BY 1, 2, 3""",
+    "mg": """SELECT step + 1 AS step, a, b, d FROM (
+        SELECT *, row_number() OVER (PARTITION BY step ORDER BY d, a, b) AS rn FROM lk) WHERE rn = 1""",
+    "lo": """SELECT CAST(0 AS BIGINT) AS step, site AS c, CAST(site AS VARCHAR) AS items, CAST(-1 AS BIGINT) AS formed FROM sites
+        UNION ALL SELECT lo.step + 1, CASE WHEN c = m.b THEN m.a ELSE c END, string_agg(items, ',' ORDER BY formed, c),
+        CASE WHEN count(*) > 1 THEN lo.step + 1 ELSE max(formed) END FROM lo JOIN mg m ON m.step = lo.step + 1 GROUP BY 1, 2""",
     "erank": """SELECT entity, site, rank() OVER (PARTITION BY entity ORDER BY a)
         + (count(*) OVER (PARTITION BY entity, a) - 1) / CAST(2 AS DOUBLE) AS r FROM grid
         WHERE entity IN (SELECT entity FROM grid GROUP BY 1 HAVING min(a) < max(a))""",
@@ -107,15 +119,26 @@ CTES: dict[str, str] = {
     "ssc": """SELECT pp.site, axis, l, sum(p * v) / sum(p) AS u FROM pp JOIN esc USING (entity) GROUP BY 1, 2, 3""",
     "kern": """SELECT a.site AS i, b.site AS k, sum(a.p * b.p / c) AS v FROM pp a JOIN pp b USING (entity) JOIN cw USING (entity)
         GROUP BY 1, 2""",
-    "perms": """SELECT perm, s.site, t.s_bal AS x FROM (SELECT perm, site, row_number() OVER (PARTITION BY perm
-        ORDER BY CASE WHEN perm = 0 THEN lpad(CAST(site AS VARCHAR), 9, '0') ELSE md5('7|' || perm || '|' || site) END) AS pos
-        FROM rw CROSS JOIN (SELECT unnest(range(0, 100)) AS perm)) o
+    "perms": """SELECT perm, s.site, t.s_bal AS y1, t.o_price AS y2 FROM (SELECT perm, site, row_number() OVER (
+        PARTITION BY perm ORDER BY CASE WHEN perm = 0 THEN lpad(CAST(site AS VARCHAR), 9, '0')
+        ELSE md5('7|' || perm || '|' || site) END) AS pos FROM rw CROSS JOIN (SELECT unnest(range(0, 10000)) AS perm)) o
         JOIN (SELECT site, row_number() OVER (ORDER BY site) AS pos FROM rw) s USING (pos) JOIN covf t ON t.site = o.site""",
-    "permx": "SELECT perm, site, r, x - sum(r * x) OVER (PARTITION BY perm) AS x FROM perms JOIN rw USING (site)",
-    "permf": """SELECT perm, fitted / ((total - fitted) / ((SELECT count(*) FROM rw) - 2)) AS f FROM (
-        SELECT a.perm, sum(a.x * b.x * v) / any_value(g) AS fitted FROM permx a JOIN permx b USING (perm)
-        JOIN kern ON i = a.site AND k = b.site JOIN (SELECT perm, sum(r * x * x) AS g FROM permx GROUP BY 1) q USING (perm)
-        GROUP BY 1) CROSS JOIN inert""",
+    "permx": """SELECT perm, site, r, y1 - sum(r * y1) OVER (PARTITION BY perm) AS x1,
+        y2 - sum(r * y2) OVER (PARTITION BY perm) AS x2 FROM perms JOIN rw USING (site)""",
+    "permg": """SELECT perm, sum(r * x1 * x1) AS g11, sum(r * x1 * x2) AS g12, sum(r * x2 * x2) AS g22 FROM permx GROUP BY 1""",
+    "perma": """SELECT a.perm, sum(a.x1 * b.x1 * v) AS s11, sum(a.x1 * b.x2 * v) AS s12, sum(a.x2 * b.x2 * v) AS s22
+        FROM permx a JOIN permx b USING (perm) JOIN kern ON i = a.site AND k = b.site GROUP BY 1""",
+    "perm2": """SELECT *, (g22 * s11 - 2 * g12 * s12 + g11 * s22) / (g11 * g22 - g12 * g12) AS fit,
+        (s11 * s22 - s12 * s12) / (g11 * g22 - g12 * g12) AS det, (SELECT count(*) FROM rw) AS n
+        FROM permg JOIN perma USING (perm) CROSS JOIN inert""",
+    "permo": """SELECT m12 AS a1, l1 - m11 AS a2 FROM eig""",
+    "permf": """SELECT perm, 'model' AS term, s11 / g11 / ((total - s11 / g11) / (n - 2)) AS f FROM perm2
+        UNION ALL SELECT perm, 's_bal', (fit - s22 / g22) / ((total - fit) / (n - 3)) FROM perm2
+        UNION ALL SELECT perm, 'o_price', (fit - s11 / g11) / ((total - fit) / (n - 3)) FROM perm2
+        UNION ALL SELECT perm, 'CCA1', (fit + sqrt(greatest(fit * fit - 4 * det, 0))) / 2 / ((total - fit) / (n - 3)) FROM perm2
+        UNION ALL SELECT perm, 'CCA2', (b1 * b1 * s11 + 2 * b1 * b2 * s12 + b2 * b2 * s22)
+        / (b1 * b1 * g11 + 2 * b1 * b2 * g12 + b2 * b2 * g22) / ((total - fit) / (n - 3)) FROM (
+        SELECT *, -(g12 * a1 + g22 * a2) AS b1, g11 * a1 + g12 * a2 AS b2 FROM perm2 CROSS JOIN permo)""",
 }
 
 
@@ -131,7 +154,7 @@ def sql(body: str) -> str:
 
     visit(body)
     parts = ", ".join(f"{name} AS ({CTES[name]})" for name in CTES if name in needed)
-    return f"WITH {parts} {body}" if parts else body
+    return f"WITH RECURSIVE {parts} {body}" if parts else body
 
 
 def r6(value: str, name: str) -> str:
@@ -368,9 +391,6 @@ _BODIES |= {
         CROSS JOIN (VALUES ('s_bal'), ('o_price')) t(covariate)""",
     "vif": f"""SELECT covariate, {r6(f"(1 - CASE covariate WHEN 's_bal' THEN r23 * r23 WHEN 'o_price' THEN r13 * r13 ELSE r12 * r12 END) / {_DET}", "vif")}
         FROM (VALUES ('s_bal'), ('o_price'), ('n_cust')) t(covariate) {_VIF}""",
-    "permutation_f": f"""SELECT 'model' AS term, {r6("o.f", "f")}, count(*) AS reached,
-        {r6("(1 + count(*)) / CAST(100 AS DOUBLE)", "p")} FROM (SELECT f FROM permf WHERE perm = 0) o
-        JOIN permf ON permf.perm > 0 AND permf.f >= o.f - 1e-9 GROUP BY o.f""",
     "clade_label": """SELECT 'R' || r_regionkey AS node, lower(r_name) AS clade FROM region
         UNION ALL SELECT 'N' || n_nationkey, lower(r_name) FROM nation JOIN region ON n_regionkey = r_regionkey
         UNION ALL SELECT 'C' || c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'building' ELSE lower(r_name) END
@@ -385,6 +405,19 @@ _BODIES |= {
 
 
 
+def _tested(terms: str) -> str:
+    return f"""SELECT o.term, {r6("o.f", "f")}, count(p.f) AS reached, {r6("(1 + count(p.f)) / CAST(10000 AS DOUBLE)", "p")}
+        FROM (SELECT term, f FROM permf WHERE perm = 0) o LEFT JOIN permf p
+        ON p.term = o.term AND p.perm > 0 AND p.f >= o.f - 1e-9 WHERE o.term IN ({terms}) GROUP BY o.term, o.f"""
+
+
+_BODIES |= {
+    "permutation_f": _tested("'model'"),
+    "permutation_margin": _tested("'s_bal', 'o_price'"),
+    "permutation_axis": _tested("'CCA1', 'CCA2'"),
+}
+
+
 def _scores(part: str, key: str, table: str, value: str) -> str:
     one, two = (f"max({value}) FILTER (axis = {k})" for k in (1, 2))
     return f"""SELECT '{part}' AS part, CAST({key} AS BIGINT) AS key, {r6(one, '"CCA1"')}, {r6(two, '"CCA2"')}
@@ -408,4 +441,14 @@ _BODIES |= {
         JOIN sites ON sites.site = key""",
 }
 
+_BODIES |= {
+    "linkage_sites": f"""SELECT m.a AS "left", m.b AS "right", {r6("d", "height")},
+        CAST(len(string_split(items, ',')) AS BIGINT) AS size FROM mg m JOIN lo ON lo.step = m.step AND lo.c = m.a""",
+    "leaf_order": """SELECT CAST(id AS INTEGER) AS id, CAST(row_number() OVER (ORDER BY i) - 1 AS BIGINT) AS position FROM (
+        SELECT unnest(string_split(items, ',')) AS id, generate_subscripts(string_split(items, ','), 1) AS i
+        FROM lo WHERE step = (SELECT max(step) FROM lo))""",
+    "cut_sites": """SELECT CAST(id AS INTEGER) AS id, CAST(dense_rank() OVER (ORDER BY c) AS INTEGER) AS cluster FROM (
+        SELECT c, unnest(string_split(items, ',')) AS id FROM lo WHERE step = (SELECT count(*) FROM mg WHERE d <= 1.5))""",
+}
+
 ORACLES: dict[str, str] = {name: sql(body) for name, body in _BODIES.items()}

@@ -614,6 +614,19 @@ def leaf_order(spark: SparkSession, sf: str) -> DataFrame:
     return L.leaf_order(L.linkage_merges(points), points)
 
 
+@query
+def linkage_sites(spark: SparkSession, sf: str) -> DataFrame:
+    """The merge tree of the sites."""
+    return L.linkage_merges(_site_points(spark, sf)).select("left", "right", r6("height"), "size")
+
+
+@query
+def cut_sites(spark: SparkSession, sf: str) -> DataFrame:
+    """Site clusters at a height."""
+    points = _site_points(spark, sf)
+    return L.cut_tree(L.linkage_merges(points, 1.5), points, 1.5)
+
+
 CUT_HEIGHT = 10.0
 
 
@@ -752,18 +765,18 @@ def _moments(spark: SparkSession, sf: str, names: list[str], n: int) -> P.Moment
 
 @query
 def permutation_f(spark: SparkSession, sf: str) -> DataFrame:
-    return P.model_test(_moments(spark, sf, ["s_bal"], 99)).select("term", r6("f"), "reached", r6("p"))
+    return P.model_test(_moments(spark, sf, ["s_bal"], 9999)).select("term", r6("f"), "reached", r6("p"))
 
 
 @query
 def permutation_margin(spark: SparkSession, sf: str) -> DataFrame:
-    tested = P.margin_test(_moments(spark, sf, ["s_bal", "o_price", "n_cust"], 9999))
+    tested = P.margin_test(_moments(spark, sf, ["s_bal", "o_price"], 9999))
     return tested.select("term", r6("f"), "reached", r6("p"))
 
 
 @query
 def permutation_axis(spark: SparkSession, sf: str) -> DataFrame:
-    tested = P.axis_test(_moments(spark, sf, ["s_bal", "o_price", "n_cust"], 9999))
+    tested = P.axis_test(_moments(spark, sf, ["s_bal", "o_price"], 9999))
     return tested.select("term", r6("f"), "reached", r6("p"))
 
 
