@@ -24,8 +24,9 @@ def running_total(
 ) -> DataFrame:
     """Add ``out``: the total of ``amount`` (or row count) over the earlier rows of a group.
 
-    ``keys`` must not be NULL and ``order`` must be unique within a group.
+    ``order`` must be unique within a group. NULL keys form a group of their own.
     """
+    group = F.struct(*keys, "_slice")  # compares NULL fields as equal
     weight = F.lit(1).cast("long") if amount is None else F.col(amount)
     ranged = saved(
         df.withColumn("_weight", weight)
@@ -35,13 +36,15 @@ def running_total(
     earlier = Window.unboundedPreceding, -1
     slices = ranged.groupBy(*keys, "_slice").agg(F.sum("_weight").alias("_total"))
     across = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(*earlier)
-    offsets = slices.select(*keys, "_slice", F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(*earlier)
+    offset = F.coalesce(F.sum("_total").over(across), F.lit(0))
+    offsets = slices.select(group.alias("_group"), offset.alias("_offset"))
+    within = Window.partitionBy("_group").orderBy(*order).rowsBetween(*earlier)
     inside = F.coalesce(F.sum("_weight").over(within), F.lit(0))
     return (
-        ranged.join(offsets, [*keys, "_slice"])
+        ranged.withColumn("_group", group)
+        .join(offsets, "_group")
         .withColumn(out, F.col("_offset") + inside)
-        .drop("_weight", "_slice", "_offset")
+        .drop("_weight", "_slice", "_group", "_offset")
     )
 
 
@@ -69,7 +72,7 @@ def dense_positions(df: DataFrame, columns: Sequence[Column], out: str = "ord")
 
 
 def make_unique(df: DataFrame, label: str, order: str, out: str = "unique_label") -> DataFrame:
-    """Tell equal labels apart: ``a``, ``a.1``, ``a.2`` in the given row order.
+    """Tell equal labels apart: ``a``, ``a.1``, ``a.2`` in the given row order; NULL stays NULL.
 
     A suffix that some label already carries is skipped. The k-th repeat of a
     label takes the k-th whole number that is free, which is k plus the taken
@@ -77,7 +80,7 @@ def make_unique(df: DataFrame, label: str, order: str, out: str = "unique_label"
     """
     placed = running_total(df, [label], [F.col(order)], out="_repeat")
     number = F.col("_repeat")
-    repeats = placed.where("_repeat > 0")
+    repeats = placed.where((F.col("_repeat") > 0) & F.col(label).isNotNull())
     pattern = r"^(.*)[.]([1-9][0-9]*)$"
     base, digits = F.regexp_extract(label, pattern, 1), F.regexp_extract(label, pattern, 2)
     numbered = placed.select(label).where(F.col(label).rlike(pattern)).distinct()
@@ -86,7 +89,8 @@ def make_unique(df: DataFrame, label: str, order: str, out: str = "unique_label"
     if not taken.isEmpty():
         placed = placed.join(_skipped(taken, repeats, label), [label, "_repeat"], "left")
         number = number + F.coalesce("_skipped", F.lit(0))
-    unique = F.when(F.col("_repeat") == 0, F.col(label)).otherwise(F.concat_ws(".", F.col(label), number.cast("string")))
+    first = (F.col("_repeat") == 0) | F.col(label).isNull()
+    unique = F.when(first, F.col(label)).otherwise(F.concat_ws(".", F.col(label), number.cast("string")))
     return placed.withColumn(out, unique).drop("_repeat", "_skipped")
 
 

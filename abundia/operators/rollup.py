@@ -82,7 +82,7 @@ def rescale_minmax(
         return df.withColumn(out, rescaled(F.col(value), low, high, to))
     bounds = sized(df.groupBy(*keys).agg(*ends))
     scaled = rescaled(F.col(value), F.col("_low"), F.col("_high"), to)
-    return df.join(bounds, list(keys)).withColumn(out, scaled).drop("_low", "_high")
+    return df.join(bounds, list(keys), "left").withColumn(out, scaled).drop("_low", "_high")
 
 
 def metabolism_site_abundance(members: DataFrame, abundance: DataFrame, sites: Sequence[Any]) -> DataFrame:
@@ -247,14 +247,22 @@ def pathway_site_matrix(
 
 
 def presence_agreement(
-    genes: DataFrame, gene_abundance: DataFrame, genomes: DataFrame, fixers: DataFrame, n_sites: int
+    genes: DataFrame,
+    gene_abundance: DataFrame,
+    genomes: DataFrame,
+    fixers: DataFrame,
+    n_sites: int,
+    excluded: DataFrame | None = None,
 ) -> DataFrame:
     """Compare where key genes and where their genomes are found.
 
     ``genes`` is (entity, gene_id) of the key genes. Per fixer and site the
     gene presence minus the genome presence is -1, 0 or 1; cells absent from
-    both tables are counted as 0 without being built.
+    both tables are counted as 0 without being built. ``excluded`` lists
+    (entity, gene_id) to leave out, such as genes checked by hand.
     """
+    if excluded is not None:
+        genes = genes.join(excluded.select("entity", "gene_id"), ["entity", "gene_id"], "left_anti")
     by_gene = (
         genes.distinct()
         .join(gene_abundance.where("abundance <> 0"), "gene_id")

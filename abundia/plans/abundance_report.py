@@ -12,7 +12,7 @@ from abundia.functions.numeric import cut_off
 from abundia.functions.text import class_label, strip_first_item, taxon_name
 from abundia.operators import correlate, linkage, markers, relational, reshape, rollup, traits
 from abundia.plans import fixed_values as V
-from abundia.sources.csv import abundance_from_wide
+from abundia.sources.csv import abundance_from_wide, write_table
 from abundia.sources.schema import RANKS
 from abundia.sources.scratch import saved, small_table
 
@@ -187,3 +187,14 @@ def tables(sheets: Sheets) -> dict[str, DataFrame]:
         ),
         "class_of_entity": entities.select("entity", class_label().alias("class")),
     }
+
+
+def quality_sheet(quality: DataFrame) -> DataFrame:
+    """The genome quality table under its published headings."""
+    return quality.select(*[F.col(f"`{c}`").alias(heading) for c, heading in V.QUALITY_HEADINGS.items()])
+
+
+def write_all(report: dict[str, DataFrame], folder: str, kind: str = "parquet") -> None:
+    """Write every table of a report below one folder."""
+    for name, table in report.items():
+        write_table(table, f"{folder}/{name}", kind)

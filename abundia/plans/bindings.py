@@ -213,9 +213,9 @@ COVARIATES = ["c_bal", "n_cust", "n_rich", "s_bal", "n_supp", "o_price"]
 
 
 def tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, parent, label): region over nation over customer over order; regions are labelled ``r...``.
+    """(node, parent, label): region over nation over customer over order.
 
-    Customers whose key ends in a region's label rule carry a deeper label.
+    Regions are labelled, and so are the customers of one market segment.
     """
     region = table(spark, sf_dir, "region").select(
         F.concat(F.lit("R"), "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"),

@@ -138,6 +138,17 @@ EXTRA_CLASSES = [
 
 MIN_TRNA = 18
 RRNA = ["23s", "16s", "5s"]
+QUALITY_HEADINGS = {
+    "entity": "Bin #",
+    "name": "Taxa ID",
+    "size": "size",
+    "completeness": "Completeness (%)",
+    "contamination": "Contamination (%)",
+    "23s": "23S rRNA",
+    "16s": "16S rRNA",
+    "5s": "5S rRNA",
+    "trna_total": "# of individual tRNA",
+}
 CULTURE_LEVELS = ["Domain", "Phylum", "Class", "Order", "Family", "Genus", "Species"]
 
 # ---- Fixed values: covariates ------------------------------------------------------------

@@ -77,8 +77,10 @@ CTES: dict[str, str] = {
         + (count(*) OVER (PARTITION BY site, a) - 1) / CAST(2 AS DOUBLE) AS r FROM grid""",
     "srho": """SELECT x.site AS site_a, y.site AS site_b, corr(x.r, y.r) AS rho FROM srank x JOIN srank y USING (entity)
         GROUP BY 1, 2""",
+    "known": "SELECT site FROM srank GROUP BY 1 HAVING min(r) < max(r)",
+    "sprof": "SELECT * FROM srho WHERE site_a IN (SELECT site FROM known) AND site_b IN (SELECT site FROM known)",
     "sdist": """SELECT x.site_a AS a, y.site_a AS b, sqrt(sum((x.rho - y.rho) * (x.rho - y.rho))) AS d
-        FROM srho x JOIN srho y ON x.site_b = y.site_b AND x.site_a < y.site_a GROUP BY 1, 2""",
+        FROM sprof x JOIN sprof y ON x.site_b = y.site_b AND x.site_a < y.site_a GROUP BY 1, 2""",
     "lk": """SELECT 0 AS step, a, b, d FROM sdist UNION ALL
         SELECT step + 1, least(x, y), greatest(x, y), max(d) FROM (
           SELECT step, d, CASE WHEN a = mb THEN ma ELSE a END AS x, CASE WHEN b = mb THEN ma ELSE b END AS y FROM (
@@ -86,7 +88,7 @@ CTES: dict[str, str] = {
         WHERE x <> y GROUP BY 1, 2, 3""",
     "mg": """SELECT step + 1 AS step, a, b, d FROM (
         SELECT *, row_number() OVER (PARTITION BY step ORDER BY d, a, b) AS rn FROM lk) WHERE rn = 1""",
-    "lo": """SELECT CAST(0 AS BIGINT) AS step, site AS c, CAST(site AS VARCHAR) AS items, CAST(-1 AS BIGINT) AS formed FROM sites
+    "lo": """SELECT CAST(0 AS BIGINT) AS step, site AS c, CAST(site AS VARCHAR) AS items, CAST(-1 AS BIGINT) AS formed FROM known
         UNION ALL SELECT lo.step + 1, CASE WHEN c = m.b THEN m.a ELSE c END, string_agg(items, ',' ORDER BY formed, c),
         CASE WHEN count(*) > 1 THEN lo.step + 1 ELSE max(formed) END FROM lo JOIN mg m ON m.step = lo.step + 1 GROUP BY 1, 2""",
     "erank": """SELECT entity, site, rank() OVER (PARTITION BY entity ORDER BY a)
@@ -360,8 +362,7 @@ _HOLED = """SELECT c_custkey, CASE WHEN md5(CAST(c_custkey AS VARCHAR))[1] <> '0
 
 _BODIES |= {
     "spearman_sites": f"SELECT site_a, site_b, {r6('rho', 'rho')} FROM srho WHERE site_a < site_b",
-    "profile_distance": f"""SELECT a.site_a AS site_a, b.site_a AS site_b, {r6("sqrt(sum((a.rho - b.rho) * (a.rho - b.rho)))", "distance")}
-        FROM srho a JOIN srho b ON a.site_b = b.site_b AND a.site_a < b.site_a GROUP BY 1, 2""",
+    "profile_distance": f"SELECT a AS site_a, b AS site_b, {r6('d', 'distance')} FROM sdist",
     "spearman_entities": f"""SELECT entity_a, entity_b, {r6("rho", "rho")} FROM (SELECT x.entity AS entity_a, y.entity AS entity_b,
         corr(x.r, y.r) AS rho FROM erank x JOIN erank y ON x.site = y.site AND x.entity < y.entity GROUP BY 1, 2)
         WHERE abs(round(rho, 9)) >= 0.7""",

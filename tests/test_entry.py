@@ -12,7 +12,7 @@ from tests.oracle_check import compare, connect
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-LONG = {"impute_forest", "linkage_merges", "cut_tree", "community_split", "leaf_order"}
+LONG = {"impute_forest", "linkage_merges", "cut_tree", "community_split"}
 
 
 @pytest.fixture(scope="module")

@@ -10,7 +10,7 @@ from abundia.functions import numeric as N
 from abundia.functions import text as X
 from abundia.operators.rollup import rescale_minmax
 from abundia.sources import csv as S
-from abundia.sources import schema
+from abundia.sources import schema, scratch
 
 
 def one(spark, schema_, row, *columns):
@@ -104,3 +104,26 @@ def test_standard_error_matches_pandas(spark):
     cells = [3.0, 0.0, 0.0, 5.0, 1.0]
     row = one(spark, "t double, q double", (sum(cells), sum(c * c for c in cells)), N.standard_error(F.col("t"), F.col("q"), 5))
     assert row[0] == pytest.approx(pd.Series(cells).std() / math.sqrt(5))
+
+
+class FakeSession:
+    """Just the settings a session is asked for."""
+
+    def __init__(self, master, folder=None):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = type("Context", (), {"master": master})()
+
+
+def test_scratch_folder_comes_from_the_session(spark):
+    assert scratch.scratch_root(FakeSession("spark://host:7077", "hdfs://shared/tmp/")) == "hdfs://shared/tmp"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.scratch_root(FakeSession("yarn"))
+    assert scratch.scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_bounded_lists_and_lookups_refuse_to_grow(spark):
+    assert scratch.bounded_values(spark.range(3), "id", 3) == [0, 1, 2]
+    with pytest.raises(ValueError):
+        scratch.bounded_values(spark.range(4), "id", 3)
+    with pytest.raises(ValueError):
+        scratch.small_table(spark, [(i,) for i in range(scratch.MAX_SMALL_ROWS + 1)], "i int")

@@ -61,7 +61,7 @@ def test_region_sizes_and_site_names():
     assert sorted(V.CHORD_ORDER) == sorted(SITES)
 
 
-def test_every_report_table(spark, sheets):
+def test_every_report_table(spark, sheets, tmp_path):
     tables = A.tables(sheets)
     counts = {name: table.count() for name, table in tables.items()}
     n = len(ENTITIES)
@@ -88,6 +88,10 @@ def test_every_report_table(spark, sheets):
     assert counts["class_labels"] >= len(V.EXTRA_CLASSES)
     named = {r.entity: r.name for r in tables["quality"].collect()}
     assert not any(name.startswith("bin_") for name in named.values())
+    sheet = A.quality_sheet(tables["quality"])
+    assert sheet.columns[0] == "Bin #" and sheet.columns[-1] == "# of individual tRNA"
+    A.write_all({"quality": sheet}, str(tmp_path), "csv")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/quality").count() == n
 
 
 def test_heatmap_positions(spark, sheets):

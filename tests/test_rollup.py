@@ -76,6 +76,9 @@ def test_presence_agreement_counts_unbuilt_cells(spark):
     # a: s1 both, s2 genome only; b: s1 genome only, s3 gene only; c: nothing
     assert {k: v[0] for k, v in got.items()} == {-1: 2, 0: 6, 1: 1}
     assert sum(v[1] for v in got.values()) == pytest.approx(100)
+    excluded = spark.createDataFrame([("b", "g3")], "entity string, gene_id string")
+    fewer = U.presence_agreement(genes, found, cells(spark), fixers, 3, excluded)
+    assert {r.difference: r.n for r in fewer.collect()} == {-1: 2, 0: 7, 1: 0}
 
 
 def test_published_culture_counts(spark):
@@ -133,6 +136,11 @@ def test_running_total_over_one_hot_group(spark):
     assert (got.before == want).all()
 
 
+def test_null_labels_are_kept(spark):
+    rows = spark.createDataFrame([(1, None), (2, "a"), (3, None), (4, "a")], "i int, n string")
+    assert {r.i: r.unique_label for r in O.make_unique(rows, "n", "i").collect()} == {1: None, 2: "a", 3: None, 4: "a.1"}
+
+
 def reference_make_unique(names):
     seen, out, count = set(names), [], {}
     used = set()
