@@ -213,7 +213,7 @@ _BODIES: dict[str, str] = {
     + " FROM ann WHERE marker IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY 1",
     "marker_catalogue": """SELECT a.entity, m.metabolism, a.gene_id, m.gene, a.marker FROM annp a JOIN (
         SELECT DISTINCT l_returnflag AS metabolism, 'gene' || l_linestatus AS gene,
-        l_linenumber || l_returnflag || l_linestatus AS marker FROM lineitem WHERE l_linenumber <= 2) m ON a.marker = m.marker
+        l_linenumber || l_returnflag || l_linestatus AS marker FROM lineitem) m ON a.marker = m.marker
         WHERE a.entity IN (SELECT entity FROM cand WHERE candidate = 'autotroph')""",
     "redox_traits": "SELECT entity, trait, value FROM redox",
     "apply_overrides": """SELECT entity, trait, CASE WHEN trait = 'Aerobic' AND p_retailprice >= 1000 THEN 0
@@ -221,7 +221,8 @@ _BODIES: dict[str, str] = {
         FROM redox JOIN part ON entity = p_partkey""",
     "taxon_mask": """SELECT entity, trait, CASE WHEN trait = 'Aerobic' AND (phylum = 'Brand#3' OR ord_rank = 'red') THEN 0
         WHEN trait = 'Microaerobic' AND class = 'PROMO' THEN 0 ELSE value END AS value FROM redox JOIN dim USING (entity)""",
-    "conditional_mask": "SELECT entity, 'Microaerobic' AS trait, CASE WHEN wl_p = 1 THEN 0 ELSE micro END AS value FROM fl",
+    "conditional_mask": """SELECT entity, trait, kind, CASE WHEN trait = 'Microaerobic' AND wl_p = 1 THEN 0 ELSE value END
+        AS value FROM traits JOIN fl USING (entity)""",
     "flag_by_keys": """SELECT entity, phylum, CAST(entity IN (SELECT entity FROM annp WHERE marker = '1RF') AS INTEGER) AS flag
         FROM dim""",
     "abundance_cutoff": "SELECT entity, site, CASE WHEN abundance < 20 THEN 0 ELSE abundance END AS abundance FROM ab",

@@ -173,10 +173,9 @@ def marker_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def marker_catalogue(spark: SparkSession, sf: str) -> DataFrame:
-    """Genes of autotroph candidates that carry a catalogued marker (one per flag pair)."""
+    """Genes of autotroph candidates beside the catalogue entry of their marker."""
     catalogue = (
         B.table(spark, sf, "lineitem")
-        .where("l_linenumber <= 2")
         .select(
             F.col("l_returnflag").alias("metabolism"),
             F.concat(F.lit("gene"), "l_linestatus").alias("gene"),
@@ -226,7 +225,7 @@ def taxon_mask(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def conditional_mask(spark: SparkSession, sf: str) -> DataFrame:
     masked = R.conditional_mask(B.traits(spark, sf), "Microaerobic", "Wood.Ljungdahl.present")
-    return masked.where("trait = 'Microaerobic'").select("entity", "trait", "value")
+    return masked.select("entity", "trait", "kind", "value")
 
 
 @query
