@@ -14,6 +14,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from abundia.sources.scratch import sized
+
 
 class MarkerRule(NamedTuple):
     trait: str
@@ -76,8 +78,12 @@ def marker_flags(annotation: DataFrame, markers: Sequence[str]) -> DataFrame:
 
 
 def marker_catalogue(annotation: DataFrame, marker_dim: DataFrame, entities: DataFrame) -> DataFrame:
-    """Genes of the given entities that carry a catalogued marker."""
-    named = annotation.join(marker_dim, "marker").join(entities.select("entity"), "entity", "left_semi")
+    """Genes of the given entities that carry a catalogued marker.
+
+    One marker may be on a third of all genes, so the catalogue is sized first:
+    as a small table it is broadcast and the annotation stays where it is.
+    """
+    named = annotation.join(sized(marker_dim), "marker").join(entities.select("entity"), "entity", "left_semi")
     return named.select("entity", "metabolism", "gene_id", "gene", "marker")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from abundia.sources.scratch import sized
@@ -43,8 +43,11 @@ def flag_by_keys(df: DataFrame, keys: DataFrame, column: str, flag: str) -> Data
 
 
 def apply_overrides(traits: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Replace trait values by the curated ones. Applying it twice changes nothing."""
-    edits = overrides.groupBy("entity", "trait").agg(F.min("value").alias("_edit"))
+    """Replace trait values by the curated ones. Applying it twice changes nothing.
+
+    A few edits are broadcast, so that the trait table is not shuffled for them.
+    """
+    edits = sized(overrides.groupBy("entity", "trait").agg(F.min("value").alias("_edit")))
     return (
         traits.join(edits, ["entity", "trait"], "left")
         .withColumn("value", F.coalesce("_edit", "value"))
@@ -56,7 +59,7 @@ def taxon_overrides(entity_dim: DataFrame, rules: DataFrame) -> DataFrame:
     """Turn (rank, taxon, trait, value) rules into per-entity overrides."""
     ranks = [r for r in ("kingdom", "phylum", "class", "order", "family", "genus", "species") if r in entity_dim.columns]
     placed = entity_dim.unpivot(["entity"], ranks, "rank", "taxon")
-    return placed.join(rules, ["rank", "taxon"]).select("entity", "trait", "value")
+    return placed.join(sized(rules), ["rank", "taxon"]).select("entity", "trait", "value")
 
 
 def taxon_mask(traits: DataFrame, entity_dim: DataFrame, rules: DataFrame) -> DataFrame:
@@ -65,10 +68,13 @@ def taxon_mask(traits: DataFrame, entity_dim: DataFrame, rules: DataFrame) -> Da
 
 
 def conditional_mask(traits: DataFrame, masked: str, condition: str) -> DataFrame:
-    """Set trait ``masked`` to 0 for entities that show trait ``condition``."""
-    having = traits.where((F.col("trait") == condition) & (F.col("value") > 0))
-    edits = having.select("entity", F.lit(masked).alias("trait"), F.lit(0).alias("value"))
-    return apply_overrides(traits, edits)
+    """Set trait ``masked`` to 0 for entities that show trait ``condition``.
+
+    (entity, trait) is unique, so the window is as long as the list of traits.
+    """
+    shows = F.max(F.when(F.col("trait") == condition, F.col("value"))).over(Window.partitionBy("entity"))
+    off = (F.col("trait") == masked) & (F.col("_shows") > 0)
+    return traits.withColumn("_shows", shows).withColumn("value", F.when(off, 0).otherwise(F.col("value"))).drop("_shows")
 
 
 def tagged_union(parts: dict[str, DataFrame], tag: str) -> DataFrame:
