@@ -147,22 +147,32 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _follow(moves: DataFrame, onward: DataFrame) -> DataFrame:
+    step = onward.select(F.col("a").alias("to"), F.col("to").alias("next"))
+    return moves.join(step, "to").select("a", F.col("next").alias("to"))
+
+
 def contract(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Connected groups: (node, root) for every node, from undirected edges (a, b).
 
-    Each round every node moves to the member of its closed neighbourhood with the
-    least seeded hash and the edges are redrawn between the new nodes, so chains
-    shrink by a constant factor a round whatever their ids are. All steps are
+    Each round every node points at the node with the least seeded hash at most two
+    edges away, follows that node's pointer too, and the edges are redrawn between the
+    new nodes, so a star is gone after a round and chains shrink by a constant factor
+    whatever their ids are. All steps are
     joins and groupings over tables written to the shared folder.
     """
     roots = nodes.select("node", F.col("node").alias("root"))
     edges = saved(edges.where("a <> b").select("a", "b").distinct())
     turn, written = 0, []
     while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
-        near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), F.col("b").alias("to"))).alias("n"))
-        own = F.xxhash64("a", F.lit(turn))
-        moves = saved(near.select("a", F.when(F.col("n.h") < own, F.col("n.to")).otherwise(F.col("a")).alias("to")))
+        both = edges.union(edges.select("b", "a")).select("a", "b")
+        ends = both.select("a").distinct().select("a", F.col("a").alias("b"))
+        closed = both.union(ends)
+        first = closed.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), F.col("b").alias("to"))).alias("n"))
+        once = saved(first.select("a", "n.h", "n.to"))
+        reach = closed.join(once.select(F.col("a").alias("b"), F.struct("h", "to").alias("n")), "b")
+        twice = reach.groupBy("a").agg(F.min("n").alias("n")).select("a", "n.to")
+        moves = saved(_follow(twice, twice))
         step = moves.withColumnsRenamed({"a": "root", "to": "moved"})
         roots = saved(roots.join(step, "root", "left").select("node", F.coalesce("moved", "root").alias("root")))
         redrawn = (
@@ -173,7 +183,7 @@ def contract(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             .distinct()
         )
         redrawn = saved(redrawn)
-        for old in (edges, moves, *written):
+        for old in (edges, once, moves, *written):
             drop_table(old)
         edges, written, turn = redrawn, [roots], turn + 1
     drop_table(edges)

@@ -41,15 +41,15 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, BLANK), lambda w: w != "")
 
 
-def _bucket(*words: Column) -> Column:
-    return F.pmod(F.xxhash64(*words), F.lit(BUCKETS)).cast("int")
+def _hashes(text: Column) -> Column:
+    return F.transform(_words(text), lambda w: F.xxhash64(w))
 
 
-def _features(words: Column) -> Column:
-    """Buckets of all words, then of all pairs of neighbours."""
-    single = F.transform(words, lambda w: _bucket(w))
-    pairs = F.transform(words, lambda w, i: F.when(i > 0, _bucket(F.get(words, i - 1), w)))
-    return F.concat(single, F.filter(pairs, lambda b: b.isNotNull()))
+def _features(hashes: Column) -> Column:
+    """Buckets of all words and of all pairs of neighbours; the first word also pairs with the text's start."""
+    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
+    single = F.transform(hashes, lambda h: bucket(h))
+    return F.concat(single, F.transform(hashes, lambda h, i: bucket(F.xxhash64(F.get(hashes, i - 1), h))))
 
 
 def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
@@ -61,9 +61,9 @@ def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
 def model(docs: DataFrame, trusted: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """(bucket, weight): the log ratio of every bucket, ``BUCKETS`` rows."""
     mine = F.broadcast(trusted.select(F.col("doc_id").alias("t_id")).withColumn("t", F.lit(1)))
-    words = docs.select(F.col("doc_id").cast("long").alias("d_id"), _words(F.coalesce("text", F.lit(""))).alias("words"))
-    marked = words.join(mine, F.col("d_id") == F.col("t_id"), "left").select("words", F.coalesce("t", F.lit(0)).alias("t"))
-    found = marked.select("t", F.explode(_features(F.col("words"))).alias("bucket"))
+    words = docs.select(F.col("doc_id").cast("long").alias("d_id"), _hashes(F.coalesce("text", F.lit(""))).alias("hashes"))
+    marked = words.join(mine, F.col("d_id") == F.col("t_id"), "left").select("hashes", F.coalesce("t", F.lit(0)).alias("t"))
+    found = marked.select("t", F.explode(_features(F.col("hashes"))).alias("bucket"))
     counts = saved(found.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target")))
     all_raw, all_target = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0))).first()
     dense = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0, ["raw", "target"])
@@ -82,13 +82,13 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, words and the counts of the base rules, a row for each row of ``docs``."""
+    """doc_id, text_key, word hashes and the counts of the base rules, a row for each row of ``docs``."""
     text = F.col("text")
     step = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    step = step.withColumn("words", _words(text)).withColumn("n_words", F.size("words").cast("long"))
+    step = step.withColumn("hashes", _hashes(text)).withColumn("n_words", F.size("hashes").cast("long"))
     starts = F.when(F.col("n_words") >= WINDOW, F.sequence(F.lit(1), F.col("n_words").cast("int") - (WINDOW - 1)))
     step = step.withColumn("starts", F.coalesce(starts, F.array().cast("array<int>")))
-    step = step.withColumn("windows", F.transform("starts", lambda i: F.xxhash64(F.slice("words", i, WINDOW))))
+    step = step.withColumn("windows", F.transform("starts", lambda i: F.xxhash64(F.slice("hashes", i, WINDOW))))
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
     placed = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     step = step.withColumn("placed", F.when(repeats, placed))
@@ -103,7 +103,7 @@ def counted(docs: DataFrame) -> DataFrame:
     return step.select(
         "doc_id",
         F.xxhash64(text).alias("text_key"),
-        "words",
+        "hashes",
         "n_words",
         F.char_length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -120,7 +120,7 @@ def judge(docs: DataFrame, weights: DataFrame, threshold: float = THRESHOLD) ->
     """
     key = ["row", "doc_id", "text_key", *COUNTS]
     rows = counted(docs).withColumn("row", F.monotonically_increasing_id())
-    found = rows.select(*key, F.explode_outer(_features(F.col("words"))).alias("bucket"))
+    found = rows.select(*key, F.explode_outer(_features(F.col("hashes"))).alias("bucket"))
     scored = found.join(F.broadcast(weights), "bucket", "left").groupBy(*key).agg(F.coalesce(F.avg("weight"), F.lit(0.0)).alias("llr"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = scored.drop("row").withColumn("base_failed", failed)

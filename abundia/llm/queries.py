@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abundia.llm import exact_dedup, quality
+from abundia.llm import exact_dedup, ngram_join, quality
 from abundia.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,12 @@ def query(function: Callable[[SparkSession, str], DataFrame]):
     return function
 
 
+@query
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by a Jaccard similarity of 0.8 on 5-word shingles."""
+    return ngram_join.components(read(spark, sf_dir, "documents"))
+
+
 @query
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts; the largest id of a group stays."""
