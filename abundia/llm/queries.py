@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abundia.llm import exact_dedup, ngram_join, quality
+from abundia.llm import exact_dedup, mixing, ngram_join, packing, quality
 from abundia.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, log-likelihood ratio and verdict of every document."""
     return quality.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken when six tenths of all tokens are mixed to the target weights."""
+    levels = {"domain": mixing.domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+    found = mixing.selection(read(spark, sf_dir, "documents"), levels, 0.6, mixing.WEIGHTS)
+    names = {"id": "doc_id", "l0": "domain", "l1": "lang", "l2": "source", "tokens": "n_tokens", "budget": "leaf_budget"}
+    return found.withColumnsRenamed(names).drop("text_key")
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bucket, batch and position of every document."""
+    return packing.pack(read(spark, sf_dir, "documents"))
