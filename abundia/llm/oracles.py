@@ -27,3 +27,20 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY t)
 """
+
+# The template writes <s><|role|>..<|text|>..</s> a turn, [INST] and [/INST] with a blank around a user's turn.
+MASKED = "replace(replace(replace(replace(replace(replace(replace({}, '\\', '\\\\'), '<s>', '<\\.s>'), '</s>', '<\\./s>'), '[INST]', '[\\.INST]'), '[/INST]', '[\\./INST]'), '<|role|>', '<\\.|role|>'), '<|text|>', '<\\.|text|>')"
+
+ORACLES["op10_chat_formatting"] = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(23 + length({MASKED.format('role')}) + length({MASKED.format('text')}) + CASE WHEN role = 'user' THEN 15 ELSE 0 END)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
