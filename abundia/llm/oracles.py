@@ -44,3 +44,17 @@ SELECT conv_id, count(*) AS n_turns,
        sum(23 + length({MASKED.format('role')}) + length({MASKED.format('text')}) + CASE WHEN role = 'user' THEN 15 ELSE 0 END)::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+ORACLES["op5_substring_dedup"] = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {WORDS.format('text')} AS w FROM documents),
+x AS MATERIALIZED (
+  SELECT doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d)
+),
+b AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY h) AS f FROM x) WHERE f < doc_id),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM b),
+t AS MATERIALIZED (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.p) AS kept, count(*) AS n FROM t ANTI JOIN g ON t.doc_id = g.doc_id AND t.p = g.p GROUP BY t.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abundia.llm import chat, exact_dedup, mixing, ngram_join, packing, quality
+from abundia.llm import chat, exact_dedup, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup
 from abundia.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,16 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", forged), (-1, 1, "assistant", forged)], "conv_id long, turn long, role string, text string")
     given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.read_back(chat.formatted(given.unionByName(extra)))
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that no earlier 100-byte string repeats."""
+    return suffix_dedup.removed(read(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that no 50-word window of a smaller doc_id repeats."""
+    found = substring_dedup.cleaned(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
