@@ -78,12 +78,12 @@ def pieces(offsets: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
 class Words:
     """Words of consecutive texts: byte ranges, and the range of words of each text."""
 
-    def __init__(self, offsets: np.ndarray, data: np.ndarray, lower: bool):
+    def __init__(self, offsets: np.ndarray, data: np.ndarray, lower: bool, blank: np.ndarray = _space):
         self.data = _lower[data] if lower else data
         offsets = offsets - offsets[0]
         inner = offsets[1:-1]
         inner = inner[inner < len(data)]
-        ink = ~_space[data]
+        ink = ~blank[data]
         first, last = ink.copy(), ink.copy()
         first[1:] &= ~ink[:-1]
         last[:-1] &= ~ink[1:]

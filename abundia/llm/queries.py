@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abundia.llm import chat, exact_dedup, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup
+from abundia.llm import chat, exact_dedup, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup, toxicity
 from abundia.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,9 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that no 50-word window of a smaller doc_id repeats."""
     found = substring_dedup.cleaned(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
