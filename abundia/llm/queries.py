@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abundia.llm import chat, exact_dedup, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup, toxicity
+from abundia.llm import chat, exact_dedup, lm, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup, toxicity
 from abundia.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,9 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a trie trained without the held-out fold."""
+    return lm.scored(read(spark, sf_dir, "documents"))
