@@ -11,11 +11,12 @@ suffix itself would take ``length``, and equal prefixes, which is all a duplicat
 needs, stay neighbours.
 
 The corpus comes in ``batches`` by doc_id. A new batch is sorted into an array of its
-own and merge-scanned (a sort-merge join on the anchor) against every level of the
+own and merge-scanned (a sort-merge join on the run) against every level of the
 family; then it becomes level 0, and two arrays of the same level merge into one of
 the next, so an entry is rewritten once per doubling. A scan finds equal runs, which
-are removed as a whole, and runs that share an anchor but differ; only the latter
-are extended byte by byte, as single windows. When the whole corpus is at hand, a sketch
+are removed as a whole. Runs that share an anchor but differ are neighbours in the
+family's order; only those are looked at closer, first by runs of longer grams, then
+by single windows. When the whole corpus is at hand, a sketch
 first drops suffixes that provably have no partner.
 
 Defined cases: a null text is empty; a null doc_id counts as smaller than any
@@ -38,6 +39,8 @@ from abundia.llm.common import drop_table, id_or_least, saved
 LENGTH = 100
 GRAM = 32
 BATCHES = 4
+#: Windows that a gram of the second cut shares at most, less one.
+FINER = 12
 SPAN = ["id", "text_key", "start", "count"]
 
 
@@ -47,34 +50,24 @@ class SuffixFamily:
     def __init__(self) -> None:
         self.levels: list[DataFrame | None] = []
 
-    def add(self, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Scan a batch (whose ids follow those of all batches before) against the family, then add it.
-
-        Returns the spans of runs met before and of runs that share an anchor with a different run.
-        """
-        array = saved(entries.groupBy("run", "anchor").agg(F.min("id").alias("id")))
-        known = entries.join(array.select("run", F.col("id").alias("owner")), "run")
-        whole = [known.where("id > owner").select(*SPAN)]
-        mine = saved(known.where("id = owner").drop("owner", "again").dropDuplicates(["run", "id"]))
-        crowded = mine.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-        unlike = [mine.join(crowded, "anchor", "left_semi").select(*SPAN)]
-        fresh = mine.select("anchor", "run", *SPAN)
+    def add(self, entries: DataFrame) -> DataFrame:
+        """Add a batch whose ids follow those of all batches before; returns the spans of runs that were met before."""
+        array = saved(entries.groupBy("run").agg(F.min("id").alias("owner")))
+        known = entries.join(array, "run").withColumn("met", F.col("id") > F.col("owner"))
         for level in self.levels:
-            if level is None:
-                continue
-            runs = level.select("run")
-            whole.append(mine.join(runs, "run", "left_semi").select(*SPAN))
-            fresh = fresh.join(runs, "run", "left_anti")
-            far = level.select("anchor", F.col("run").alias("other"), *[F.col(c).alias(f"far_{c}") for c in SPAN])
-            pairs = mine.groupBy("anchor").agg(F.min("run").alias("low"), F.max("run").alias("high"))
-            met = far.join(pairs, "anchor").where("low <> other OR high <> other")
-            unlike.append(met.select(*[F.col(f"far_{c}").alias(c) for c in SPAN]))
-            theirs = level.groupBy("anchor").agg(F.min("run").alias("low"), F.max("run").alias("high"))
-            unlike.append(mine.join(theirs, "anchor").where("low <> run OR high <> run").select(*SPAN))
-        found = saved(_union(whole)), saved(_union(unlike))
+            if level is not None:
+                before = level.select("run", F.lit(True).alias("before"))
+                known = known.join(before, "run", "left").withColumn("met", F.col("met") | F.col("before").isNotNull()).drop("before")
+        scanned = saved(known.select("anchor", "run", *SPAN, "met"))
+        self._carry(scanned.where("NOT met").select("anchor", "run", *SPAN).dropDuplicates(["run"]))
         drop_table(array)
-        self._carry(fresh)
-        return found
+        return scanned.where("met").select(*SPAN)
+
+    def unlike(self) -> DataFrame:
+        """Spans of entries that share an anchor with a different run; every run has one entry in the family."""
+        entries = _union([level for level in self.levels if level is not None])
+        shared = entries.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+        return entries.join(shared, "anchor", "left_semi").select(*SPAN)
 
     def _carry(self, array: DataFrame) -> None:
         """Binary addition of arrays."""
@@ -104,22 +97,26 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int
     sketch = spark.sparkContext.broadcast(W.repeat_sketch(docs, W.byte_tokens, length, gram, within=True))
     rows = saved(W.run_rows(docs, W.byte_tokens, length, gram, sketch))
     cuts = docs.select(F.percentile_approx(id_or_least(), [i / batches for i in range(1, batches)]).alias("c")).first()[0] or []
-    family, whole, unlike = SuffixFamily(), [rows.where("again").select(*SPAN)], []
-    low = None
+    family, whole, low = SuffixFamily(), [rows.where("again").select(*SPAN)], None
     for high in [*sorted(set(cuts)), None]:
         part = rows.where("NOT again")
         part = part if low is None else part.where(F.col("id") > low)
         part = part if high is None else part.where(F.col("id") <= high)
-        known, partly = family.add(part)
-        whole.append(known)
-        unlike.append(partly)
+        whole.append(family.add(part))
         low = high
-    single = saved(W.single_windows(docs, _union(unlike).distinct(), W.byte_tokens, length))
-    first = single.groupBy("w").agg(F.min(F.struct("id", "start")).alias("f"), F.count("*").alias("k")).where("k > 1")
-    later = single.join(first, "w").where("id > f.id OR (id = f.id AND start > f.start)")
-    hits = later.select("id", "text_key", "start", (F.col("start") + length).alias("end"))
+    # unlike runs are cut into shorter ones by longer grams, and what is still unlike into windows
+    finer = saved(W.sub_runs(docs, family.unlike(), W.byte_tokens, length, length - FINER))
+    owners = saved(finer.groupBy("run").agg(F.min(F.struct("id", "start")).alias("f"), F.min("anchor").alias("anchor"), F.count("*").alias("k")))
+    after = "id > f.id OR (id = f.id AND start > f.start)"
+    whole.append(finer.join(owners.where("k > 1").select("run", "f"), "run").where(after).select(*SPAN))
+    shared = owners.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    split = owners.join(shared, "anchor", "left_semi").select("run", "f.id", "f.start")
+    wanted = finer.join(split, ["run", "id", "start"], "left_semi").select(*SPAN)
+    single = saved(W.single_windows(docs, wanted, W.byte_tokens, length))
+    first = single.groupBy("w").agg(F.min(F.struct("id", "start")).alias("f"), F.count("*").alias("k")).where("k > 1").select("w", "f")
+    hits = single.join(first, "w").where(after).select("id", "text_key", "start", (F.col("start") + length).alias("end"))
     ranges = _union(whole).select("id", "text_key", "start", (F.col("start") + F.col("count") - 1 + length).alias("end"))
-    return saved(ranges.union(hits).distinct())
+    return saved(ranges.union(hits))
 
 
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:

@@ -57,8 +57,8 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - have)], values[width - have :]) if width > have else values
 
 
-def runs_of(values: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, start in the text, windows, anchor, run) of every run of consecutive texts."""
+def runs_of(values: np.ndarray, bounds: np.ndarray, window: int, gram: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(text, start in the text, windows, anchor, run) of every run of consecutive texts, or of their wanted windows."""
     none = np.zeros(0, np.int64)
     if len(values) < window:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
@@ -72,6 +72,8 @@ def runs_of(values: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> t
     np.add.at(edge, bounds[:-1][full], 1)
     np.add.at(edge, ends[full], -1)
     inside = np.cumsum(edge[:-1]) > 0
+    if wanted is not None:
+        inside &= wanted[: len(inside)]
     first, last = inside.copy(), inside.copy()
     change = place[1:] != place[:-1]
     first[1:] &= change | ~inside[:-1]
@@ -139,7 +141,7 @@ def repeat_sketch(docs: DataFrame, tokens: Tokens, window: int, gram: int, withi
         return pa.Table.from_batches([out(key[0].as_py(), key[1].as_py(), seen, again)])
 
     kind = "part long, block long, seen binary, again binary"
-    level = saved(keyed(docs).mapInArrow(count, kind))
+    sent = level = saved(keyed(docs).mapInArrow(count, kind))
     parts = (level.agg(F.max("part")).first()[0] or 0) + 1
     while parts > 1:
         parts = -(-parts // FAN)
@@ -147,6 +149,7 @@ def repeat_sketch(docs: DataFrame, tokens: Tokens, window: int, gram: int, withi
     bits = np.zeros(DEPTH * CELLS // 8, np.uint8)
     for row in level.select("block", "again").collect():  # DEPTH * CELLS / 8 bytes in all
         bits[row.block * (BLOCK // 8) : (row.block + 1) * (BLOCK // 8)] = np.frombuffer(bytes(row.again), np.uint8)
+    C.drop_table(sent)
     return bits.reshape(DEPTH, CELLS // 8)
 
 
@@ -207,6 +210,32 @@ def single_windows(docs: DataFrame, wanted: DataFrame, tokens: Tokens, window: i
     return keyed(docs).join(spans, ["id", "text_key"]).select("id", "text_key", "text", "spans").mapInArrow(run, "w long, id long, text_key long, start int")
 
 
+def sub_runs(docs: DataFrame, wanted: DataFrame, tokens: Tokens, window: int, gram: int) -> DataFrame:
+    """The windows of the wanted runs (id, text_key, start, count) as runs of another gram length."""
+
+    def run(batches):
+        for batch in batches:
+            ids, keys, asked = batch.column(0), batch.column(1), batch.column(3)
+            offsets, data = C.text_buffers(batch.column(2))
+            for i in range(batch.num_rows):
+                values, bounds = tokens(data[offsets[i] : offsets[i + 1]], offsets[i : i + 2])
+                spans = asked[i].values
+                a = spans.field("start").to_numpy().astype(np.int64)
+                edge = np.zeros(len(values) + 2, np.int64)
+                np.add.at(edge, a, 1)
+                np.add.at(edge, a + spans.field("count").to_numpy(), -1)
+                _, start, count, anchor, whole = runs_of(values, bounds, window, gram, np.cumsum(edge) > 0)
+                n = len(start)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(ids[i], n), pa.repeat(keys[i], n), C.longs(anchor), C.longs(whole), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
+                    ["id", "text_key", "anchor", "run", "start", "count"],
+                )
+
+    spans = wanted.groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
+    rows = keyed(docs).join(spans, ["id", "text_key"]).select("id", "text_key", "text", "spans")
+    return rows.mapInArrow(run, "id long, text_key long, anchor long, run long, start int, count int")
+
+
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, text and ``spans``, the flat sorted (start, end) token ranges to remove; null where there are none."""
     lists = spans.groupBy("id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
