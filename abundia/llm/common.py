@@ -7,6 +7,7 @@ windows of a length cost a few vector operations whatever the length is.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,6 +148,12 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished jobs now, not when the driver next collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _follow(moves: DataFrame, onward: DataFrame) -> DataFrame:
     step = onward.select(F.col("a").alias("to"), F.col("to").alias("next"))
     return moves.join(step, "to").select("a", F.col("next").alias("to"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abundia.llm import windows as W
-from abundia.llm.common import drop_table, id_or_least, saved
+from abundia.llm.common import drop_table, id_or_least, release, saved
 
 LENGTH = 100
 GRAM = 32
@@ -69,14 +69,25 @@ class SuffixFamily:
         shared = entries.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
         return entries.join(shared, "anchor", "left_semi").select(*SPAN)
 
+    def drop(self) -> None:
+        """Delete the levels."""
+        for level in self.levels:
+            if level is not None:
+                drop_table(level)
+
     def _carry(self, array: DataFrame) -> None:
         """Binary addition of arrays."""
+        merged = []
         for k, level in enumerate(self.levels):
             if level is None:
                 self.levels[k] = _sorted(array)
-                return
+                break
             array, self.levels[k] = array.unionByName(level), None
-        self.levels.append(_sorted(array))
+            merged.append(level)
+        else:
+            self.levels.append(_sorted(array))
+        for level in merged:
+            drop_table(level)
 
 
 def _sorted(array: DataFrame) -> DataFrame:
@@ -104,8 +115,11 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int
         part = part if high is None else part.where(F.col("id") <= high)
         whole.append(family.add(part))
         low = high
+        release(spark)
     # unlike runs are cut into shorter ones by longer grams, and what is still unlike into windows
     finer = saved(W.sub_runs(docs, family.unlike(), W.byte_tokens, length, length - FINER))
+    family.drop()
+    release(spark)
     owners = saved(finer.groupBy("run").agg(F.min(F.struct("id", "start")).alias("f"), F.min("anchor").alias("anchor"), F.count("*").alias("k")))
     after = "id > f.id OR (id = f.id AND start > f.start)"
     whole.append(finer.join(owners.where("k > 1").select("run", "f"), "run").where(after).select(*SPAN))
@@ -113,10 +127,15 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int
     split = owners.join(shared, "anchor", "left_semi").select("run", "f.id", "f.start")
     wanted = finer.join(split, ["run", "id", "start"], "left_semi").select(*SPAN)
     single = saved(W.single_windows(docs, wanted, W.byte_tokens, length))
+    release(spark)
     first = single.groupBy("w").agg(F.min(F.struct("id", "start")).alias("f"), F.count("*").alias("k")).where("k > 1").select("w", "f")
     hits = single.join(first, "w").where(after).select("id", "text_key", "start", (F.col("start") + length).alias("end"))
     ranges = _union(whole).select("id", "text_key", "start", (F.col("start") + F.col("count") - 1 + length).alias("end"))
-    return saved(ranges.union(hits))
+    found = saved(ranges.union(hits))
+    for table in (rows, finer, owners, single):
+        drop_table(table)
+    release(spark)
+    return found
 
 
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
