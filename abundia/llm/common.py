@@ -7,7 +7,6 @@ windows of a length cost a few vector operations whatever the length is.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abundia.sources.scratch import saved
+from abundia.sources import scratch
 
 #: Bytes of text worked on at once inside a task; a longer document is worked on alone.
 PIECE = 1 << 20
@@ -148,12 +147,6 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished jobs now, not when the driver next collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _follow(moves: DataFrame, onward: DataFrame) -> DataFrame:
     step = onward.select(F.col("a").alias("to"), F.col("to").alias("next"))
     return moves.join(step, "to").select("a", F.col("next").alias("to"))
@@ -197,5 +190,19 @@ def contract(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return roots
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back; its shuffle files go when the write has ended."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        return scratch.saved(df)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

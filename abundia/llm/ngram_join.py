@@ -271,9 +271,7 @@ def components(docs: DataFrame, width: int = SHINGLE, level: int = LEVEL) -> Dat
     C.drop_table(held)
     wanted = lists.select(F.col("doc").alias("doc_id")).distinct()
     sets = saved(_sets(docs, width).where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi"))
-    C.release(spark)
     roots = _links(lists, sets, level)
-    C.release(spark)
     # every row's class, every class's group, every group's smallest id
     rows = marks.join(classes, ["n", "one", "two"], "left").select("doc_id", F.col("n").alias("n_shingles"), "rep")
     same = rows.where("rep IS NOT NULL AND rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

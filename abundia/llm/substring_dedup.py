@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abundia.llm import windows as W
-from abundia.llm.common import drop_table, release, saved
+from abundia.llm.common import drop_table, saved
 
 WINDOW = 50
 GRAM = 25
@@ -37,21 +37,18 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(W.repeat_sketch(docs, W.word_tokens, window, gram, within=False))
     rows = saved(W.run_rows(docs, W.word_tokens, window, gram, sketch).drop("again"))
-    release(spark)
     owners = saved(rows.groupBy("run").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.min("anchor").alias("anchor")))
     whole = rows.join(owners.where("last > owner").select("run", "owner"), "run").where("id > owner")
     shared = owners.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
     split = owners.join(shared, "anchor").select("run", F.col("owner").alias("id"))
     wanted = rows.join(split, ["run", "id"], "left_semi").select("id", "text_key", "start", "count")
     single = saved(W.single_windows(docs, wanted, W.word_tokens, window))
-    release(spark)
     first = single.groupBy("w").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first").select("w", "first")
     hits = single.join(first, "w").where("id > first").select("id", "text_key", "start", (F.col("start") + window).alias("end"))
     ranges = whole.select("id", "text_key", "start", (F.col("start") + F.col("count") - 1 + window).alias("end"))
     found = saved(ranges.union(hits))
     for table in (rows, owners, single):
         drop_table(table)
-    release(spark)
     return found
 
 
