@@ -69,11 +69,17 @@ def impute_forest(
 
 
 def _refit(df: DataFrame, target: str, hole: str, others: Sequence[str], trees: int, depth: int, seed: int) -> DataFrame:
-    """Replace the holes of one column by the predictions of a forest fitted on the rest."""
-    texts = [c for c in others if _is_text(df, c)]
-    stages = [StringIndexer(inputCol=c, outputCol=f"_ix_{c}", handleInvalid="keep") for c in texts]
-    inputs = [f"_ix_{c}" if c in texts else c for c in others]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="_features"))
+    """Replace the holes of one column by the predictions of a forest fitted on the rest.
+
+    Text features enter as their rank by frequency, for any number of values.
+    """
+    columns = df.columns
+    for c in [c for c in others if _is_text(df, c)]:
+        index = StringIndexer(inputCol=c, outputCol=f"_ix_{c}", handleInvalid="keep").fit(df)
+        # adding 0 turns the index into a plain number, so its values need no bins of their own
+        df = index.transform(df).withColumn(f"_ix_{c}", F.col(f"_ix_{c}") + 0.0)
+    inputs = [f"_ix_{c}" if _is_text(df, c) else c for c in others]
+    stages = [VectorAssembler(inputCols=inputs, outputCol="_features")]
     known = df.where(~F.col(hole))
     options = dict(featuresCol="_features", predictionCol="_guess", numTrees=trees, maxDepth=depth, seed=seed, maxBins=128)
     if _is_text(df, target):
@@ -89,7 +95,7 @@ def _refit(df: DataFrame, target: str, hole: str, others: Sequence[str], trees:
         guess = F.col("_guess")
     model = Pipeline(stages=stages).fit(known)
     predicted = model.transform(df)
-    return predicted.withColumn(target, F.when(F.col(hole), guess).otherwise(F.col(target))).select(*df.columns)
+    return predicted.withColumn(target, F.when(F.col(hole), guess).otherwise(F.col(target))).select(*columns)
 
 
 def _change(before: DataFrame, after: DataFrame, key: str, columns: Sequence[str]) -> tuple[float | None, float | None]:

@@ -59,11 +59,12 @@ def _kernel_moments(cells: DataFrame, covariates: DataFrame, names: list[str], s
     scaled = cells.join(sums, "entity").withColumn("_x", F.col("abundance") / F.sqrt(F.col("_sum") * F.lit(total)))
     kernel = as_matrix(gram(sparse_rows(index_of(scaled, "site", sites), "entity", "_x"), k), k)
     by_site = dict(cells.groupBy("site").agg(F.sum("abundance")).collect())
-    rows = {r[0]: r[1:] for r in covariates.select("site", *names).collect()}
+    rows = {r[0]: r[1:] for r in covariates.select("site", F.col("site").cast("string"), *names).collect()}
     weights = np.array([by_site[s] / total for s in sites])
-    x = np.array([[float(v) for v in rows[s]] for s in sites])
+    x = np.array([[float(v) for v in rows[s][1:]] for s in sites])
 
-    listed = F.array(*[F.struct(F.lit(str(s)).alias("site"), F.lit(i).alias("place")) for i, s in enumerate(sites)])
+    # the key text is Spark's own cast, as in the direct path, so both give the same permutations
+    listed = F.array(*[F.struct(F.lit(rows[s][0]).alias("site"), F.lit(i).alias("place")) for i, s in enumerate(sites)])
     keyed = F.transform(listed, lambda s: F.struct(_shuffled(s["site"], F.col("perm"), seed).alias("key"), s["place"].alias("place")))
     order = F.transform(F.array_sort(keyed), lambda s: s["place"])
     own = F.array(*[F.lit(i) for i in range(k)])
@@ -254,12 +255,15 @@ def axis_test(m: Moments, names: Sequence[str] | None = None) -> DataFrame:
     return _table(m, rows)
 
 
-def stepwise(m: Moments, p_out: float = 0.1, p_in: float = 0.05, max_steps: int = 50) -> DataFrame:
-    """Drop and re-add covariates by permutation p until nothing moves: (covariate, kept, step).
+def stepwise(m: Moments, p_out: float = 0.1, p_in: float = 0.05, max_steps: int = 50, direction: str = "backward") -> DataFrame:
+    """Drop covariates by permutation p until nothing moves: (covariate, kept, step).
 
-    Each step drops the worst covariate whose p is above ``p_out``; otherwise
-    it adds the best left-out one whose p is at most ``p_in``.
+    Each step drops the worst covariate whose p is above ``p_out``. With
+    ``direction="both"`` a step that drops nothing adds the best left-out one
+    whose p is at most ``p_in``.
     """
+    if direction not in ("backward", "both"):
+        raise ValueError(f"unknown direction {direction}")
     names = m.names
     kept, moved, seen = list(names), {}, {tuple(names)}
     for step in range(1, max_steps + 1):
@@ -273,7 +277,7 @@ def stepwise(m: Moments, p_out: float = 0.1, p_in: float = 0.05, max_steps: int
             moved[worst[2]] = step
         else:
             adds = []
-            for term in [t for t in names if t not in kept]:
+            for term in [t for t in names if t not in kept] if direction == "both" else []:
                 f, _, p = _test(m, _f_of_term(m, [t for t in names if t in kept or t == term], term))
                 adds.append((p, -f, term))
             best = min(adds, default=None)

@@ -325,13 +325,29 @@ _BODIES: dict[str, str] = {
         FROM annp a JOIN lineitem ON a.gene_id = l_orderkey JOIN supplier ON l_suppkey = s_suppkey
         WHERE marker IN ('1RF', '2AF', '3NO')) g ON g.entity = f.entity AND g.site = s.site
         LEFT JOIN cut c ON c.entity = f.entity AND c.site = s.site) GROUP BY 1""",
+    "presence_excluded": f"""SELECT CAST(difference AS INTEGER) AS difference, count(*) AS n,
+        {r6("count(*) / sum(count(*)) OVER () * 100", "percent")} FROM (
+        SELECT f.entity, s.site, CAST(g.entity IS NOT NULL AS INTEGER) - CAST(c.entity IS NOT NULL AS INTEGER) AS difference
+        FROM (SELECT DISTINCT entity FROM fixers) f CROSS JOIN sites s LEFT JOIN (SELECT DISTINCT a.entity, s_nationkey AS site
+        FROM annp a JOIN lineitem ON a.gene_id = l_orderkey JOIN supplier ON l_suppkey = s_suppkey
+        WHERE marker IN ('1RF', '2AF', '3NO') AND a.gene_id NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice >= 100000)) g
+        ON g.entity = f.entity AND g.site = s.site
+        LEFT JOIN cut c ON c.entity = f.entity AND c.site = s.site) GROUP BY 1""",
+    "csv_round_trip": """SELECT c_custkey, c_name AS name,
+        CASE WHEN left(md5(CAST(c_custkey AS VARCHAR)), 1) <> '0' THEN c_acctbal END AS balance FROM customer""",
+    "numeric_parse": """SELECT c_custkey,
+        CASE WHEN left(md5(CAST(c_custkey AS VARCHAR)), 1) <> '0' THEN c_acctbal END AS balance FROM customer""",
+    "column_range": "SELECT p_partkey, p_brand, p_type, p_size FROM part",
+    "strict_wl": "SELECT entity FROM sc WHERE wl > 0.6",
+    "percent_text": """SELECT c_nationkey AS site, CAST(CAST(round(avg(CAST(c_mktsegment = 'BUILDING' AS INTEGER)) * 100) AS BIGINT)
+        AS VARCHAR) || '%' AS share FROM customer GROUP BY 1""",
     "quality_tier": """SELECT entity, regexp_replace(replace(trim(replace(concat_ws(', ', name, kingdom, phylum, class,
         ord_rank, family, genus, species), ',', ' ')), '  ', ', '), '^[^,]+,\\s*', '') AS name,
         trna_total, ra, rn, rr, size, completeness, contamination,
         CAST(trna_total >= 16 AND ra = 1 AND rn = 1 AND rr = 1 AS INTEGER) AS high_quality FROM (
-        SELECT l_partkey AS entity, CAST(count(DISTINCT s_nationkey) FILTER (s_nationkey < 20) AS INTEGER) AS trna_total,
+        SELECT l_partkey AS entity, CAST(count(DISTINCT l_orderkey % 20) AS INTEGER) AS trna_total,
         CAST(bool_or(l_returnflag = 'A') AS INTEGER) AS ra, CAST(bool_or(l_returnflag = 'N') AS INTEGER) AS rn,
-        CAST(bool_or(l_returnflag = 'R') AS INTEGER) AS rr FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1)
+        CAST(bool_or(l_returnflag = 'R') AS INTEGER) AS rr FROM lineitem GROUP BY 1)
         JOIN dim USING (entity)""",
     "cumulative_cultured": f"""SELECT level, membership, n, {_ORD} AS ord,
         {r6("n / sum(n) OVER (PARTITION BY membership)", "share")},

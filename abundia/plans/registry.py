@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +24,8 @@ from abundia.operators import traits as T
 from abundia.operators import transform as D
 from abundia.operators import trees as G
 from abundia.plans import bindings as B
-from abundia.sources.scratch import saved, small_table
+from abundia.sources import csv as V
+from abundia.sources.scratch import saved, scratch_root, small_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,6 +103,47 @@ def split_key(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _gappy_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers whose balance is missing where the md5 of the key starts with 0."""
+    digit = F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 1)
+    return B.table(spark, sf, "customer").select("c_custkey", "c_name", F.when(digit != "0", F.col("c_acctbal")).alias("balance"))
+
+
+@query
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """A table with gaps written as CSV and read back by its schema, one column renamed."""
+    rows = _gappy_balance(spark, sf)
+    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    V.write_table(rows, path, "csv")
+    return V.read_csv(spark, path, rows.schema, {"c_name": "name"})
+
+
+@query
+def numeric_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Balances that arrive as text; ``unknown`` becomes NULL."""
+    text = F.coalesce(F.col("balance").cast("string"), F.lit("unknown"))
+    return V.numeric(_gappy_balance(spark, sf).select("c_custkey", text.alias("balance")), ["balance"])
+
+
+@query
+def column_range(spark: SparkSession, sf: str) -> DataFrame:
+    part = B.table(spark, sf, "part")
+    return part.select("p_partkey", *S.column_range(part, "p_brand", "p_size"))
+
+
+@query
+def percent_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of the customers of each nation in one segment, as text."""
+    share = F.avg((F.col("c_mktsegment") == "BUILDING").cast("int"))
+    return B.table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("site")).agg(X.percent_text(share).alias("share"))
+
+
+@query
+def strict_wl(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities above, not at, the threshold of one pathway."""
+    return T.strict_wl(B.scores(spark, sf)).select("entity")
+
+
 @query
 def taxon_name(spark: SparkSession, sf: str) -> DataFrame:
     columns = ["name", "kingdom", "phylum", "class", "order", "family", "genus", "species"]
@@ -516,13 +559,29 @@ def presence_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return result.select("difference", "n", r6("percent"))
 
 
+@query
+def presence_excluded(spark: SparkSession, sf: str) -> DataFrame:
+    """The same without the listed genes: those of dear orders."""
+    genes = B.annotation(spark, sf).where(F.col("marker").isin("1RF", "2AF", "3NO")).select("entity", "gene_id")
+    dear = B.table(spark, sf, "orders").where("o_totalprice >= 100000").select(F.col("o_orderkey").alias("gene_id"))
+    lines = B.table(spark, sf, "lineitem").join(B.table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    found = lines.groupBy(F.col("l_orderkey").alias("gene_id"), F.col("s_nationkey").alias("site")).agg(
+        F.sum("l_quantity").alias("abundance")
+    )
+    excluded = genes.join(dear, "gene_id", "left_semi").select("entity", "gene_id")
+    result = U.presence_agreement(
+        genes, found, B.cut_abundance(spark, sf), B.fixers(spark, sf), len(B.sites(spark, sf)), excluded
+    )
+    return result.select("difference", "n", r6("percent"))
+
+
 @query
 def quality_tier(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations 0-19 stand for tRNA kinds, return flags for rRNA genes."""
+    """Order keys modulo 20 stand for the 20 tRNA kinds, return flags for rRNA genes."""
     kinds = list(range(20))
-    lines = B.table(spark, sf, "lineitem").join(B.table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = B.table(spark, sf, "lineitem")
     counts = lines.groupBy(F.col("l_partkey").alias("entity")).agg(
-        *[F.count(F.when(F.col("s_nationkey") == k, 1)).alias(f"t{k}") for k in kinds],
+        *[F.count(F.when(F.col("l_orderkey") % 20 == k, 1)).alias(f"t{k}") for k in kinds],
         *[F.count(F.when(F.col("l_returnflag") == f, 1)).alias(f"r{f.lower()}") for f in "ANR"],
     )
     named = B.entity_dim(spark, sf).drop("name").join(taxon_name(spark, sf), "entity").withColumnRenamed("taxon_name", "name")

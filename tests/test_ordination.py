@@ -152,9 +152,24 @@ def test_permutation_tests(spark, limit):
         assert 1 / (n + 1) <= row.p <= 1
 
 
-def test_stepwise_keeps_the_driver_of_the_table(spark):
+@pytest.mark.parametrize("kind", ["int", "double", "timestamp"])
+def test_site_keys_of_any_type_give_the_same_permutations_both_ways(spark, kind):
+    x, y = data(6, n=8, m=6)
+    cells, covs = frames(spark, x, y)
+    key = F.lit(100000000) + F.substring("site", 2, 2).cast("int")
+    key = F.timestamp_seconds(key) if kind == "timestamp" else key.cast(kind)
+    cells, covs = cells.withColumn("site", key), covs.withColumn("site", key)
+    rows = []
+    for limit in (1024, 1):
+        table = P.moments(cells, covs, NAMES, 9, 5, max_kernel_sites=limit).table
+        rows.append([[*r.g, *r.s] for r in table.orderBy("perm").collect()])
+    assert len(rows[0]) == 10 and np.allclose(*rows)
+
+
+@pytest.mark.parametrize("direction", ["backward", "both"])
+def test_stepwise_keeps_the_driver_of_the_table(spark, direction):
     x, y = data(3, n=16)
-    chosen = P.stepwise(P.moments(*frames(spark, x, y), NAMES, 99, 1)).collect()
+    chosen = P.stepwise(P.moments(*frames(spark, x, y), NAMES, 99, 1), direction=direction).collect()
     kept = [r.covariate for r in chosen if r.kept]
     assert "u" in kept and len(kept) < 3
     assert all((r.step > 0) == (not r.kept) for r in chosen)

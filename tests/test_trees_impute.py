@@ -69,6 +69,13 @@ def test_forest_beats_the_mean_and_keeps_observed_cells(spark):
     assert right >= 155
 
 
+def test_forest_takes_a_text_column_of_many_values(spark):
+    rows = [(i, f"key{i}", float(i % 5), None if i % 9 == 0 else float(i % 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, t string, a double, b double")
+    filled = I.impute_forest(df, "id", ["t", "a", "b"], max_iter=1, trees=5, depth=3)
+    assert filled.columns == df.columns and filled.where("b IS NULL").count() == 0
+
+
 def test_forest_without_holes_is_a_no_op(spark):
     _, truth = holed(spark)
     assert I.impute_forest(truth, "id", ["a", "b", "c"]) is truth
