@@ -20,8 +20,9 @@ Stages, each a Spark job over whole tables:
    meet one seeded pivot each; verified links merge groups, and only shingles that
    still lie in several groups go on. When few pairs are left, or a round links
    little, all remaining pairs of different groups with enough shared shingles are
-   verified, so no link between groups is missed. A pair is not formed when the
-   shingles of one side that no other document holds already rule the level out.
+   verified, so no link between groups is missed. A pair is not verified when its
+   shared prefix shingles rule the level out: of two prefixes one ends first in the
+   common order, and all shared shingles that are not in both lie behind that end.
 5. Groups are labelled with their smallest doc_id.
 
 Set sizes, intersections and similarities are exact on 64-bit shingle fingerprints.
@@ -213,10 +214,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, level: int) -> DataFrame:
 
 
 def _links(lists: DataFrame, sets: DataFrame, level: int) -> DataFrame:
-    """(node, root): the linked groups among the documents of ``lists`` (token, doc, n, l)."""
+    """(node, root): the linked groups among the documents of ``lists`` (token, doc, n, l, shingles behind the prefix)."""
     roots = saved(lists.select(F.col("doc").alias("node")).distinct().select("node", F.col("node").alias("root")))
     turn, last = 0, False
-    fits = f"100 * least(n, bn) >= {level} * greatest(n, bn) AND {100 + level} * least(most, bmost) >= {level} * (n + bn)"
+    fits = f"100 * least(n, bn) >= {level} * greatest(n, bn)"
+    enough = f"shared >= least AND {100 + level} * (shared + behind) >= {level} * sizes"
     docs, found = roots.count(), 0
     while True:
         now = lists.join(roots.withColumnRenamed("node", "doc"), "doc")
@@ -229,15 +231,20 @@ def _links(lists: DataFrame, sets: DataFrame, level: int) -> DataFrame:
             return roots
         last = last or pairs_left <= 4 * rows or (turn > 0 and found * WORTH < docs)
         if last:
-            other = lists_left.select("token", *[F.col(c).alias(f"b{c}") for c in ("doc", "n", "l", "most", "root")]).withColumnRenamed("bdoc", "b")
+            other = lists_left.select("token", *[F.col(c).alias(f"b{c}") for c in ("doc", "n", "l", "rest", "root")]).withColumnRenamed("bdoc", "b")
             met = lists_left.join(other, "token").where(f"doc < b AND root <> broot AND {fits}")
-            pairs = met.groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("shared"), F.min(F.least("l", "bl")).alias("least"))
-            pairs = pairs.where("shared >= least").select("a", "b")
         else:
-            drawn = F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("most").alias("bmost"), F.col("root").alias("broot"))
+            theirs = [F.col(c).alias(f"b{c}") for c in ("n", "l", "rest", "root")]
+            drawn = F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), F.col("doc").alias("b"), *theirs)
             pivot = lists_left.groupBy("token").agg(F.min(drawn).alias("p")).select("token", "p.*")
             met = lists_left.join(pivot, "token").where(f"root <> broot AND {fits}")
-            pairs = met.select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
+        met = met.groupBy(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).agg(
+            F.count("*").alias("shared"),
+            F.min(F.least("l", "bl")).alias("least"),
+            F.max(F.greatest("rest", "brest")).alias("behind"),
+            F.min(F.col("n") + F.col("bn")).alias("sizes"),
+        )
+        pairs = met.where(enough).select("a", "b")
         good = saved(_verified(pairs, sets, level))
         linked = good.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(
             roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b"
@@ -263,12 +270,9 @@ def components(docs: DataFrame, width: int = SHINGLE, level: int = LEVEL) -> Dat
     counts = spark.sparkContext.broadcast(sketch(docs, width))
     first = classes.select(F.col("rep").alias("doc_id")).distinct()
     prefixes = _prefixes(docs, width, level, counts).where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi")
-    postings = prefixes.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"), "n", "l", F.size("prefix").alias("p"))
+    postings = prefixes.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"), "n", "l", (F.col("n") - F.size("prefix")).alias("rest"))
     shared = saved(postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"))
-    held = saved(postings.join(shared, "token"))
-    most = held.groupBy("doc", "n").agg((F.col("n") - F.max("p") + F.count("*")).alias("most"))
-    lists = saved(held.join(most, ["doc", "n"]).drop("p"))
-    C.drop_table(held)
+    lists = saved(postings.join(shared, "token"))
     wanted = lists.select(F.col("doc").alias("doc_id")).distinct()
     sets = saved(_sets(docs, width).where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi"))
     roots = _links(lists, sets, level)

@@ -72,6 +72,24 @@ def _reach(start, sets):
     return seen
 
 
+@pytest.mark.parametrize("cells", [ngram_join.CELLS, 64])
+def test_ngram_join_links_texts_with_additions(spark, monkeypatch, cells):
+    # a text of 100 shingles and the same with 25, 20, 14 and 9 of its own: J 0.80, 0.83, 0.87 and 0.91; 26 are too many
+    if cells < ngram_join.BLOCK:  # every counter of the sketch is loaded
+        monkeypatch.setattr(ngram_join, "BLOCK", cells)
+        monkeypatch.setattr(ngram_join, "CELLS", cells)
+    docs = []
+    for k, more in enumerate([25, 20, 14, 9, 26] * 6):
+        base, own = [f"p{k}b{i}" for i in range(104)], [f"p{k}o{i}" for i in range(more)]
+        docs.append((2 * k, " ".join(base)))
+        docs.append((2 * k + 1, " ".join(base + own if k % 2 else own + base)))
+    docs += [(1000, " ".join(f"q{i}" for i in range(104))), (1001, " ".join([f"q{i}" for i in range(52)] + [f"r{i}" for i in range(12)] + [f"q{i}" for i in range(52, 104)]))]
+    docs += [(1002, " ".join(f"q{i}" for i in range(10, 104)))]
+    sets = {i: _shingles(t) for i, t in docs}
+    got = {r.doc_id: r.component_id for r in ngram_join.components(frame(spark, docs)).collect()}
+    assert got == {i: min(_reach(i, sets)) for i in sets}
+
+
 def test_multi_match_prefix_misses_no_pair():
     draw = np.random.default_rng(3)
     counts = draw.integers(1, 50, 4000)
