@@ -5,10 +5,11 @@ histogram picks the ``buckets`` boundaries with the least padding in total. Insi
 a bucket, documents in seeded order fill batches of a token budget: a batch of
 bucket length L holds budget // L documents, one at least.
 
-The histogram has at most ``BINS`` bars: lengths are rounded up to a multiple of
-the least power of two that allows this, for any longest document. Ranks inside a
-bucket come from counts per range of the order plus a rank inside the range, so a
-bucket that holds most documents is numbered by many tasks.
+The histogram has a bar for every distinct length: n of them need n * n / 2 tokens,
+so 100,000 bars take a corpus of five thousand million. A bucket's cost is a line in
+its length, so the programme walks a hull of lines and takes a few steps a bar. Ranks
+inside a bucket come from counts per range of the order plus a rank inside the range,
+so a bucket that holds most documents is numbered by many tasks.
 
 Defined cases: null and empty texts have length 0 and take one padding token; a
 document longer than the budget is a batch of its own, uncut; repeated rows take a
@@ -17,13 +18,14 @@ place each; an empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
-import numpy as np
+from collections import deque
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from abundia.llm.common import WORD, saved
 
-BINS = 4096
 BUCKETS = 8
 BATCH_TOKENS = 16_384
 SLICE_BITS = 12
@@ -31,24 +33,33 @@ SLICE_BITS = 12
 
 def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
     """Bucket lengths, rising; the last is the greatest length. ``lengths`` rise."""
-    size = np.array(lengths, np.int64)
-    upto = np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])
-    n = len(size)
-    best = size * upto[1:]  # one bucket for the first j + 1 lengths
-    came = [np.full(n, -1)]
+    n = len(lengths)
+    upto = [0, *accumulate(counts)]
+    best = [size * upto[j + 1] for j, size in enumerate(lengths)]  # one bucket for the first j + 1 lengths
+    came = [[-1] * n]
     for _ in range(1, min(buckets, n)):
-        now, origin = best.copy(), np.full(n, -1)
+        now, origin = best.copy(), [-1] * n
+        lines: deque[tuple[int, int, int]] = deque()  # (slope, height, i): best[i] - upto[i + 1] * size, lower hull
         for j in range(1, n):
-            cost = best[:j] + size[j] * (upto[j + 1] - upto[1 : j + 1])
-            i = int(np.argmin(cost))
-            if cost[i] < now[j]:
-                now[j], origin[j] = cost[i], i
+            slope, height = -upto[j], best[j - 1]
+            while len(lines) > 1:
+                (s1, h1, _), (s2, h2, _) = lines[-2], lines[-1]
+                if (height - h1) * (s1 - s2) >= (h2 - h1) * (s1 - slope):
+                    break
+                lines.pop()
+            lines.append((slope, height, j - 1))
+            size = lengths[j]
+            while len(lines) > 1 and lines[1][0] * size + lines[1][1] < lines[0][0] * size + lines[0][1]:
+                lines.popleft()
+            cost = size * upto[j + 1] + lines[0][0] * size + lines[0][1]
+            if cost < now[j]:
+                now[j], origin[j] = cost, lines[0][2]
         came.append(origin)
         best = now
     out, j = [], n - 1
     for level in range(len(came) - 1, -1, -1):
         if level == 0 or came[level][j] >= 0:
-            out.append(int(size[j]))
+            out.append(lengths[j])
             j = came[level][j]
     return out[::-1]
 
@@ -64,12 +75,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKE
         )
     )
     held = F.greatest(F.col("n_tokens"), F.lit(1))
-    longest = rows.agg(F.max(held)).first()[0] or 1
-    step = 1
-    while longest > step * BINS:
-        step *= 2
-    padded = F.ceil(held / step) * step
-    bars = sorted(tuple(r) for r in rows.groupBy(padded.cast("long").alias("n")).count().collect())  # at most BINS rows
+    bars = sorted(tuple(r) for r in rows.groupBy(held.cast("long").alias("n")).count().collect())  # a row for each distinct length
     edges = boundaries([b[0] for b in bars], [b[1] for b in bars], buckets) if bars else [1]
     bucket = F.lit(edges[-1])
     for edge in reversed(edges[:-1]):

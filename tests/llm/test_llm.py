@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -205,6 +206,27 @@ def test_buckets_are_optimal_and_batches_full(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_one_long_text_leaves_the_buckets_of_short_ones_optimal(spark):
+    sizes = [1 + i % 7 + 5 * (i % 3) for i in range(90)] + [20_000]
+    rows = packing.pack(frame(spark, [(i, "t " * n) for i, n in enumerate(sizes)]), 4, 200).collect()
+    known = sorted(set(sizes))
+    best = min(sum(min(e for e in (*edges, 20_000) if e >= n) - n for n in sizes) for edges in itertools.combinations(known, 3))
+    assert sum(r.padding for r in rows) == best
+
+
+def test_boundaries_match_brute_force():
+    draw = np.random.default_rng(5)
+    for _ in range(200):
+        lengths = sorted({int(x) for x in draw.integers(1, 10 ** int(draw.integers(1, 7)), 9)})
+        counts = [int(x) for x in draw.integers(1, 10 ** int(draw.integers(1, 6)), len(lengths))]
+        padding = lambda edges: sum(c * (min(e for e in edges if e >= n) - n) for n, c in zip(lengths, counts, strict=True))
+        for buckets in (1, 2, 3, 4, 20):
+            some = min(buckets, len(lengths)) - 1
+            best = min(padding((*edges, lengths[-1])) for edges in itertools.combinations(lengths, some))
+            edges = packing.boundaries(lengths, counts, buckets)
+            assert len(edges) <= buckets and edges == sorted(set(edges)) and padding(edges) == best
+
+
 def test_lm_base_scores_and_held_out_gain(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r for r in lm.scored(docs).collect()}
