@@ -752,7 +752,7 @@ def impute_baseline(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def impute_forest(spark: SparkSession, sf: str) -> DataFrame:
-    return I.impute_forest(_holes(spark, sf), "c_custkey", _HOLED, max_iter=2, trees=10, depth=5)
+    return I.impute_forest(_holes(spark, sf), "c_custkey", _HOLED)
 
 
 # ---- ordination -------------------------------------------------------------------------

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import inspect
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from abundia.operators import impute as I
 from abundia.operators import trees as G
+from abundia.plans import registry
 
 
 def test_deeper_label_wins(spark):
@@ -79,3 +82,12 @@ def test_forest_takes_a_text_column_of_many_values(spark):
 def test_forest_without_holes_is_a_no_op(spark):
     _, truth = holed(spark)
     assert I.impute_forest(truth, "id", ["a", "b", "c"]) is truth
+
+
+def test_registered_forest_is_the_whole_job(spark, monkeypatch):
+    whole, calls = inspect.signature(I.impute_forest), []
+    monkeypatch.setattr(registry.I, "impute_forest", lambda *a, **b: calls.append(whole.bind(*a, **b)))
+    registry.QUERIES["impute_forest"](spark, "/root/testdata/sf0.001")
+    calls[0].apply_defaults()
+    for name in ("max_iter", "trees", "depth"):
+        assert calls[0].arguments[name] >= whole.parameters[name].default
