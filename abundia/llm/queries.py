@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abundia.llm import chat, exact_dedup, lm, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup, toxicity
+from abundia.llm import chat, exact_dedup, graph_search, lm, mixing, ngram_join, packing, quality, resampling, substring_dedup, suffix_dedup, toxicity, vector_codes
 from abundia.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,21 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document by a trie trained without the held-out fold."""
     return lm.scored(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document in a quarter drawn towards the benchmark texts."""
+    return resampling.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors and their errors."""
+    return vector_codes.coded(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows found for every hundredth embedding."""
+    return graph_search.neighbours(read(spark, sf_dir, "embeddings"))
