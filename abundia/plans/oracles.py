@@ -4,6 +4,13 @@ from __future__ import annotations
 
 import re
 
+# Directed cluster pairs with the mate of both ends: a cluster's mate is its nearest one if that is mutual.
+_MATES = """SELECT *, max(w) FILTER (w = fc AND fw = c) OVER (PARTITION BY step, c) AS mc, max(c) FILTER (c = fw AND fc = w) OVER (PARTITION BY step, w) AS mw,
+    max(nw) FILTER (w = fc AND fw = c) OVER (PARTITION BY step, c) AS kc, max(nc) FILTER (c = fw AND fc = w) OVER (PARTITION BY step, w) AS kw
+    FROM (SELECT *, first_value(w) OVER (PARTITION BY step, c ORDER BY d, least(c, w), greatest(c, w)) AS fc,
+    first_value(c) OVER (PARTITION BY step, w ORDER BY d, least(c, w), greatest(c, w)) AS fw FROM {})"""
+
+
 CTES: dict[str, str] = {
     "ab": """SELECT l_partkey AS entity, s_nationkey AS site, sum(l_quantity) AS abundance
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2""",
@@ -94,6 +101,25 @@ CTES: dict[str, str] = {
     "erank": """SELECT entity, site, rank() OVER (PARTITION BY entity ORDER BY a)
         + (count(*) OVER (PARTITION BY entity, a) - 1) / CAST(2 AS DOUBLE) AS r FROM grid
         WHERE entity IN (SELECT entity FROM grid GROUP BY 1 HAVING min(a) < max(a))""",
+    "ez": """SELECT entity, key, list_transform(c, lambda x: x / n) AS z, min(entity) OVER (PARTITION BY key) AS rep FROM (
+        SELECT entity, key, c, sqrt(list_inner_product(c, c)) AS n FROM (
+        SELECT entity, list(r ORDER BY site) AS key, list(r - 13 ORDER BY site) AS c FROM erank GROUP BY 1))""",
+    "em": """SELECT list(row_ ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS row_ FROM (
+        SELECT x.i AS i, y.i AS j, sum(x.v * y.v) AS v FROM (SELECT entity, unnest(z) AS v, generate_subscripts(z, 1) AS i FROM ez) x
+        JOIN (SELECT entity, unnest(z) AS v, generate_subscripts(z, 1) AS i FROM ez) y USING (entity) GROUP BY 1, 2) GROUP BY 1)""",
+    "ey": """SELECT entity, z, y, list_inner_product(z, y) AS q, n FROM (
+        SELECT entity, z, list_transform(m, lambda row_: list_inner_product(row_, z)) AS y,
+        count(*) OVER (PARTITION BY rep) AS n, rep FROM ez, em) WHERE entity = rep""",
+    "el": f"""SELECT 0 AS step, x.entity AS c, y.entity AS w, sqrt(greatest(x.q + y.q - 2 * list_inner_product(x.z, y.y), 0)) AS d,
+        x.n AS nc, y.n AS nw FROM ey x JOIN ey y ON x.entity <> y.entity UNION ALL
+        SELECT step + 1, c2, w2, max(d), max(nc2), max(nw2) FROM (
+        SELECT step, d, least(c, mc) AS c2, least(w, mw) AS w2, nc + coalesce(kc, 0) AS nc2, nw + coalesce(kw, 0) AS nw2
+        FROM ({_MATES.format("el")})) WHERE c2 <> w2 GROUP BY 1, 2, 3""",
+    "em2": f"""SELECT c AS a, w AS b, d, nc + nw AS n FROM ({_MATES.format("el")}) WHERE mc = w AND c < w
+        UNION ALL SELECT rep, entity, CAST(0 AS DOUBLE), 1 + row_number() OVER (PARTITION BY rep ORDER BY entity) FROM ez WHERE entity <> rep""",
+    "ecut": """SELECT entity, entity AS at_ FROM ez UNION ALL
+        SELECT ecut.entity, a FROM ecut JOIN em2 ON b = at_ WHERE d <= 10.0""",
+    "eroot": "SELECT entity, CAST(dense_rank() OVER (ORDER BY root) AS INTEGER) AS cluster FROM (SELECT entity, min(at_) AS root FROM ecut GROUP BY 1)",
     "covf": "SELECT site, "
     + ", ".join(f"coalesce({c}, (SELECT avg({c}) FROM cov)) AS {c}" for c in ("c_bal", "n_cust", "n_rich", "s_bal", "n_supp", "o_price"))
     + " FROM cov",
@@ -155,7 +181,8 @@ def sql(body: str) -> str:
                 visit(CTES[name])
 
     visit(body)
-    parts = ", ".join(f"{name} AS ({CTES[name]})" for name in CTES if name in needed)
+    once = {"ez", "em", "ey", "em2"}  # read several times, some in every step of a recursion
+    parts = ", ".join(f"{name} AS {'MATERIALIZED ' if name in once else ''}({CTES[name]})" for name in CTES if name in needed)
     return f"WITH RECURSIVE {parts} {body}" if parts else body
 
 
@@ -469,4 +496,11 @@ _BODIES |= {
         SELECT c, unnest(string_split(items, ',')) AS id FROM lo WHERE step = (SELECT count(*) FROM mg WHERE d <= 1.5))""",
 }
 
+_BODIES |= {
+    "linkage_merges": f"""SELECT a AS "left", b AS "right", {r6("d", "height")}, CAST(n AS BIGINT) AS size FROM em2""",
+    "cut_tree": "SELECT entity AS id, cluster FROM eroot",
+    "community_split": """SELECT entity, label AS class, cluster, CASE WHEN cluster IN (1, 5) THEN 'regional' ELSE 'prevalent' END AS community
+        FROM eroot JOIN dim USING (entity)""",
+}
+
 ORACLES: dict[str, str] = {name: sql(body) for name, body in _BODIES.items()}
