@@ -7,7 +7,8 @@ the covariates centred by r, everything comes from sums over non-zero cells:
     constrained axes: eigenpairs of  L^-1 (sum_j h_j h_j') L^-T,  G = L L'
     total inertia:    sum_ij P_ij^2 / (r_i c_j) - 1
 
-Only matrices of the size of the covariate list reach the driver.
+Only matrices of the size of the covariate list reach the driver. Covariates that
+are constant or follow from earlier ones take no part; see ``constraints``.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from abundia.functions.numeric import rescaled
 from abundia.functions.text import class_label, joined
+from abundia.operators.constraints import Choice, choose
 from abundia.sources.scratch import saved
 
 MAX_COVARIATES = 64
@@ -31,7 +33,8 @@ MAX_COVARIATES = 64
 class Ordination:
     """A fitted model: small matrices, and the weighted tables they came from."""
 
-    names: list[str]
+    names: list[str]  # the covariates that take part
+    choice: Choice  # of all covariates that were named
     cells: DataFrame  # site, entity, p
     sites: DataFrame  # site, r, x0..xq (centred)
     entities: DataFrame  # entity, c, h0..hq
@@ -44,7 +47,7 @@ class Ordination:
 
     @property
     def constrained(self) -> float:
-        return float(np.trace(np.linalg.solve(self.gram, self.moment)))
+        return float(np.trace(np.linalg.solve(self.gram, self.moment))) if self.names else 0.0
 
 
 def _cross_sums(columns: Sequence[Column], weight: Column | None = None) -> list[Column]:
@@ -65,27 +68,44 @@ def _symmetric(row, q: int) -> np.ndarray:
     return matrix
 
 
-def site_weights(cells: DataFrame, covariates: DataFrame, names: Sequence[str]) -> tuple[DataFrame, float]:
-    """(site, r, x...) with covariates centred by site weight, and the table total.
+def site_weights(cells: DataFrame, covariates: DataFrame, names: Sequence[str]) -> tuple[DataFrame, float, list[str]]:
+    """(site, r, x...) with covariates centred by site weight, the table total, and the constant covariates.
 
     Sites without abundance or without covariates must have been dropped
     before; see ``align_sites``.
     """
     sums = saved(cells.groupBy("site").agg(F.sum("abundance").alias("_sum")).join(covariates.select("site", *names), "site"))
-    row = sums.agg(F.sum("_sum").alias("total"), *[F.sum(F.col("_sum") * F.col(n)).alias(f"m{i}") for i, n in enumerate(names)]).first()
+    row = sums.agg(
+        F.sum("_sum").alias("total"),
+        *[F.sum(F.col("_sum") * F.col(n)).alias(f"m{i}") for i, n in enumerate(names)],
+        *[(F.min(n) == F.max(n)).alias(f"flat{i}") for i, n in enumerate(names)],
+    ).first()
     total = float(row["total"])
     centred = [(F.col(n) - row[f"m{i}"] / total).alias(f"x{i}") for i, n in enumerate(names)]
-    return sums.select("site", (F.col("_sum") / total).alias("r"), *centred), total
+    constant = [n for i, n in enumerate(names) if row[f"flat{i}"]]
+    return sums.select("site", (F.col("_sum") / total).alias("r"), *centred), total, constant
+
+
+def chosen_sites(cells: DataFrame, covariates: DataFrame, names: Sequence[str]) -> tuple[DataFrame, float, Choice, np.ndarray]:
+    """The weighted sites with all named covariates, the total, the choice among the covariates and their cross-products."""
+    names = list(names)
+    if len(names) > MAX_COVARIATES:
+        raise ValueError(f"{len(names)} covariates are more than {MAX_COVARIATES}")
+    sites, total, constant = site_weights(cells, covariates, names)
+    gram = _symmetric(sites.agg(F.lit(0), *_cross_sums([F.col(f"x{k}") for k in range(len(names))], F.col("r"))).first(), len(names))
+    return sites, total, choose(names, gram, constant), gram
 
 
 def fit(cells: DataFrame, covariates: DataFrame, names: Sequence[str]) -> Ordination:
-    """Fit the model of (site, entity, abundance) on the named covariates."""
-    names, q = list(names), len(names)
-    if q > MAX_COVARIATES:
-        raise ValueError(f"{q} covariates are more than {MAX_COVARIATES}")
-    sites, total = site_weights(cells, covariates, names)
+    """Fit the model of (site, entity, abundance) on the named covariates.
+
+    With no covariate left after the choice the model has no axes.
+    """
+    sites, total, choice, gram = chosen_sites(cells, covariates, names)
+    names, q = choice.kept_names, len(choice.kept)
+    sites = sites.select("site", "r", *[F.col(f"x{k}").alias(f"x{i}") for i, k in enumerate(choice.kept)])
+    gram = gram[np.ix_(choice.kept, choice.kept)]
     xs = [F.col(f"x{k}") for k in range(q)]
-    gram = _symmetric(sites.agg(*_cross_sums(xs, F.col("r"))).first(), q)
     shares = cells.where("abundance <> 0").select("site", "entity", (F.col("abundance") / total).alias("p"))
     p = F.col("p")
     sums = shares.join(sites, "site").groupBy("entity").agg(
@@ -101,13 +121,14 @@ def fit(cells: DataFrame, covariates: DataFrame, names: Sequence[str]) -> Ordina
     order = np.argsort(values)[::-1]
     values, vectors = values[order], vectors[:, order]
     axes = half.T @ vectors
-    # an axis has no sign of its own: the largest covariate weight is made positive
-    scaled = np.sqrt(np.diag(gram))[:, None] * axes
-    signs = np.sign(scaled[np.abs(scaled).argmax(axis=0), np.arange(q)])
-    axes = axes * np.where(signs == 0, 1, signs)
+    if q:
+        # an axis has no sign of its own: the largest covariate weight is made positive
+        scaled = np.sqrt(np.diag(gram))[:, None] * axes
+        signs = np.sign(scaled[np.abs(scaled).argmax(axis=0), np.arange(q)])
+        axes = axes * np.where(signs == 0, 1, signs)
     with np.errstate(divide="ignore", invalid="ignore"):
         loadings = np.where(values > 1e-12, axes / np.sqrt(np.maximum(values, 1e-300)), 0.0)
-    return Ordination(names, shares, sites, entities.drop("_own"), gram, moment, float(row["own"]) - 1, values, loadings, axes)
+    return Ordination(names, choice, shares, sites, entities.drop("_own"), gram, moment, float(row["own"]) - 1, values, loadings, axes)
 
 
 def eigenvalues(model: Ordination, spark) -> DataFrame:
@@ -173,13 +194,16 @@ def biplot_scores(model: Ordination, spark, axes: int = 2) -> DataFrame:
 
 
 def vif(cells: DataFrame, covariates: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Variance inflation factor of each covariate, sites weighted by their abundance."""
-    sites, _ = site_weights(cells, covariates, names)
-    q = len(names)
-    gram = _symmetric(sites.agg(*_cross_sums([F.col(f"x{k}") for k in range(q)], F.col("r"))).first(), q)
-    spread = np.sqrt(np.diag(gram))
-    factors = np.diag(np.linalg.inv(gram / np.outer(spread, spread)))
-    rows = [(name, float(v)) for name, v in zip(names, factors)]
+    """Variance inflation factor of each covariate, sites weighted by their abundance.
+
+    Covariates that take no part in the model have none (NULL) and do not
+    change those of the others.
+    """
+    _, _, choice, gram = chosen_sites(cells, covariates, names)
+    inner = gram[np.ix_(choice.kept, choice.kept)]
+    spread = np.sqrt(np.diag(inner))
+    factors = dict(zip(choice.kept_names, np.diag(np.linalg.inv(inner / np.outer(spread, spread)))))
+    rows = [(name, float(factors[name]) if name in factors else None) for name in choice.names]
     return cells.sparkSession.createDataFrame(rows, "covariate string, vif double")
 
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from abundia.operators.constraints import Choice, choose
 from abundia.operators.gram import as_matrix, gram, index_of, sparse_rows
 from abundia.operators.ordering import running_total
 from abundia.sources.scratch import bounded_values, saved
@@ -42,6 +43,16 @@ class Moments:
     gram: np.ndarray
     moment: np.ndarray
     table: DataFrame  # perm, g array<double>, s array<double>
+    constant: list[str]
+
+    def choice(self, names: Sequence[str] | None = None) -> Choice:
+        """Which of some covariates take part when they are tested together."""
+        names = list(names or self.names)
+        places = self.places(names)
+        return choose(names, self.gram[np.ix_(places, places)], self.constant)
+
+    def usable(self, names: Sequence[str] | None = None) -> list[str]:
+        return self.choice(names).kept_names
 
     def places(self, names: Sequence[str]) -> list[int]:
         return [self.names.index(name) for name in names]
@@ -126,7 +137,9 @@ def moments(
     cells = saved(cells.where("abundance <> 0").join(covariates.select("site"), "site", "left_semi").select("site", "entity", "abundance"))
     covariates = saved(covariates.select("site", *names).join(cells.select("site").distinct(), "site", "left_semi"))
     total = cells.agg(F.sum("abundance")).first()[0]
-    n_sites = covariates.count()
+    flat = [(F.min(n) == F.max(n)).alias(f"f{i}") for i, n in enumerate(names)]
+    row = covariates.agg(F.count("*").alias("n_sites"), *flat).first()
+    n_sites, constant = row["n_sites"], [n for i, n in enumerate(names) if row[f"f{i}"]]
     if n_sites <= max_kernel_sites:
         sites = bounded_values(covariates, "site", max_kernel_sites)
         table = _kernel_moments(cells, covariates, names, sites, total, n, seed)
@@ -142,7 +155,7 @@ def moments(
     q = len(names)
     return Moments(
         cells.sparkSession, names, n, n_sites, float(inertia),
-        np.array(first["g"]).reshape(q, q), np.array(first["s"]).reshape(q, q), table,
+        np.array(first["g"]).reshape(q, q), np.array(first["s"]).reshape(q, q), table, constant,
     )
 
 
@@ -238,18 +251,19 @@ def _table(m: Moments, rows: list[tuple]) -> DataFrame:
 
 def model_test(m: Moments, names: Sequence[str] | None = None) -> DataFrame:
     """F of the whole model and the share of permutations that reach it."""
-    return _table(m, [("model", *_test(m, _f_of_model(m, names or m.names)))])
+    names = m.usable(names)
+    return _table(m, [("model", *_test(m, _f_of_model(m, names)))] if names else [])
 
 
 def margin_test(m: Moments, names: Sequence[str] | None = None) -> DataFrame:
     """The same for what each covariate adds to all the others."""
-    names = names or m.names
+    names = m.usable(names)
     return _table(m, [(term, *_test(m, _f_of_term(m, names, term))) for term in names])
 
 
 def axis_test(m: Moments, names: Sequence[str] | None = None) -> DataFrame:
     """The same for each constrained axis, the earlier axes partialled out."""
-    names = names or m.names
+    names = m.usable(names)
     axes = _axes(m, names)
     rows = [(f"CCA{a + 1}", *_test(m, _f_of_axis(m, names, axes[:, :a]))) for a in range(axes.shape[1])]
     return _table(m, rows)
@@ -260,11 +274,12 @@ def stepwise(m: Moments, p_out: float = 0.1, p_in: float = 0.05, max_steps: int
 
     Each step drops the worst covariate whose p is above ``p_out``. With
     ``direction="both"`` a step that drops nothing adds the best left-out one
-    whose p is at most ``p_in``.
+    whose p is at most ``p_in``. Covariates that take no part from the start
+    have step 0.
     """
     if direction not in ("backward", "both"):
         raise ValueError(f"unknown direction {direction}")
-    names = m.names
+    names = m.usable()
     kept, moved, seen = list(names), {}, {tuple(names)}
     for step in range(1, max_steps + 1):
         drops = []
@@ -288,5 +303,5 @@ def stepwise(m: Moments, p_out: float = 0.1, p_in: float = 0.05, max_steps: int
         if tuple(kept) in seen:
             break
         seen.add(tuple(kept))
-    rows = [(name, int(name in kept), moved.get(name, 0)) for name in names]
+    rows = [(name, int(name in kept), moved.get(name, 0)) for name in m.names]
     return m.spark.createDataFrame(rows, "covariate string, kept int, step int")

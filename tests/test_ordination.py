@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from abundia.operators import ordination as Z
 from abundia.operators import permute as P
 from abundia.operators import transform as D
+from abundia.operators.constraints import aliased
 
 NAMES = ["u", "v", "w"]
 
@@ -200,3 +201,45 @@ def test_decorated_scores(spark):
     assert min(r["size"] for r in named) == 1.0 and max(r["size"] for r in named) == 20.0
     site_dim = covs.select("site", F.col("site").alias("code"), F.lit("F").alias("type"), F.lit("arc").alias("region"))
     assert {r.abbrev for r in Z.decorate_sites(Z.site_scores(model), site_dim).collect()} == {f"s{i:02d}F" for i in range(len(x))}
+
+
+def test_constraints_that_follow_from_earlier_ones_are_left_out(spark):
+    """A covariate, its double, a constant and a sum give the model of the two real ones and a list."""
+    x, y = data(7)
+    cells, covs = frames(spark, x, y)
+    wide = covs.select("site", "u", (2 * F.col("u")).alias("twice"), F.lit(3.5).alias("flat"), "v", (F.col("u") - 4 * F.col("v") + 7).alias("mixed"))
+    names = ["u", "twice", "flat", "v", "mixed"]
+    model, plain = Z.fit(cells, wide, names), Z.fit(cells, covs, ["u", "v"])
+    assert model.names == ["u", "v"] and np.allclose(model.values, plain.values) and model.constrained == pytest.approx(plain.constrained)
+    listed = {(r.covariate, r.reason, r.source): r.coefficient for r in aliased(model.choice, spark).collect()}
+    assert set(listed) == {
+        ("twice", "aliased", "u"), ("flat", "constant", None), ("mixed", "aliased", "u"), ("mixed", "aliased", "v"),
+    }
+    assert listed["twice", "aliased", "u"] == pytest.approx(2) and listed["mixed", "aliased", "v"] == pytest.approx(-4)
+    got = {r.covariate: r.vif for r in Z.vif(cells, wide, names).collect()}
+    want = {r.covariate: r.vif for r in Z.vif(cells, covs, ["u", "v"]).collect()}
+    assert got["u"] == pytest.approx(want["u"]) and got["v"] == pytest.approx(want["v"])
+    assert got["twice"] is None and got["flat"] is None and got["mixed"] is None
+    rows = Z.entity_scores(model).orderBy("entity").collect()
+    assert np.allclose([r.CCA1 for r in rows], [r.CCA1 for r in Z.entity_scores(plain).orderBy("entity").collect()])
+    many, few = P.moments(cells, wide, names, 19, 3), P.moments(cells, covs, ["u", "v"], 19, 3)
+    for test in (P.model_test, P.margin_test, P.axis_test):
+        a, b = test(many).collect(), test(few).collect()
+        assert [(r.term, r.reached) for r in a] == [(r.term, r.reached) for r in b]
+        assert np.allclose([r.f for r in a], [r.f for r in b])
+    # asked for alone, the double takes part
+    assert [r.term for r in P.margin_test(many, ["twice", "v"]).collect()] == ["twice", "v"]
+    steps = {r.covariate: (r.kept, r.step) for r in P.stepwise(many).collect()}
+    assert list(steps) == names and steps["twice"] == steps["flat"] == steps["mixed"] == (0, 0)
+
+
+def test_nearly_equal_and_only_constant_constraints(spark):
+    x, y = data(8)
+    cells, covs = frames(spark, x, y)
+    close = covs.select("site", "u", (F.col("u") + 1e-3 * F.col("v")).alias("near"), F.lit(1e9).alias("flat"))
+    assert Z.fit(cells, close, ["u", "near"]).names == ["u", "near"]
+    empty = Z.fit(cells, close, ["flat"])
+    assert empty.names == [] and empty.constrained == 0.0
+    assert Z.eigenvalues(empty, spark).count() == 0 and Z.inertia_summary(empty, spark).first().explained == 0.0
+    assert P.model_test(P.moments(cells, close, ["flat"], 9, 1)).count() == 0
+    assert [r.vif for r in Z.vif(cells, close, ["flat"]).collect()] == [None]
