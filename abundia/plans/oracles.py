@@ -181,11 +181,79 @@ def sql(body: str) -> str:
                 visit(CTES[name])
 
     visit(body)
-    once = {"ez", "em", "ey", "em2"}  # read several times, some in every step of a recursion
+    once = {"ez", "em", "ey", "em2", "hp", "hkern", "hpx", "hpm", "hpf"}  # read several times, some in every step of a recursion
     parts = ", ".join(f"{name} AS {'MATERIALIZED ' if name in once else ''}({CTES[name]})" for name in CTES if name in needed)
     return f"WITH RECURSIVE {parts} {body}" if parts else body
 
 
+def inverted(source: str, places: list[int], carried: str) -> str:
+    """Rows of ``source`` with v{i}_{j}, the inverse of the symmetric g{i}_{j} over some places, by the sweep operator."""
+
+    def at(a: str, i: int, j: int) -> str:
+        return f"{a}{min(i, j)}_{max(i, j)}"
+
+    cells = [(i, j) for n, i in enumerate(places) for j in places[n:]]
+    text = f"SELECT {carried}, {', '.join(f'{at('g', *c)} AS {at('a', *c)}' for c in cells)} FROM {source}"
+    for k in places:
+        d = at("a", k, k)
+        moved = {
+            (i, j): f"-1 / {d}" if i == j == k else f"{at('a', i, j)} / {d}" if k in (i, j)
+            else f"{at('a', i, j)} - {at('a', i, k)} * {at('a', k, j)} / {d}"
+            for i, j in cells
+        }
+        text = f"SELECT {carried}, {', '.join(f'{e} AS {at('a', *c)}' for c, e in moved.items())} FROM ({text})"
+    return f"SELECT {carried}, {', '.join(f'-{at('a', *c)} AS {at('v', *c)}' for c in cells)} FROM ({text})"
+
+
+def trace(places: list[int]) -> str:
+    """Sum of v * s over a symmetric pair of matrices: the inertia explained by the covariates at those places."""
+    return " + ".join(f"{1 if i == j else 2} * v{i}_{j} * s{i}_{j}" for n, i in enumerate(places) for j in places[n:])
+
+
+def margin(k: int, places: list[int]) -> str:
+    """What covariate k adds to the others."""
+
+    def v(i: int) -> str:
+        return f"v{min(i, k)}_{max(i, k)}"
+
+    terms = [f"{1 if i == j else 2} * {v(i)} * s{i}_{j} * {v(j)}" for n, i in enumerate(places) for j in places[n:]]
+    return f"({' + '.join(terms)}) / {v(k)}"
+
+
+ALL = ["c_bal", "n_cust", "n_rich", "s_bal", "n_supp", "o_price"]
+SIX = list(range(1, 7))
+_CELLS = [(i, j) for i in SIX for j in range(i, 7)]
+CTES |= {
+    "hel": "SELECT entity, site, sqrt(abundance / sum(abundance) OVER (PARTITION BY site)) AS abundance FROM cut",
+    "hp": "SELECT site, entity, abundance / (SELECT sum(abundance) FROM hel) AS p FROM hel",
+    "hr": "SELECT site, sum(p) AS r FROM hp GROUP BY 1",
+    "hc": "SELECT entity, sum(p) AS c FROM hp GROUP BY 1",
+    "hinert": "SELECT sum(p * p / (r * c)) - 1 AS total FROM hp JOIN hr USING (site) JOIN hc USING (entity)",
+    "hx": "SELECT site, r, " + ", ".join(f"{c} - sum(r * {c}) OVER () AS x{i}" for i, c in zip(SIX, ALL)) + " FROM hr JOIN covf USING (site)",
+    "hg": "SELECT 0 AS perm, " + ", ".join(f"sum(r * x{i} * x{j}) AS g{i}_{j}" for i, j in _CELLS) + " FROM hx",
+    "hkern": """SELECT a.site AS i, b.site AS k, sum(a.p * b.p / c) AS v FROM hp a JOIN hp b USING (entity) JOIN hc USING (entity)
+        GROUP BY 1, 2""",
+    "hs": "SELECT "
+    + ", ".join(f"sum(a.x{i} * b.x{j} * v) AS s{i}_{j}" for i, j in _CELLS)
+    + " FROM hkern JOIN hx a ON a.site = i JOIN hx b ON b.site = k",
+    "hv": inverted("hg", SIX, "perm"),
+    "horder": """SELECT perm, site, row_number() OVER (PARTITION BY perm ORDER BY
+        CASE WHEN perm = 0 THEN lpad(CAST(site AS VARCHAR), 9, '0') ELSE md5('7|' || perm || '|' || site) END) AS pos
+        FROM hr CROSS JOIN (SELECT unnest(range(0, 1000)) AS perm)""",
+    "hplaced": """SELECT perm, s.site, r, t.* EXCLUDE (site) FROM horder o JOIN (SELECT site, r, row_number() OVER (ORDER BY site) AS pos FROM hr) s
+        USING (pos) JOIN covf t ON t.site = o.site""",
+    "hpx": "SELECT perm, site, r, " + ", ".join(f"{c} - sum(r * {c}) OVER (PARTITION BY perm) AS x{i}" for i, c in zip(SIX, ALL)) + " FROM hplaced",
+    "hpg": "SELECT perm, " + ", ".join(f"sum(r * x{i} * x{j}) AS g{i}_{j}" for i, j in _CELLS) + " FROM hpx GROUP BY 1",
+    "hps": "SELECT a.perm, "
+    + ", ".join(f"sum(a.x{i} * b.x{j} * v) AS s{i}_{j}" for i, j in _CELLS)
+    + " FROM hpx a JOIN hpx b USING (perm) JOIN hkern ON i = a.site AND k = b.site GROUP BY 1",
+    "hpv": inverted("hpg", SIX, "perm"),
+    "hpm": f"SELECT *, {trace(SIX)} AS fit, (SELECT count(*) FROM hr) AS n FROM hpv JOIN hps USING (perm) CROSS JOIN hinert",
+    "hpf": "SELECT perm, 'model' AS term, fit / 6 / ((total - fit) / (n - 7)) AS f FROM hpm "
+    + " ".join(f"UNION ALL SELECT perm, '{c}', {margin(i, SIX)} / ((total - fit) / (n - 7)) FROM hpm" for i, c in zip(SIX, ALL)),
+}
+
+
 def r6(value: str, name: str) -> str:
     return f"round({value}, 6) + 0.0 AS {name}"
 
@@ -463,6 +531,19 @@ _BODIES |= {
 }
 
 
+_BODIES |= {
+    "cca_model": f"""SELECT {r6("total", "total")}, {r6("fit", "constrained")}, {r6("fit / total", "explained")} FROM (
+        SELECT {trace(SIX)} AS fit FROM hv CROSS JOIN hs) CROSS JOIN hinert""",
+    "vif_model": " UNION ALL ".join(f"SELECT '{c}' AS covariate, {r6(f'g{i}_{i} * v{i}_{i}', 'vif')} FROM hg JOIN hv USING (perm)" for i, c in zip(SIX, ALL))
+    + " UNION ALL SELECT unnest(['twice', 'flat', 'mixed']), NULL",
+    "constraint_aliases": """SELECT * FROM (VALUES ('twice', 'aliased', 's_bal', CAST(2 AS DOUBLE)), ('flat', 'constant', NULL, NULL),
+        ('mixed', 'aliased', 'o_price', CAST(1 AS DOUBLE)), ('mixed', 'aliased', 'n_cust', CAST(-100 AS DOUBLE))) t(covariate, reason, source, coefficient)""",
+    "permutation_model": f"""SELECT o.term, {r6("o.f", "f")}, count(p.f) AS reached, {r6("(1 + count(p.f)) / CAST(1000 AS DOUBLE)", "p")}
+        FROM (SELECT term, f FROM hpf WHERE perm = 0) o LEFT JOIN hpf p
+        ON p.term = o.term AND p.perm > 0 AND p.f >= o.f - 1e-9 GROUP BY o.term, o.f""",
+}
+
+
 def _scores(part: str, key: str, table: str, value: str) -> str:
     one, two = (f"max({value}) FILTER (axis = {k})" for k in (1, 2))
     return f"""SELECT '{part}' AS part, CAST({key} AS BIGINT) AS key, {r6(one, '"CCA1"')}, {r6(two, '"CCA2"')}

@@ -23,6 +23,7 @@ from abundia.operators import rollup as U
 from abundia.operators import traits as T
 from abundia.operators import transform as D
 from abundia.operators import trees as G
+from abundia.operators.constraints import aliased
 from abundia.plans import bindings as B
 from abundia.sources import csv as V
 from abundia.sources.scratch import saved, scratch_root, small_table
@@ -843,6 +844,48 @@ def stepwise_constraints(spark: SparkSession, sf: str) -> DataFrame:
     return P.stepwise(_moments(spark, sf, ["s_bal", "o_price", "n_cust", "c_bal"], 199))
 
 
+def _model_input(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The whole preparation of a model: gaps filled, sites aligned, Hellinger cells and z-scored covariates."""
+    cells, covariates = _ordination_input(spark, sf)
+    return D.hellinger(cells), D.zscore_wide(covariates, B.COVARIATES)
+
+
+@query
+def cca_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Inertia explained by all covariates together."""
+    summary = Z.inertia_summary(Z.fit(*_model_input(spark, sf), B.COVARIATES), spark)
+    return summary.select(r6("total"), r6("constrained"), r6("explained"))
+
+
+def _doubled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """All covariates as measured, and three that follow from them."""
+    cells, covariates = _ordination_input(spark, sf)
+    more = {"twice": 2 * F.col("s_bal"), "flat": F.lit(7.0), "mixed": F.col("o_price") - 100 * F.col("n_cust") + 3}
+    return D.hellinger(cells), covariates.withColumns(more), [*B.COVARIATES, *more]
+
+
+@query
+def vif_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Inflation of all covariates; those that follow from others have none and change no other."""
+    return Z.vif(*_doubled(spark, sf)).select("covariate", r6("vif"))
+
+
+@query
+def constraint_aliases(spark: SparkSession, sf: str) -> DataFrame:
+    """Covariates that take no part in the model, with what they follow from."""
+    cells, covariates, names = _doubled(spark, sf)
+    listed = aliased(Z.chosen_sites(cells, covariates, names)[2], spark)
+    return listed.select("covariate", "reason", "source", r6("coefficient"))
+
+
+@query
+def permutation_model(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole model of all covariates, and what each adds to the others."""
+    cells, covariates = _model_input(spark, sf)
+    tested = P.moments(cells, covariates, B.COVARIATES, 999, seed=7)
+    return P.model_test(tested).unionByName(P.margin_test(tested)).select("term", r6("f"), "reached", r6("p"))
+
+
 # ---- trees ------------------------------------------------------------------------------
 
 
