@@ -39,15 +39,17 @@ def row_sum(columns: Sequence[str]) -> Column:
     return functools.reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0)) for c in columns])
 
 
-def standard_error(total: Column, squares: Column, n: int) -> Column:
-    """Standard error of the mean of ``n`` cells from their sum and sum of squares.
+def standard_error(total: Column, spread: Column, present: Column, n: int) -> Column:
+    """Standard error of the mean of ``n`` cells, of which only ``present`` exist and the others are 0.
 
-    Absent cells add nothing to either sum, so no zero rows are needed.
+    ``spread`` is the centred sum of squares of the cells that exist (their
+    number times ``var_pop``), so large values that differ little keep their
+    digits. The zero cells join it in closed form: no zero rows are needed.
     """
     if n < 2:
         return F.lit(None).cast("double")
-    spread = F.greatest(squares - total * total / n, F.lit(0.0)) / (n - 1)
-    return F.sqrt(spread) / F.sqrt(F.lit(float(n)))
+    between = F.coalesce(F.try_divide(total * total, present), F.lit(0.0)) * (F.lit(n) - present) / n
+    return F.sqrt((spread + between) / (n - 1)) / F.sqrt(F.lit(float(n)))
 
 
 def rescaled(value: Column, low: Column, high: Column, to: tuple[float, float] = (0.0, 1.0)) -> Column:

@@ -45,7 +45,7 @@ def impute_forest(
     Starts from mean and mode. Each pass refits one forest per column that has
     missing cells, fewest first, on the rows where it is known, and replaces
     the missing cells by its predictions. Passes stop when the change of the
-    filled cells grows, and the table before that pass is returned; observed
+    filled cells shrinks no more, of numbers nor of text, and the table before that pass is returned; observed
     cells are never touched. The trees of a forest are grown by Spark over the
     whole table; only the loop over columns runs on the driver.
     """
@@ -62,12 +62,17 @@ def impute_forest(
         for i, target in enumerate(order):
             filled = saved(_refit(filled, target, f"_hole_{i}", [c for c in columns if c != target], trees, depth, seed))
         change = _change(current, filled, key, order)
-        if last is not None and any(c > l for c, l in zip(change, last) if l is not None and c is not None):
+        if last is not None and settled(change, last):
             break
         best, current, last = filled, filled, change
     return best.drop(*holes)
 
 
+def settled(change: Sequence[float | None], last: Sequence[float | None]) -> bool:
+    """Whether no kind of change, numbers or text, is smaller than in the pass before."""
+    return not any(c < l for c, l in zip(change, last) if c is not None and l is not None)
+
+
 def _refit(df: DataFrame, target: str, hole: str, others: Sequence[str], trees: int, depth: int, seed: int) -> DataFrame:
     """Replace the holes of one column by the predictions of a forest fitted on the rest.
 

@@ -16,7 +16,9 @@ from abundia.functions.numeric import cut_off, positive, rescaled, standard_erro
 from abundia.functions.text import class_label
 from abundia.operators.ordering import dense_positions, running_total
 from abundia.operators.reshape import to_wide, zero_filled
-from abundia.sources.scratch import sized
+from abundia.sources.scratch import bounded_values, saved, sized
+
+MAX_REGIONS = 1000
 
 
 def clean_abundance(abundance: DataFrame, dropped: DataFrame, entity_dim: DataFrame, threshold: float) -> DataFrame:
@@ -39,13 +41,13 @@ def region_slice(abundance: DataFrame, site_dim: DataFrame, regions: Sequence[st
 def entity_stats(abundance: DataFrame, n_sites: int) -> DataFrame:
     """Total, mean over all sites and standard error per entity."""
     sums = abundance.groupBy("entity").agg(
-        F.sum("abundance").alias("total"), F.sum(F.col("abundance") * F.col("abundance")).alias("_squares")
+        F.sum("abundance").alias("total"), F.count("abundance").alias("_present"), F.var_pop("abundance").alias("_variance")
     )
     return sums.select(
         "entity",
         "total",
         (F.col("total") / n_sites).alias("mean"),
-        standard_error(F.col("total"), F.col("_squares"), n_sites).alias("standard_error"),
+        standard_error(F.col("total"), F.col("_variance") * F.col("_present"), F.col("_present"), n_sites).alias("standard_error"),
     )
 
 
@@ -104,17 +106,26 @@ def metabolism_site_abundance(members: DataFrame, abundance: DataFrame, sites: S
     return zero_filled(sums, groups, "site", sites, ["abundance", "number"])
 
 
+def with_whole(site_dim: DataFrame, whole: str | None) -> DataFrame:
+    """(site, region) of a site table; with ``whole`` every site lies in a region of that name too."""
+    if whole is None:
+        return site_dim.select("site", "region")
+    return site_dim.select("site", F.explode(F.array(F.col("region"), F.lit(whole))).alias("region"))
+
+
 def metabolism_class_abundance(
-    members: DataFrame, abundance: DataFrame, entity_dim: DataFrame, site_dim: DataFrame
+    members: DataFrame, abundance: DataFrame, entity_dim: DataFrame, site_dim: DataFrame, whole: str | None = None
 ) -> DataFrame:
     """Mean site abundance and entity count per member group, region and ``phylum, class``.
 
-    Entities without any abundance in a region are not counted there.
+    Entities without any abundance in a region are not counted there. With
+    ``whole`` the same for all sites together is a region of that name.
     """
     groups = [c for c in members.columns if c != "entity"]
-    sizes = site_dim.groupBy("region").agg(F.count("*").alias("_sites"))
+    placed = with_whole(site_dim, whole)
+    sizes = placed.groupBy("region").agg(F.count("*").alias("_sites"))
     present = (
-        abundance.join(site_dim.select("site", "region"), "site")
+        abundance.join(placed, "site")
         .groupBy("entity", "region")
         .agg(F.sum("abundance").alias("_total"), F.max(positive(F.abs("abundance"))).alias("_seen"))
         .where("_seen > 0")
@@ -160,6 +171,32 @@ def fixation_redox(
     return held.select("entity", "pathway", "class", "trait", "mean_abundance", "occurrence")
 
 
+def fixation_redox_groups(
+    traits: DataFrame,
+    fixers: DataFrame,
+    communities: DataFrame,
+    abundance: DataFrame,
+    entity_dim: DataFrame,
+    site_dim: DataFrame,
+    whole: str | None = None,
+) -> DataFrame:
+    """``fixation_redox`` of every community in every region, as one grouping of the cells.
+
+    A fixer has a row in each region, with mean 0 where it is absent.
+    """
+    sizes = with_whole(site_dim, whole).groupBy("region").agg(F.count("*").alias("_sites"))
+    regions = bounded_values(sizes, "region", MAX_REGIONS)
+    sums = abundance.join(with_whole(site_dim, whole), "site").groupBy("entity", "region").agg(F.sum("abundance").alias("_total"))
+    chosen = fixers.join(communities.select("entity", "community"), "entity")
+    placed = chosen.withColumn("region", F.explode(F.array(*[F.lit(r) for r in regions])))
+    means = placed.join(sums, ["entity", "region"], "left").join(sizes, "region")
+    means = means.select("entity", "pathway", "community", "region", (F.coalesce("_total", F.lit(0.0)) / F.col("_sites")).alias("mean"))
+    named = entity_dim.select("entity", class_label().alias("class"))
+    shown = F.when(F.col("value") > 0, F.col("mean")).otherwise(F.lit(0.0)).alias("mean_abundance")
+    held = traits.join(named, "entity").join(means, "entity").select("region", "community", "entity", "pathway", "class", "trait", shown)
+    return held.withColumn("occurrence", positive(F.col("mean_abundance")))
+
+
 def community_redox_se(
     traits: DataFrame,
     fixers: DataFrame,
@@ -199,6 +236,55 @@ def top_k_other(members: DataFrame, abundance: DataFrame, entity_dim: DataFrame,
     return placed.withColumn("label", F.when(F.col("ord") <= k, F.col("class")).otherwise(F.lit("Other")))
 
 
+def group_class_totals(
+    members: DataFrame, abundance: DataFrame, entity_dim: DataFrame, site_dim: DataFrame, whole: str | None = None
+) -> DataFrame:
+    """Total and mean abundance per member group, region and class; classes without any abundance in a region have no row."""
+    groups = [c for c in members.columns if c != "entity"]
+    placed = with_whole(site_dim, whole)
+    sizes = placed.groupBy("region").agg(F.count("*").alias("_sites"))
+    cells = abundance.where("abundance <> 0").join(placed, "site").groupBy("entity", "region").agg(F.sum("abundance").alias("_total"))
+    named = entity_dim.select("entity", class_label().alias("class"))
+    sums = members.join(named, "entity").join(cells, "entity").groupBy(*groups, "region", "class").agg(F.sum("_total").alias("total"))
+    return sums.join(sizes, "region").select(*groups, "region", "class", "total", (F.col("total") / F.col("_sites")).alias("mean"))
+
+
+def group_stack_order(totals: DataFrame) -> DataFrame:
+    """Places of the classes within each group of ``group_class_totals``, largest first; ties in class order."""
+    groups = [c for c in totals.columns if c not in ("class", "total", "mean")]
+    placed = running_total(totals, groups, [F.col("total").desc(), F.col("class")], out="ord")
+    return placed.withColumn("ord", F.col("ord") + 1)
+
+
+def group_top_k(totals: DataFrame, k: int = 10) -> DataFrame:
+    """The k largest classes of each group in order, and one row ``Other`` for the sum of all others.
+
+    Only k rows of a group leave a task for the sort that ranks them: the
+    limit on the rank is known to the window. The rest is summed by group.
+    """
+    groups = [c for c in totals.columns if c not in ("class", "total", "mean")]
+    totals = saved(totals)
+    order = Window.partitionBy(*groups).orderBy(F.col("total").desc(), F.col("class"))
+    top = saved(totals.withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= k))
+    keys = [*groups, "class"]
+    rest = totals.join(top.select(*keys), keys, "left_anti").groupBy(*groups).agg(
+        F.sum("total").alias("total"), F.sum("mean").alias("mean")
+    )
+    other = rest.select(*groups, F.lit("Other").alias("class"), "total", "mean", F.lit(k + 1).alias("ord"))
+    return top.unionByName(other).withColumnRenamed("class", "label")
+
+
+def group_share(abundance: DataFrame, entity_dim: DataFrame, members: DataFrame, group: str) -> DataFrame:
+    """Abundance of each taxon within every member group and its percentage of that group."""
+    groups = [c for c in members.columns if c != "entity"]
+    sums = abundance.groupBy("entity").agg(F.sum("abundance").alias("_total"))
+    totals = members.join(entity_dim.select("entity", group), "entity").join(sums, "entity").groupBy(*groups, group).agg(
+        F.sum("_total").alias("total")
+    )
+    whole = totals.groupBy(*groups).agg(F.sum("total").alias("_whole"))
+    return totals.join(whole, groups).select(*groups, group, "total", (F.col("total") / F.col("_whole") * 100).alias("percent"))
+
+
 def category_order(df: DataFrame, category: str, value: str) -> DataFrame:
     """Order of the categories by their summed value, smallest first; equal sums share a place."""
     sums = df.groupBy(category).agg(F.sum(value).alias("total"))
@@ -216,20 +302,20 @@ def label_order(parts: Sequence[DataFrame], column: str, extra: Sequence[str] =
     return dense_positions(labels.distinct(), [F.col(column)])
 
 
-def trait_prevalence(traits: DataFrame, communities: DataFrame, abundance: DataFrame) -> DataFrame:
-    """Share of the entities, and of the abundance, that shows each trait, per community."""
+def trait_prevalence(traits: DataFrame, communities: DataFrame, abundance: DataFrame, by: str = "community") -> DataFrame:
+    """Share of the entities, and of the abundance, that shows each trait, per community or other column."""
     sums = abundance.groupBy("entity").agg(F.sum("abundance").alias("_total"))
-    weighted = communities.select("entity", "community").join(sums, "entity", "left")
+    weighted = communities.select("entity", by).join(sums, "entity", "left")
     total = F.coalesce("_total", F.lit(0.0))
     shown = F.col("value") > 0
-    grouped = traits.join(weighted, "entity").groupBy("community", "trait").agg(
+    grouped = traits.join(weighted, "entity").groupBy(by, "trait").agg(
         F.count("*").alias("_entities"),
         F.count(F.when(shown, 1)).alias("n_with_trait"),
         F.sum(total).alias("_all"),
         F.sum(F.when(shown, total).otherwise(0.0)).alias("_with"),
     )
     return grouped.select(
-        "community",
+        by,
         "trait",
         "n_with_trait",
         (F.col("n_with_trait") / F.col("_entities") * 100).alias("percent_entities"),

@@ -158,7 +158,7 @@ def tables(sheets: Sheets) -> dict[str, DataFrame]:
         "communities": split,
         "donor_acceptor": traits.donor_acceptor_pairs(held, V.DONORS, V.ACCEPTORS),
         "trait_members": traits.trait_members(held, split),
-        "trait_prevalence": rollup.trait_prevalence(held, split, cells),
+        "trait_prevalence": rollup.trait_prevalence(held, split, cells, "cluster_name"),
         "phylum_percent": relational.tagged_union(
             {
                 name: rollup.share_of_total(relational.keep_keys(cells, split.where(F.col("cluster_name") == name), "entity"), entities, "phylum")

@@ -544,6 +544,32 @@ _BODIES |= {
 }
 
 
+_PLACES = "(SELECT site, region FROM sites UNION ALL SELECT site, 'all' FROM sites)"
+_SIZES = f"(SELECT region, count(*) AS n_sites FROM {_PLACES} GROUP BY 1)"
+_GROUPED = f"""(SELECT pathway, community, region, class, total, total / n_sites AS mean,
+    row_number() OVER (PARTITION BY pathway, community, region ORDER BY total DESC, class) AS ord FROM (
+    SELECT pathway, community, region, label AS class, sum(abundance) AS total FROM fixers JOIN comm USING (entity)
+    JOIN dim USING (entity) JOIN cut USING (entity) JOIN {_PLACES} USING (site) WHERE abundance <> 0 GROUP BY 1, 2, 3, 4)
+    JOIN {_SIZES} USING (region))"""
+_BODIES |= {
+    "top_k_groups": f"""SELECT pathway, community, region, label, total, {r6("mean", "mean")}, CAST(ord AS INTEGER) AS ord FROM (
+        SELECT pathway, community, region, CASE WHEN ord <= 10 THEN class ELSE 'Other' END AS label, sum(total) AS total,
+        sum(mean) AS mean, min(ord) AS ord FROM {_GROUPED} GROUP BY 1, 2, 3, 4)""",
+    "stack_order_groups": f"""SELECT pathway, community, region, class, {r6("mean", "mean")}, ord FROM {_GROUPED}""",
+    "phylum_percent_groups": f"""SELECT community, phylum, sum(abundance) AS total,
+        {r6("sum(abundance) / sum(sum(abundance)) OVER (PARTITION BY community) * 100", "percent")} FROM ab JOIN dim USING (entity)
+        JOIN comm USING (entity) GROUP BY 1, 2""",
+    "fixation_redox_groups": f"""SELECT region, community, entity, pathway, class, trait, {r6("m", "mean_abundance")},
+        CAST(m > 0 AS INTEGER) AS occurrence FROM (SELECT s.region, community, r.entity, pathway, label AS class, trait,
+        CASE WHEN value > 0 THEN coalesce(total, 0) / n_sites ELSE 0 END AS m FROM redox r JOIN fixers USING (entity)
+        JOIN dim USING (entity) JOIN comm USING (entity) CROSS JOIN {_SIZES} s LEFT JOIN (SELECT entity, region, sum(abundance) AS total
+        FROM cut JOIN {_PLACES} USING (site) GROUP BY 1, 2) t ON t.entity = r.entity AND t.region = s.region)""",
+    "class_abundance_all": f"""SELECT metabolism, region, label AS class, {r6("sum(total) / any_value(n_sites)", "average_abundance")},
+        count(*) AS number FROM members JOIN (SELECT entity, region, sum(abundance) AS total FROM cut JOIN {_PLACES} USING (site)
+        GROUP BY 1, 2) USING (entity) JOIN dim USING (entity) JOIN {_SIZES} USING (region) GROUP BY 1, 2, 3""",
+}
+
+
 def _scores(part: str, key: str, table: str, value: str) -> str:
     one, two = (f"max({value}) FILTER (axis = {k})" for k in (1, 2))
     return f"""SELECT '{part}' AS part, CAST({key} AS BIGINT) AS key, {r6(one, '"CCA1"')}, {r6(two, '"CCA2"')}

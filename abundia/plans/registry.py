@@ -437,6 +437,50 @@ def class_stack_order(spark: SparkSession, sf: str) -> DataFrame:
     return order.select("class", r6("mean"), "ord")
 
 
+def _community_totals(spark: SparkSession, sf: str) -> DataFrame:
+    members = B.fixers(spark, sf).join(B.communities(spark, sf), "entity")
+    return U.group_class_totals(members, B.cut_abundance(spark, sf), B.entity_dim(spark, sf), B.site_dim(spark, sf), "all")
+
+
+@query
+def top_k_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten largest classes of every pathway, community and region, and the rest of each."""
+    top = U.group_top_k(_community_totals(spark, sf))
+    return top.select("pathway", "community", "region", "label", "total", r6("mean"), "ord")
+
+
+@query
+def stack_order_groups(spark: SparkSession, sf: str) -> DataFrame:
+    placed = U.group_stack_order(_community_totals(spark, sf))
+    return placed.select("pathway", "community", "region", "class", r6("mean"), "ord")
+
+
+@query
+def phylum_percent_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Phylum shares within every community."""
+    shares = U.group_share(B.abundance(spark, sf), B.entity_dim(spark, sf), B.communities(spark, sf), "phylum")
+    return shares.select("community", "phylum", "total", r6("percent"))
+
+
+@query
+def fixation_redox_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Redox traits of the fixers of every community in every region and over all sites."""
+    held = U.fixation_redox_groups(
+        B.redox(spark, sf), B.fixers(spark, sf), B.communities(spark, sf), B.cut_abundance(spark, sf),
+        B.entity_dim(spark, sf), B.site_dim(spark, sf), "all",
+    )
+    return held.select("region", "community", "entity", "pathway", "class", "trait", r6("mean_abundance"), "occurrence")
+
+
+@query
+def class_abundance_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Class abundance per metabolism in every region and over all sites."""
+    result = U.metabolism_class_abundance(
+        B.members(spark, sf), B.cut_abundance(spark, sf), B.entity_dim(spark, sf), B.site_dim(spark, sf), "all"
+    )
+    return result.select("metabolism", "region", "class", r6("average_abundance"), "number")
+
+
 # ---- reshape ----------------------------------------------------------------------------
 
 

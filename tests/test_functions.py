@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from abundia.functions import numeric as N
 from abundia.functions import text as X
+from abundia.operators import rollup
 from abundia.operators.rollup import rescale_minmax
 from abundia.sources import csv as S
 from abundia.sources import schema, scratch
@@ -100,10 +101,13 @@ def test_wide_abundance_must_be_complete(spark):
         S.abundance_from_wide(hole, "id", ["s1", "s2"]).collect()
 
 
-def test_standard_error_matches_pandas(spark):
-    cells = [3.0, 0.0, 0.0, 5.0, 1.0]
-    row = one(spark, "t double, q double", (sum(cells), sum(c * c for c in cells)), N.standard_error(F.col("t"), F.col("q"), 5))
-    assert row[0] == pytest.approx(pd.Series(cells).std() / math.sqrt(5))
+@pytest.mark.parametrize("cells", [[3.0, 0.0, 0.0, 5.0, 1.0], [1e9 + 1, 1e9 - 1, 1e9 + 0.5, 1e9, 1e9 + 2], [7.0, 7.0, 7.0, 7.0, 7.0]])
+def test_standard_error_matches_pandas(spark, cells):
+    """Also of large cells that differ little, whose sums of squares have no digits left."""
+    rows = spark.createDataFrame([("e", c) for c in cells if c], "entity string, abundance double")
+    assert rollup.entity_stats(rows, 5).first().standard_error == pytest.approx(pd.Series(cells).sem(), rel=1e-6)
+    assert rollup.entity_stats(rows.limit(0), 5).count() == 0
+    assert rollup.entity_stats(rows, 1).first().standard_error is None
 
 
 class FakeSession:

@@ -171,3 +171,40 @@ def test_make_unique_skips_taken_suffixes(spark, names):
     got = [r.unique_label for r in O.make_unique(rows, "n", "i").orderBy("i").collect()]
     assert got == reference_make_unique(names)
     assert len(set(got)) == len(got)
+
+
+def test_every_group_at_once(spark):
+    members = spark.createDataFrame([("a", "M"), ("b", "M"), ("c", "N"), ("d", "N"), ("a", "N")], "entity string, community string")
+    ab = spark.createDataFrame(
+        [("a", "s1", 4.0), ("a", "s3", 2.0), ("b", "s1", 6.0), ("c", "s3", 2.0), ("d", "s2", 0.0)], "entity string, site string, abundance double"
+    )
+    totals = U.group_class_totals(members, ab, dim(spark), sites(spark), "all")
+    got = {(r.community, r.region, r["class"]): (r.total, r.mean) for r in totals.collect()}
+    assert got == {
+        ("M", "r1", "P, C"): (4.0, 2.0), ("M", "r2", "P, C"): (2.0, 2.0), ("M", "all", "P, C"): (6.0, 2.0),
+        ("M", "r1", "P, unknown class"): (6.0, 3.0), ("M", "all", "P, unknown class"): (6.0, 2.0),
+        ("N", "r1", "P, C"): (4.0, 2.0), ("N", "r2", "P, C"): (2.0, 2.0), ("N", "all", "P, C"): (6.0, 2.0),
+        ("N", "r2", "Q, D"): (2.0, 2.0), ("N", "all", "Q, D"): (2.0, 2.0 / 3),
+    }
+    placed = {(r.community, r.region, r["class"]): r.ord for r in U.group_stack_order(totals).collect()}
+    assert placed["M", "r1", "P, unknown class"] == 1 and placed["M", "r1", "P, C"] == 2
+    assert placed["M", "all", "P, C"] == 1 and placed["N", "r2", "P, C"] == 1 and placed["N", "r2", "Q, D"] == 2
+    top = {(r.community, r.region, r.ord): (r.label, r.total) for r in U.group_top_k(totals, 1).collect()}
+    assert top["M", "all", 1] == ("P, C", 6.0) and top["M", "all", 2] == ("Other", 6.0)
+    assert top["M", "r2", 1] == ("P, C", 2.0) and ("M", "r2", 2) not in top
+    share = {(r.community, r.phylum): r.percent for r in U.group_share(ab, dim(spark), members, "phylum").collect()}
+    assert share["M", "P"] == 100 and share["N", "P"] == pytest.approx(75) and share["N", "Q"] == pytest.approx(25)
+    plan = totals.select("*", F.row_number().over(U.Window.partitionBy("community").orderBy("total")).alias("o")).where("o <= 1")
+    assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_redox_of_every_community_and_region(spark):
+    traits = spark.createDataFrame([("a", "T", 1), ("c", "T", 1), ("b", "T", 0)], "entity string, trait string, value int")
+    fixers = spark.createDataFrame([("a", "F"), ("c", "F"), ("b", "F")], "entity string, pathway string")
+    split = spark.createDataFrame([("a", "M"), ("b", "M"), ("c", "N")], "entity string, community string")
+    rows = U.fixation_redox_groups(traits, fixers, split, cells(spark), dim(spark), sites(spark), "all").collect()
+    got = {(r.region, r.community, r.entity): (r.mean_abundance, r.occurrence) for r in rows}
+    assert got == {
+        ("r1", "M", "a"): (3.0, 1), ("r2", "M", "a"): (0.0, 0), ("all", "M", "a"): (2.0, 1),
+        **{(r, "M", "b"): (0.0, 0) for r in ("r1", "r2", "all")}, **{(r, "N", "c"): (0.0, 0) for r in ("r1", "r2", "all")},
+    }

@@ -91,3 +91,9 @@ def test_registered_forest_is_the_whole_job(spark, monkeypatch):
     calls[0].apply_defaults()
     for name in ("max_iter", "trees", "depth"):
         assert calls[0].arguments[name] >= whole.parameters[name].default
+
+
+def test_passes_end_when_no_kind_of_change_shrinks():
+    assert not I.settled((0.5, 0.2), (0.4, 0.3)) and not I.settled((0.3, 0.3), (0.4, 0.2))
+    assert I.settled((0.5, 0.3), (0.4, 0.3)) and I.settled((0.0, 0.0), (0.0, 0.0))
+    assert I.settled((0.5, None), (0.4, None)) and not I.settled((None, 0.1), (None, 0.2))
