@@ -132,9 +132,6 @@ def tables(sheets: Sheets) -> dict[str, DataFrame]:
     members = metabolisms.join(prevalent.select("entity", F.lit(1).alias("_in")), "entity", "left").select(
         "entity", depth, F.col("trait").alias("metabolism")
     )
-    by_region = {
-        region: relational.keep_keys(cells, site_dim.where(F.col("region") == region), "site") for region in V.REGION_SITES
-    }
     candidates = traits.trophic_candidates(markers.scores_wide(score_table(sheets), V.SCORE_NAMES)).where("candidate = 'autotroph'")
     key_genes = sheets.annotation.where(F.col("marker").isin(list(V.KEY_GENES))).select("entity", "gene_id")
     compared = [s for s in sites if s not in V.UNUSED_GENE_SITES]
@@ -143,14 +140,13 @@ def tables(sheets: Sheets) -> dict[str, DataFrame]:
     rrna = set(V.RRNA)
     trna = [c for c in sheets.gene_counts.columns if c != "entity" and c not in rrna]
     site_totals = rollup.metabolism_site_abundance(members, cells, sites)
-    class_totals = rollup.metabolism_class_abundance(members, cells, entities, site_dim)
-    fixers_by_region = {
-        **{
-            f"regional/{region}": rollup.fixation_redox(redox, fixation, regional, part, entities, len(V.REGION_SITES[region]))
-            for region, part in by_region.items()
-        },
-        "prevalent/all": rollup.fixation_redox(redox, fixation, prevalent, cells, entities, len(sites)),
-    }
+    class_totals = rollup.metabolism_class_abundance(members, cells, entities, site_dim, "all")
+    regional_totals = class_totals.where("region <> 'all'")
+    redox_groups = rollup.fixation_redox_groups(redox, fixation, split, cells, entities, site_dim, "all")
+    # the regional community is read region by region, the prevalent one over all sites
+    asked = ((F.col("community") == "regional") & (F.col("region") != "all")) | ((F.col("community") == "prevalent") & (F.col("region") == "all"))
+    clusters = split.where("cluster_name IS NOT NULL").select("entity", F.col("cluster_name").alias("community"))
+    grouped = rollup.group_class_totals(fixation.join(split.select("entity", "community"), "entity"), cells, entities, site_dim, "all")
     return {
         "entities": entities,
         "abundance": cells,
@@ -159,20 +155,14 @@ def tables(sheets: Sheets) -> dict[str, DataFrame]:
         "donor_acceptor": traits.donor_acceptor_pairs(held, V.DONORS, V.ACCEPTORS),
         "trait_members": traits.trait_members(held, split),
         "trait_prevalence": rollup.trait_prevalence(held, split, cells, "cluster_name"),
-        "phylum_percent": relational.tagged_union(
-            {
-                name: rollup.share_of_total(relational.keep_keys(cells, split.where(F.col("cluster_name") == name), "entity"), entities, "phylum")
-                for name in ("outer_forearc", "forearc_arc", "prevalent")
-            },
-            "community",
-        ),
+        "phylum_percent": rollup.group_share(cells, entities, clusters, "phylum"),
         "site_abundance": site_totals.join(site_dim, "site"),
         "class_abundance": class_totals,
-        "class_order": rollup.category_order(class_totals, "class", "average_abundance"),
+        "class_order": rollup.category_order(regional_totals, "class", "average_abundance"),
         "class_labels": rollup.label_order([class_totals], "class", V.EXTRA_CLASSES),
-        "fixation_redox": relational.tagged_union(fixers_by_region, "part"),
-        "class_stack_order": rollup.class_stack_order(fixation, cells, entities, len(sites)),
-        "top_classes": rollup.top_k_other(split, cells, entities),
+        "fixation_redox": redox_groups.where(asked),
+        "class_stack_order": rollup.group_stack_order(grouped),
+        "top_classes": rollup.group_top_k(grouped),
         "community_redox": rollup.community_redox_se(redox, fixation, prevalent, cells, entities, len(sites)),
         "fixation_totals": traits.fixation_trait_totals(
             held,
