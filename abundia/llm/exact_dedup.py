@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abundia.llm.common import saved
@@ -34,15 +34,15 @@ RUN = "part long, slice int, digest string, check long, size long, rows long, ke
 KEY = ["digest", "check", "size"]
 
 
+def _digest() -> list[Column]:
+    """The id and the verified digest of a row's text."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.col("doc_id").cast("long"), F.sha2(text, 256), F.xxhash64(text), F.octet_length(text).cast("long")]
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id and the verified digest of each text."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.sha2(text, 256).alias("digest"),
-        F.xxhash64(text).alias("check"),
-        F.octet_length(text).cast("long").alias("size"),
-    )
+    return docs.select(*[expr.alias(name) for name, expr in zip(["doc_id", *KEY], _digest())])
 
 
 def fold(largest: bool):
@@ -113,9 +113,9 @@ def groups(docs: DataFrame, largest: bool = False) -> DataFrame:
 
 def dedup(docs: DataFrame, largest: bool = False) -> DataFrame:
     """The rows that stay, with all their columns."""
-    text = F.coalesce("text", F.lit(""))
-    own = {"digest": "__digest", "check": "__check", "size": "__size", "keep": "__keep"}
-    keyed = docs.withColumns({"__digest": F.sha2(text, 256), "__check": F.xxhash64(text), "__size": F.octet_length(text).cast("long")})
-    index = merged_run(digests(docs), largest).withColumnsRenamed(own).drop("rows")
-    both = keyed.join(index, ["__digest", "__check", "__size"])
-    return both.where(F.col("doc_id").cast("long").eqNullSafe(F.col("__keep"))).select(*[both[f"`{c}`"] for c in docs.columns])
+    # the row travels as one column, so no name of its own can clash
+    keyed = docs.select(
+        F.struct("*").alias("row"), *[expr.alias(name) for name, expr in zip(["id", *KEY], _digest())]
+    )
+    index = merged_run(digests(docs), largest).drop("rows")
+    return keyed.join(index, KEY).where(F.col("id").eqNullSafe(F.col("keep"))).select("row.*")

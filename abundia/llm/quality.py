@@ -136,5 +136,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """The rows of ``docs`` that pass, unchanged. A verdict depends on the text alone, so it is found again by id and text."""
     judged = judge(docs, model(docs, trusted_ids(labels)), threshold)
     gone = judged.where(~F.col("kept")).select(id_or_least().alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
-    same = (id_or_least() == F.col("gone_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("gone_key"))
-    return docs.join(gone, same, "left_anti")
+    # the row travels as one column, so no name of its own can clash
+    keyed = docs.select(
+        F.struct("*").alias("row"), id_or_least().alias("gone_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("gone_key")
+    )
+    return keyed.join(gone, ["gone_id", "gone_key"], "left_anti").select("row.*")

@@ -304,3 +304,61 @@ def test_pipeline_keeps_columns_and_ends_packed(spark):
         docs = exact_dedup.saved(kept)
     ids = sorted(r.doc_id for r in docs.select("doc_id").collect())
     assert sorted(r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()) == ids
+
+
+CLASHING = [
+    "row", "id", "digest", "check", "size", "keep", "rows", "part", "slice", "__digest", "__check", "__size", "__keep", "gone_id",
+    "gone_key", "text_key", "kept", "llr", "bucket", "weight", "hashes", "lines", "words", "n_words", "node", "root", "doc", "token",
+    "a", "b", "n", "l", "rep", "group", "label", "component_id", "keep_id", "tokens", "leaf", "l0", "l1", "l2", "epoch", "draw", "taken",
+]
+
+
+@pytest.mark.parametrize("step", ["quality", "exact", "near", "mixing"])
+def test_stages_leave_columns_with_their_own_names_alone(spark, step):
+    """A column of the input may carry any name that an operator uses inside, and comes out unchanged."""
+    texts = [(i, f"alpha beta gamma delta {i} " + " ".join(f"w{i}x{j}" for j in range(30))) for i in range(6)]
+    texts += [(6, texts[0][1]), (7, "one two"), (8, None), (None, "one two three")]
+    plain = spark.createDataFrame([(i, t, "en", "src1") for i, t in texts], "doc_id long, text string, lang string, source string")
+    extra = {name: F.concat(F.lit(f"{name}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for name in CLASHING}
+    docs = plain.withColumns(extra)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    levels = {"lang": F.col("lang"), "source": F.col("source")}
+    stage = {
+        "quality": lambda d: quality.keep_good(d, labels),
+        "exact": exact_dedup.dedup,
+        "near": ngram_join.keep_one,
+        "mixing": lambda d: mixing.mix(d, levels, 0.9, {}),
+    }[step]
+    got, want = stage(docs), stage(plain)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted((r.doc_id is None, r.doc_id or 0) for r in want.collect())
+    for r in rows:
+        assert all(r[name] == f"{name}-{'none' if r.doc_id is None else r.doc_id}" for name in CLASHING)
+
+
+def test_pipeline_leaves_only_what_is_still_read(spark, monkeypatch):
+    """Scratch tables of a stage, and the documents of the stage before, are gone when its own are written."""
+    import corpus_pipeline
+    from abundia.sources import scratch
+
+    written, plain = [], scratch.saved
+
+    def noted(df):
+        out = plain(df)
+        written.append(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(scratch, "saved", noted)
+    out = corpus_pipeline.run(spark, SF)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+
+    def there(name):
+        return path(name).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(name))
+
+    assert out.count() > 0 and len(written) > 15
+    before_packing = [files for files in written if files and set(files) & set(out.inputFiles())]
+    assert before_packing and all(there(f) for files in before_packing for f in files)
+    left = sum(any(there(f) for f in files) for files in written)
+    assert left <= 3  # the mixed documents and packing's own tables
+    assert there(f"file://{SF}/documents.parquet")
