@@ -7,7 +7,7 @@ windows of a length cost a few vector operations whatever the length is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -139,14 +139,21 @@ def id_or_least(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 63)).cast("long"))
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a scratch table that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+def _folders(df: DataFrame) -> set[str]:
+    return {name.rsplit("/", 1)[0] for name in df.inputFiles()}
+
+
+def _drop(spark: SparkSession, folders: set[str]) -> None:
+    for folder in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    _drop(df.sparkSession, _folders(df))
+
+
 def _follow(moves: DataFrame, onward: DataFrame) -> DataFrame:
     step = onward.select(F.col("a").alias("to"), F.col("to").alias("next"))
     return moves.join(step, "to").select("a", F.col("next").alias("to"))
@@ -190,6 +197,24 @@ def contract(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return roots
 
 
+#: Folders of the scratch tables written inside each ``settled`` that is under way; plain text, since this module travels to the tasks.
+_open: list[set[str]] = []
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """Write what ``make`` returns and delete every other scratch table that was written on the way to it."""
+    _open.append(set())
+    try:
+        out = saved(make())
+    finally:
+        written = _open.pop()
+    kept = _folders(out)
+    _drop(out.sparkSession, written - kept)
+    if _open:
+        _open[-1] |= kept
+    return out
+
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -199,9 +224,12 @@ def saved(df: DataFrame) -> DataFrame:
     before = conf.get(CLEANUP)
     conf.set(CLEANUP, "true")
     try:
-        return scratch.saved(df)
+        table = scratch.saved(df)
     finally:
         conf.set(CLEANUP, before)
+    if _open:
+        _open[-1].update(_folders(table))
+    return table
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -138,10 +138,13 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
     parts = (level.agg(F.max("part")).first()[0] or 0) + 1
     while parts > 1:
         parts = -(-parts // FAN)
-        level = level.withColumn("part", F.floor(F.col("part") / FAN).cast("long")).groupBy("part", "block").applyInArrow(merge, kind)
+        merged = saved(level.withColumn("part", F.floor(F.col("part") / FAN).cast("long")).groupBy("part", "block").applyInArrow(merge, kind))
+        C.drop_table(level)
+        level = merged
     total = np.zeros(CELLS, np.int64)
     for row in level.collect():  # one row for each of CELLS / BLOCK blocks
         total[row.block * BLOCK : (row.block + 1) * BLOCK] = _unpacked(bytes(row.counts))
+    C.drop_table(level)
     return total
 
 
@@ -228,6 +231,7 @@ def _links(lists: DataFrame, sets: DataFrame, level: int) -> DataFrame:
         cross = per_group.groupBy("token").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("p"))
         rows, pairs_left = lists_left.count(), cross.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]
         if rows == 0:
+            C.drop_table(lists_left)
             return roots
         last = last or pairs_left <= 4 * rows or (turn > 0 and found * WORTH < docs)
         if last:
@@ -250,11 +254,15 @@ def _links(lists: DataFrame, sets: DataFrame, level: int) -> DataFrame:
             roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b"
         )
         edges = saved(linked.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        C.drop_table(good)
         found = edges.count()
         if found:
             moved = C.contract(edges, roots.select(F.col("root").alias("node")).distinct())
             step = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
-            roots = saved(roots.join(step, "root").select("node", F.col("to").alias("root")))
+            before, roots = roots, saved(roots.join(step, "root").select("node", F.col("to").alias("root")))
+            C.drop_table(moved)
+            C.drop_table(before)
+        C.drop_table(edges)
         C.drop_table(lists_left)
         if last:
             return roots
@@ -273,9 +281,12 @@ def components(docs: DataFrame, width: int = SHINGLE, level: int = LEVEL) -> Dat
     postings = prefixes.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"), "n", "l", (F.col("n") - F.size("prefix")).alias("rest"))
     shared = saved(postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"))
     lists = saved(postings.join(shared, "token"))
+    C.drop_table(shared)
     wanted = lists.select(F.col("doc").alias("doc_id")).distinct()
     sets = saved(_sets(docs, width).where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi"))
     roots = _links(lists, sets, level)
+    C.drop_table(lists)
+    C.drop_table(sets)
     # every row's class, every class's group, every group's smallest id
     rows = marks.join(classes, ["n", "one", "two"], "left").select("doc_id", F.col("n").alias("n_shingles"), "rep")
     same = rows.where("rep IS NOT NULL AND rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
