@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abundia.llm import exact_dedup, mixing, ngram_join, packing, quality
-from abundia.llm.common import read, saved
+from abundia.llm.common import drop_table, read, settled
 
 #: Part of the remaining tokens that the mixture may take.
 SHARE = 0.9
@@ -54,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, held = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+        docs = settled(functools.partial(stage, spark, docs, sf_dir))
+        if held is not None:  # written by the stage before, read by this one alone
+            drop_table(held)
+        held = docs
     return STAGES[-1][1](spark, docs, sf_dir)
