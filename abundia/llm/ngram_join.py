@@ -1,29 +1,33 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document is its set of word shingles. All documents order their shingles the
-same way: by an estimate of how many documents hold one, then by fingerprint. A
-pair of similarity t or more shares at least ceil(t * n) shingles of each side, so
-with a prefix of n - ceil(t * n) + l shingles on both sides it shares at least l of
-them there. Every document chooses its own l: a longer prefix costs more postings,
-but asks for more shared ones before a pair is verified; it takes the l with the
-least estimated cost. Two documents with l1 and l2 then share min(l1, l2).
+A document is its set of word shingles. When all documents order their shingles the
+same way, a pair of similarity t or more shares at least ceil(t * n) shingles of each
+side, so with a prefix of n - ceil(t * n) + l shingles on both sides it shares at
+least l of them there. Every document chooses its own l: a longer prefix costs more
+postings, but asks for more shared ones before a pair is verified; it takes the l
+with the least estimated cost. Two documents with l1 and l2 then share min(l1, l2).
 
 Stages, each a Spark job over whole tables:
 
 1. Equal sets become one class (two 64-bit sums over the set and its size).
-2. Partition sketches of shingle counts are merged by a tree, a block at a time.
-   A sketch has ``CELLS`` counters whatever the input; it only steers order and
-   cost, so its error cannot change a result.
-3. Prefixes of class representatives become postings; shingles that one document
-   alone holds are dropped.
-4. Links. A group of n near copies would give n * n / 2 pairs, so postings first
+2. A first prefix, in the order of fingerprints and with l in proportion to n, tells
+   which classes can have a link at all: as many of its shingles must stand in
+   another first prefix as the smallest possible partner asks for.
+3. Over the whole sets of what is left every shingle's document frequency is counted,
+   and a document goes when too few of its shingles are held by another one; this is
+   repeated while it removes many. Nothing here is estimated, so the order of stage 4
+   keeps its meaning at every size of the input.
+4. Shingles are ordered by document frequency, then by fingerprint; the cost of an l
+   is estimated from the frequencies, and prefixes become postings.
+5. Links. A group of n near copies would give n * n / 2 pairs, so postings first
    meet one seeded pivot each; verified links merge groups, and only shingles that
    still lie in several groups go on. When few pairs are left, or a round links
-   little, all remaining pairs of different groups with enough shared shingles are
-   verified, so no link between groups is missed. A pair is not verified when its
-   shared prefix shingles rule the level out: of two prefixes one ends first in the
-   common order, and all shared shingles that are not in both lie behind that end.
-5. Groups are labelled with their smallest doc_id.
+   little, all remaining pairs of different groups of like size with enough shared
+   shingles are verified, so no link between groups is missed. A pair is not verified
+   when its shared prefix shingles rule the level out: of two prefixes one ends first
+   in the common order, and all shared shingles that are not in both lie behind that
+   end. Nor is it when one side has too few shingles that any other document holds.
+6. Groups are labelled with their smallest doc_id.
 
 Set sizes, intersections and similarities are exact on 64-bit shingle fingerprints.
 
@@ -40,7 +44,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,15 +53,18 @@ from abundia.llm.common import saved
 SHINGLE = 5
 #: Similarity as a percentage.
 LEVEL = 80
-CELLS = 1 << 22
-BLOCK = 1 << 16
+#: Extension of the first prefix, as a percentage of the set.
+FIRST = 10
+#: Rounds of frequencies go on while they remove one of so many documents.
+PRUNE = 20
 #: Longest extension of a prefix that is considered.
 MOST_MATCHES = 8
 #: Cost of verifying a pair, in postings read.
 VERIFY = 50.0
 #: Rounds with pivots go on while one of so many documents finds a link.
 WORTH = 20
-FAN = 32
+#: Remaining pairs that are met at once, as a multiple of the postings.
+SPARE = 4
 
 
 def shingle_sets(batch: pa.RecordBatch, column: int, width: int) -> Iterator[np.ndarray]:
@@ -82,118 +88,145 @@ def _ids(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def _signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n and two sums that stand for the set."""
+def _share(n: int, level: int) -> int:
+    """Shingles that a set of n has in common with any linked one, at least."""
+    return -(-level * n // 100)
+
+
+def first_prefix(n: int, level: int) -> tuple[int, int]:
+    """(length, need): the first prefix of a set of n shingles, and how many of it every linked set has in its own.
+
+    The extension grows with the set, so the smallest set that may be linked asks for least.
+    """
+
+    def extension(m: int) -> int:
+        return min(1 + FIRST * m // 100, _share(m, level))
+
+    return n - _share(n, level) + extension(n), extension(_share(n, level))
+
+
+def _first(docs: DataFrame, width: int, level: int) -> DataFrame:
+    """doc_id, n, two sums that stand for the set, the first prefix and its need."""
 
     def run(batches):
         for batch in batches:
-            n, one, two = [], [], []
+            n, one, two, need, parts = [], [], [], [], []
             for found in shingle_sets(batch, 1, width):
+                length, least = first_prefix(len(found), level) if len(found) else (0, 0)
                 n.append(len(found))
                 one.append(found.sum(dtype=np.uint64))
                 two.append(C.mix(found + np.uint64(C.BASE)).sum(dtype=np.uint64))
+                need.append(least)
+                parts.append(found[:length])
+            flat = C.longs(np.concatenate(parts)) if parts else pa.array([], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), C.longs(np.array(one, np.uint64)), C.longs(np.array(two, np.uint64))],
-                ["doc_id", "n", "one", "two"],
+                [
+                    batch.column(0),
+                    pa.array(n, pa.int64()),
+                    C.longs(np.array(one, np.uint64)),
+                    C.longs(np.array(two, np.uint64)),
+                    pa.array(need, pa.int64()),
+                    C.lists_of(flat, [len(p) for p in parts]),
+                ],
+                ["doc_id", "n", "one", "two", "need", "prefix"],
             )
 
-    return _ids(docs).mapInArrow(run, "doc_id long, n long, one long, two long")
-
+    return _ids(docs).mapInArrow(run, "doc_id long, n long, one long, two long, need long, prefix array<long>")
 
-def _packed(counts: np.ndarray) -> bytes:
-    """A block of counts in the narrowest type that holds them, told by the length."""
-    kind = np.uint8 if counts.max() < 1 << 8 else np.uint16 if counts.max() < 1 << 16 else np.int64
-    return counts.astype(kind).tobytes()
 
+def choose_prefix(found: np.ndarray, counts: np.ndarray, level: int, alone: int = 0) -> tuple[int, np.ndarray]:
+    """(l, prefix) of one set: the extension of least estimated cost.
 
-def _unpacked(block: bytes) -> np.ndarray:
-    return np.frombuffer(block, {1: np.uint8, 2: np.uint16, 8: np.int64}[len(block) // BLOCK]).astype(np.int64)
-
-
-def sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """How many documents hold the shingles of each cell: partition sketches merged by a tree of ``FAN``."""
-
-    def row(part: int, block: int, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([block]), pa.array([_packed(counts)])], ["part", "block", "counts"])
-
-    def count(batches):
-        cells = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for found in shingle_sets(batch, 1, width):
-                np.add.at(cells, (found & np.uint64(CELLS - 1)).astype(np.int64), 1)
-        part = TaskContext.get().partitionId()
-        for i in range(CELLS // BLOCK):
-            block = cells[i * BLOCK : (i + 1) * BLOCK]
-            if block.any():
-                yield row(part, i, block)
-
-    def merge(key, table):  # at most FAN blocks
-        total = np.zeros(BLOCK, np.int64)
-        for block in table["counts"]:
-            total += _unpacked(block.as_py())
-        return pa.Table.from_batches([row(key[0].as_py(), key[1].as_py(), total)])
-
-    kind = "part long, block long, counts binary"
-    level = saved(_ids(docs).mapInArrow(count, kind))
-    parts = (level.agg(F.max("part")).first()[0] or 0) + 1
-    while parts > 1:
-        parts = -(-parts // FAN)
-        merged = saved(level.withColumn("part", F.floor(F.col("part") / FAN).cast("long")).groupBy("part", "block").applyInArrow(merge, kind))
-        C.drop_table(level)
-        level = merged
-    total = np.zeros(CELLS, np.int64)
-    for row in level.collect():  # one row for each of CELLS / BLOCK blocks
-        total[row.block * BLOCK : (row.block + 1) * BLOCK] = _unpacked(bytes(row.counts))
-    C.drop_table(level)
-    return total
-
-
-def choose_prefix(found: np.ndarray, counts: np.ndarray, level: int) -> tuple[int, np.ndarray]:
-    """(l, prefix) of one set: the extension of least estimated cost."""
-    n = len(found)
+    ``alone`` more shingles come before all of ``found`` and cost nothing, since no other document holds them.
+    """
+    n = len(found) + alone
     order = np.lexsort((found, counts))
-    base = n - -(-level * n // 100)
+    base = n - _share(n, level)
     lengths = np.arange(base + 1, min(n, base + MOST_MATCHES) + 1)
-    load = np.cumsum(counts[order])[lengths - 1]
+    load = np.cumsum(counts[order])[lengths - alone - 1]
     cost = load * (1.0 + VERIFY / (lengths - base))
     best = int(np.argmin(cost))
-    return best + 1, found[order[: lengths[best]]]
-
+    return best + 1, found[order[: lengths[best] - alone]]
 
-def _prefixes(docs: DataFrame, width: int, level: int, counts) -> DataFrame:
-    """doc_id, n, l and the prefix of every document with a set."""
 
-    def run(batches):
-        cells = counts.value
-        for batch in batches:
-            keep, n, least, parts = [], [], [], []
-            for i, found in enumerate(shingle_sets(batch, 1, width)):
-                if len(found):
-                    l, part = choose_prefix(found, cells[(found & np.uint64(CELLS - 1)).astype(np.int64)], level)
-                    keep.append(i)
-                    n.append(len(found))
-                    least.append(l)
-                    parts.append(part)
-            if keep:
-                flat = C.longs(np.concatenate(parts))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(keep)), pa.array(n, pa.int64()), pa.array(least, pa.int32()), C.lists_of(flat, [len(p) for p in parts])],
-                    ["doc_id", "n", "l", "prefix"],
-                )
-
-    return _ids(docs).mapInArrow(run, "doc_id long, n long, l int, prefix array<long>")
+def _candidates(base: DataFrame) -> DataFrame:
+    """doc_id of the classes whose first prefix has enough shingles in another one's."""
+    tokens = base.select("doc_id", "n", "one", "need", F.explode("prefix").alias("token"))
+    common = saved(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"))
+    met = tokens.join(common, "token").groupBy("doc_id", "n", "one", "need").agg(F.count("*").alias("met"))
+    out = saved(met.where("met >= need").select("doc_id").distinct())
+    C.drop_table(common)
+    return out
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and the whole sorted set."""
+    """doc_id, n, the sum that tells texts of one doc_id apart, and the whole sorted set."""
 
     def run(batches):
         for batch in batches:
             found = list(shingle_sets(batch, 1, width))
             flat = C.longs(np.concatenate(found)) if found else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), C.lists_of(flat, [len(f) for f in found])], ["doc_id", "items"])
+            one = np.array([f.sum(dtype=np.uint64) for f in found], np.uint64)
+            sizes = [len(f) for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), C.longs(one), C.lists_of(flat, sizes)], ["doc_id", "n", "one", "items"]
+            )
 
-    return _ids(docs).mapInArrow(run, "doc_id long, items array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, one long, items array<long>")
+
+
+def _frequencies(sets: DataFrame, level: int) -> DataFrame:
+    """doc, n, one and ``held``: frequency and fingerprint of every shingle that another document holds too."""
+    tokens = sets.select(F.col("doc_id").alias("doc"), "n", "one", F.explode("items").alias("token"))
+    before, held = sets.count(), None
+    while True:
+        common = saved(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
+        found = tokens.join(common, "token").groupBy("doc", "n", "one").agg(F.collect_set(F.struct("c", "token")).alias("held"))
+        now = saved(found.where(f"100 * size(held) >= {level} * n"))
+        C.drop_table(common)
+        if held is not None:
+            C.drop_table(held)
+        held, after = now, now.count()
+        if (before - after) * PRUNE <= before:
+            return held
+        before = after
+        tokens = held.select("doc", "n", "one", F.explode("held.token").alias("token"))
+
+
+def _postings(held: DataFrame, level: int) -> DataFrame:
+    """token, doc, n, l, shingles behind the prefix, shingles that others hold: one row for each of a prefix."""
+
+    def run(batches):
+        for batch in batches:
+            n, most = batch.column("n").to_numpy(), []
+            tokens, counts = batch.column("token"), batch.column("c")
+            ends = tokens.offsets.to_numpy()
+            every, weight = tokens.values.to_numpy().view(np.uint64), counts.values.to_numpy()
+            least, rest, parts = [], [], []
+            for i in range(batch.num_rows):
+                mine = slice(ends[i], ends[i + 1])
+                size = int(ends[i + 1] - ends[i])
+                l, part = choose_prefix(every[mine], weight[mine], level, int(n[i]) - size)
+                least.append(l)
+                rest.append(size - len(part))
+                most.append(size)
+                parts.append(part)
+            flat = C.longs(np.concatenate(parts)) if parts else pa.array([], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc"),
+                    batch.column("n"),
+                    pa.array(least, pa.int32()),
+                    pa.array(rest, pa.int64()),
+                    pa.array(most, pa.int64()),
+                    C.lists_of(flat, [len(p) for p in parts]),
+                ],
+                ["doc", "n", "l", "rest", "most", "prefix"],
+            )
+
+    rows = held.select("doc", "n", F.col("held.token").alias("token"), F.col("held.c").alias("c"))
+    out = rows.mapInArrow(run, "doc long, n long, l int, rest long, most long, prefix array<long>")
+    return out.select(F.explode("prefix").alias("token"), "doc", "n", "l", "rest", "most")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, level: int) -> DataFrame:
@@ -217,10 +250,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, level: int) -> DataFrame:
 
 
 def _links(lists: DataFrame, sets: DataFrame, level: int) -> DataFrame:
-    """(node, root): the linked groups among the documents of ``lists`` (token, doc, n, l, shingles behind the prefix)."""
+    """(node, root): the linked groups among the documents of ``lists`` (token, doc, n, l, rest, most)."""
     roots = saved(lists.select(F.col("doc").alias("node")).distinct().select("node", F.col("node").alias("root")))
     turn, last = 0, False
-    fits = f"100 * least(n, bn) >= {level} * greatest(n, bn)"
+    fits = f"100 * least(n, bn) >= {level} * greatest(n, bn) AND {100 + level} * least(most, bmost) >= {level} * (n + bn)"
     enough = f"shared >= least AND {100 + level} * (shared + behind) >= {level} * sizes"
     docs, found = roots.count(), 0
     while True:
@@ -233,12 +266,15 @@ def _links(lists: DataFrame, sets: DataFrame, level: int) -> DataFrame:
         if rows == 0:
             C.drop_table(lists_left)
             return roots
-        last = last or pairs_left <= 4 * rows or (turn > 0 and found * WORTH < docs)
-        if last:
-            other = lists_left.select("token", *[F.col(c).alias(f"b{c}") for c in ("doc", "n", "l", "rest", "root")]).withColumnRenamed("bdoc", "b")
-            met = lists_left.join(other, "token").where(f"doc < b AND root <> broot AND {fits}")
+        last = last or pairs_left <= SPARE * rows or (turn > 0 and found * WORTH < docs)
+        columns = ("n", "l", "rest", "most", "root")
+        theirs = [F.col(c).alias(f"b{c}") for c in columns]
+        if last:  # linked sets are of the same or of neighbouring size classes
+            kind = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / level + 1e-9))) if level < 100 else F.col("n")
+            other = lists_left.select("token", F.col("doc").alias("b"), *theirs, kind.alias("size"))
+            near = F.explode(F.array(*[kind + i for i in (-1, 0, 1)])).alias("size")
+            met = lists_left.select("token", "doc", *columns, near).join(other, ["token", "size"]).where(f"doc < b AND root <> broot AND {fits}")
         else:
-            theirs = [F.col(c).alias(f"b{c}") for c in ("n", "l", "rest", "root")]
             drawn = F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), F.col("doc").alias("b"), *theirs)
             pivot = lists_left.groupBy("token").agg(F.min(drawn).alias("p")).select("token", "p.*")
             met = lists_left.join(pivot, "token").where(f"root <> broot AND {fits}")
@@ -271,19 +307,16 @@ def _links(lists: DataFrame, sets: DataFrame, level: int) -> DataFrame:
 
 def components(docs: DataFrame, width: int = SHINGLE, level: int = LEVEL) -> DataFrame:
     """doc_id, n_shingles and component_id for every row."""
-    spark = docs.sparkSession
-    marks = saved(_signatures(docs, width))
+    marks = saved(_first(docs, width, level))
     known = marks.where("doc_id IS NOT NULL AND n > 0")
     classes = saved(known.groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep")))
-    counts = spark.sparkContext.broadcast(sketch(docs, width))
-    first = classes.select(F.col("rep").alias("doc_id")).distinct()
-    prefixes = _prefixes(docs, width, level, counts).where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi")
-    postings = prefixes.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"), "n", "l", (F.col("n") - F.size("prefix")).alias("rest"))
-    shared = saved(postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"))
-    lists = saved(postings.join(shared, "token"))
-    C.drop_table(shared)
-    wanted = lists.select(F.col("doc").alias("doc_id")).distinct()
-    sets = saved(_sets(docs, width).where("doc_id IS NOT NULL").join(wanted, "doc_id", "left_semi"))
+    first = known.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "one", "two"], "left_semi")
+    live = _candidates(first)
+    sets = saved(_sets(_ids(docs).join(live, "doc_id", "left_semi"), width).where("n > 0"))
+    C.drop_table(live)
+    held = _frequencies(sets, level)
+    lists = saved(_postings(held, level))
+    C.drop_table(held)
     roots = _links(lists, sets, level)
     C.drop_table(lists)
     C.drop_table(sets)

@@ -73,12 +73,10 @@ def _reach(start, sets):
     return seen
 
 
-@pytest.mark.parametrize("cells", [ngram_join.CELLS, 64])
-def test_ngram_join_links_texts_with_additions(spark, monkeypatch, cells):
+@pytest.mark.parametrize("spare", [ngram_join.SPARE, 0])
+def test_ngram_join_links_texts_with_additions(spark, monkeypatch, spare):
     # a text of 100 shingles and the same with 25, 20, 14 and 9 of its own: J 0.80, 0.83, 0.87 and 0.91; 26 are too many
-    if cells < ngram_join.BLOCK:  # every counter of the sketch is loaded
-        monkeypatch.setattr(ngram_join, "BLOCK", cells)
-        monkeypatch.setattr(ngram_join, "CELLS", cells)
+    monkeypatch.setattr(ngram_join, "SPARE", spare)  # 0: pivots first
     docs = []
     for k, more in enumerate([25, 20, 14, 9, 26] * 6):
         base, own = [f"p{k}b{i}" for i in range(104)], [f"p{k}o{i}" for i in range(more)]
@@ -91,6 +89,37 @@ def test_ngram_join_links_texts_with_additions(spark, monkeypatch, cells):
     assert got == {i: min(_reach(i, sets)) for i in sets}
 
 
+@pytest.mark.parametrize("level", [50, 80, 95])
+def test_first_prefix_misses_no_pair(level):
+    draw = np.random.default_rng(level)
+    for _ in range(300):
+        n = int(draw.integers(1, 120))
+        x = np.unique(draw.integers(0, 1 << 40, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([draw.permutation(x)[: draw.integers(n // 2, n + 1)], draw.integers(0, 1 << 40, int(draw.integers(0, 30)), dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if both and 100 * both >= level * (len(x) + len(y) - both):
+            (p, a), (q, b) = (ngram_join.first_prefix(len(s), level) for s in (x, y))
+            assert len(np.intersect1d(x[:p], y[:q])) >= max(a, b)
+
+
+def test_ngram_join_with_one_passage_in_half_of_the_documents(spark):
+    # a passage that most of a text consists of, own words of many lengths, and chains of near copies
+    draw = np.random.default_rng(5)
+    passage = [f"p{i}" for i in range(60)]
+    docs = []
+    for i in range(160):
+        own = [f"d{i}w{j}" for j in range(int(draw.integers(0, 30)))]
+        docs.append((i, " ".join(passage + own if i % 2 else [f"e{i}w{j}" for j in range(50)] + own)))
+    for i in range(0, 160, 8):
+        body = docs[i][1].split()
+        for k in range(3):
+            body = [*body, f"x{i}k{k}"]
+            docs.append((1000 + 4 * i + k, " ".join(body)))
+    sets = {i: _shingles(t) for i, t in docs}
+    got = {r.doc_id: r.component_id for r in ngram_join.components(frame(spark, docs)).collect()}
+    assert got == {i: min(_reach(i, sets)) for i in sets}
+
+
 def test_multi_match_prefix_misses_no_pair():
     draw = np.random.default_rng(3)
     counts = draw.integers(1, 50, 4000)
