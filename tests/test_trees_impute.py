@@ -27,6 +27,20 @@ def test_long_chain(spark):
     assert all(got[i] == ("mark" if i >= 7 else None) for i in range(400))
 
 
+def test_pointers_of_a_hot_root_a_chain_and_a_missing_node(spark):
+    # half of the nodes point at one root, a chain hangs below it, one node points at nothing
+    up = {0: None} | {i: 0 for i in range(1, 300)} | {i: i - 1 for i in range(300, 340)} | {500: 999}
+    amount = {i: i % 7 for i in up}
+    state = spark.createDataFrame([(i, t, amount[i]) for i, t in up.items()], "node long, to long, value long")
+
+    def path(i):
+        return 0 if i is None or i not in up else amount[i] + path(up[i])
+
+    assert {r.node: r.value for r in G.resolve_pointers(state, add=True).collect()} == {i: path(i) for i in up}
+    got = {r.node: r.value for r in G.resolve_pointers(state).collect()}
+    assert got == {i: None if i == 500 else amount[0] for i in up}
+
+
 def test_tip_labels(spark):
     rows = [
         (1, None, None, 0.0), (2, 1, "bin_5faa.x_rest", 0.0), (3, 1, "bin_5faa y", 0.5), (4, 1, "Unc01 abc_d", 0.25),
