@@ -21,8 +21,9 @@ Stages, each a Spark job over whole tables:
    is estimated from the frequencies, and prefixes become postings.
 5. Links. A group of n near copies would give n * n / 2 pairs, so postings first
    meet one seeded pivot each; verified links merge groups, and only shingles that
-   still lie in several groups go on. When few pairs are left, or a round links
-   little, all remaining pairs of different groups of like size with enough shared
+   still lie in several groups go on. When a round links little, stages 3
+   and 4 are done once more with groups in place of documents. Then, or when few pairs
+   are left, all remaining pairs of different groups of like size with enough shared
    shingles are verified, so no link between groups is missed. A pair is not verified
    when its shared prefix shingles rule the level out: of two prefixes one ends first
    in the common order, and all shared shingles that are not in both lie behind that
@@ -193,6 +194,18 @@ def _frequencies(sets: DataFrame, level: int) -> DataFrame:
         tokens = held.select("doc", "n", "one", F.explode("held.token").alias("token"))
 
 
+def _between(held: DataFrame, roots: DataFrame, level: int) -> DataFrame:
+    """``held`` of shingles that stand in several groups, for documents that have enough of them to be linked with another group."""
+    groups = roots.select(F.col("node").alias("doc"), "root")
+    tokens = held.join(groups, "doc").select("doc", "n", "one", "root", F.explode("held.token").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
+    common = saved(counts.where("low < high").select("token", "c"))
+    found = tokens.join(common, "token").groupBy("doc", "n", "one").agg(F.collect_set(F.struct("c", "token")).alias("held"))
+    out = saved(found.where(f"100 * size(held) >= {level} * n"))
+    C.drop_table(common)
+    return out
+
+
 def _postings(held: DataFrame, level: int) -> DataFrame:
     """token, doc, n, l, shingles behind the prefix, shingles that others hold: one row for each of a prefix."""
 
@@ -249,10 +262,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, level: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _links(lists: DataFrame, sets: DataFrame, level: int) -> DataFrame:
-    """(node, root): the linked groups among the documents of ``lists`` (token, doc, n, l, rest, most)."""
-    roots = saved(lists.select(F.col("doc").alias("node")).distinct().select("node", F.col("node").alias("root")))
-    turn, last = 0, False
+def _links(lists: DataFrame, sets: DataFrame, level: int, roots: DataFrame, last: bool = False) -> tuple[DataFrame, bool]:
+    """(node, root) with the links of ``lists`` (token, doc, n, l, rest, most), and whether none is left between groups."""
+    turn = 0
     fits = f"100 * least(n, bn) >= {level} * greatest(n, bn) AND {100 + level} * least(most, bmost) >= {level} * (n + bn)"
     enough = f"shared >= least AND {100 + level} * (shared + behind) >= {level} * sizes"
     docs, found = roots.count(), 0
@@ -265,8 +277,11 @@ def _links(lists: DataFrame, sets: DataFrame, level: int) -> DataFrame:
         rows, pairs_left = lists_left.count(), cross.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]
         if rows == 0:
             C.drop_table(lists_left)
-            return roots
-        last = last or pairs_left <= SPARE * rows or (turn > 0 and found * WORTH < docs)
+            return roots, True
+        last = last or pairs_left <= SPARE * rows
+        if not last and turn > 0 and found * WORTH < docs:
+            C.drop_table(lists_left)
+            return roots, False
         columns = ("n", "l", "rest", "most", "root")
         theirs = [F.col(c).alias(f"b{c}") for c in columns]
         if last:  # linked sets are of the same or of neighbouring size classes
@@ -301,7 +316,7 @@ def _links(lists: DataFrame, sets: DataFrame, level: int) -> DataFrame:
         C.drop_table(edges)
         C.drop_table(lists_left)
         if last:
-            return roots
+            return roots, True
         turn += 1
 
 
@@ -316,9 +331,16 @@ def components(docs: DataFrame, width: int = SHINGLE, level: int = LEVEL) -> Dat
     C.drop_table(live)
     held = _frequencies(sets, level)
     lists = saved(_postings(held, level))
-    C.drop_table(held)
-    roots = _links(lists, sets, level)
+    start = saved(held.select(F.col("doc").alias("node")).distinct().select("node", F.col("node").alias("root")))
+    roots, done = _links(lists, sets, level, start)
     C.drop_table(lists)
+    if not done:  # pivots link little: only shingles that stand in several groups count from here on
+        held, before = _between(held, roots, level), held
+        C.drop_table(before)
+        lists = saved(_postings(held, level))
+        roots, _ = _links(lists, sets, level, roots, last=True)
+        C.drop_table(lists)
+    C.drop_table(held)
     C.drop_table(sets)
     # every row's class, every class's group, every group's smallest id
     rows = marks.join(classes, ["n", "one", "two"], "left").select("doc_id", F.col("n").alias("n_shingles"), "rep")
