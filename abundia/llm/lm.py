@@ -1,24 +1,28 @@
-"""Language-model scoring with an Elias-Fano n-gram trie.
-
-Counts come from all training documents: words first, then pairs, then triples. A
-model of documented size keeps the ``VOCABULARY`` most frequent words (all others are one
-class, whose words share its probability by their counts), at most ``PAIRS`` pairs
-and ``TRIPLES`` triples; thresholds for this are read off the full count
-histograms, and what is left out stays in the back-off mass, so probabilities of
-a context still sum to one. Smoothing is interpolated absolute discounting.
-
-The trie has three levels. Level n holds, for every entry of level n - 1, its
-children's word ids in order. Two Elias-Fano sequences describe a level: the
+"""Language-model scoring with sharded Elias-Fano n-gram tries.
+
+Words, pairs and triples of all training documents are counted, and every one of them
+is in the model: no vocabulary, count threshold or size limit leaves any out.
+Smoothing is interpolated absolute discounting of triples over pairs over add-one words,
+so probabilities of a context sum to one.
+
+The tries are split by the middle word of a triple, whose shard then holds all that the
+triple needs: the pairs and the triples that share this word. Shards have about ``SHARD``
+tokens, so their number grows with the input and their size does not. A word in
+more tokens than half a shard is dealt on by the word before it; its pairs are counted by
+themselves and sent to each of its shards. In ``ROUNDS`` rounds every task sends the triples of its
+texts to the shards as packed blocks, so that no more than a part of them is on
+disk at once; a shard builds its trie, looks all of them up and returns a sum for each document.
+
+A trie has levels for pairs and triples. A level holds, for every parent, its
+children's word ids in order. Two Elias-Fano sequences describe it: the
 monotone pointers to the first child of each parent, and the children made
 monotone by adding parent * vocabulary; a child is found by successor search
 relative to its context: the upper bits name a short run, inside which the low
-bits are searched. Probabilities and back-off weights are quantised to 256 values
-each. All arrays lie in one file that every executor maps into memory; the
-workers of an executor share its pages.
+bits are searched. Counts are kept as they are.
 
-The base score needs the exact count of every word. ``DICTIONARY`` words of highest
-count are in the same file; tokens that are not found there are joined with the
-table of all counts, so no word is cut off.
+Word counts: the ``DICTIONARY`` words of highest count are in a file that every executor
+maps into memory; other words are joined with the table of all counts, for the base
+score and for the shards alike, so no word is cut off.
 
 Defined cases: null and empty texts have one token, the end; a null doc_id is not
 held out; repeated rows are scored alike; an empty table gives an empty result;
@@ -30,6 +34,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,14 +47,14 @@ from abundia.llm import common as C
 from abundia.llm.common import saved
 
 DICTIONARY = 1 << 20
-VOCABULARY = 1 << 14
-PAIRS = 1 << 19
-TRIPLES = 1 << 19
+#: Tokens of a shard of the trie, about.
+SHARD = 1 << 19
+#: Parts in which the shards are filled, one after the other.
+ROUNDS = 3
 DISCOUNT = 0.75
-OTHER, START, FIRST = 0, 1, 2
-#: Tokens whose n-grams are counted together inside a task.
+#: Tokens whose n-grams are counted or sent together by a task.
 CHUNK = 1 << 21
-END = int(C.mix(np.array([1], np.uint64) * np.uint64(C.BASE))[0])
+END, START, NONE = (int(x) for x in C.mix(np.arange(1, 4, dtype=np.uint64) * np.uint64(C.BASE)))
 
 
 # -- Elias-Fano ------------------------------------------------------------------------
@@ -106,56 +111,66 @@ class EliasFano:
         return np.where(hit, a, -1)
 
 
-def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, book): each value's nearest of 256 quantile means."""
-    if len(values) == 0:
-        return np.zeros(0, np.uint8), np.zeros(256, np.float32)
-    book = np.quantile(values, (np.arange(256) + 0.5) / 256).astype(np.float32)
-    return np.searchsorted((book[1:] + book[:-1]) / 2, values).astype(np.uint8), book
+# -- the model -------------------------------------------------------------------------
 
 
-# -- the model -------------------------------------------------------------------------
+class Trie:
+    """All training n-grams of a shard; words are numbers below ``size``.
+
+    ``pairs`` (parent * size + child, sorted) have counts ``two``; ``contexts`` are sorted numbers of word pairs (v, u),
+    ``triples`` (place of the context * size + child, sorted) have counts ``three``.
+    """
 
+    def __init__(self, size: int, pairs: np.ndarray, two: np.ndarray, contexts: int, triples: np.ndarray, three: np.ndarray):
+        self.size, self.two, self.three = size, two, three
+        self.children = [EliasFano.of(EliasFano.arrays(x)) for x in (pairs, triples)]
+        first = [np.searchsorted(x, np.arange(n + 1) * size) for x, n in ((pairs, size), (triples, contexts))]
+        self.pointers = [EliasFano.of(EliasFano.arrays(x)) for x in first]
+        self.sums = [np.concatenate([[0], np.cumsum(c)]) for c in (two, three)]
 
-def build(words: np.ndarray, counts: np.ndarray, in_model: np.ndarray, total: int, distinct: int, starts: int, pairs: tuple, triples: tuple) -> dict[str, np.ndarray]:
-    """Arrays of the model file.
+    def count(self, level: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Training count of each child, 0 where it is not in the trie."""
+        kept = (self.two, self.three)[level]
+        if not len(kept):
+            return np.zeros(len(parent), np.int64)
+        at = self.children[level].find(parent * self.size + word)
+        return np.where(at >= 0, kept[np.maximum(at, 0)], 0)
 
-    ``words`` sorted fingerprints of the dictionary with ``counts``; ``in_model`` marks those with an id of
-    their own; ``total`` tokens and ``distinct`` words in training; ``starts`` training documents; ``pairs``
-    (u, v, c) and ``triples`` (u, v, w, c) in ids, sorted.
+    def context(self, level: int, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, distinct words) that follow each parent in training."""
+        a, b = self.pointers[level].access(parent), self.pointers[level].access(parent + 1)
+        return self.sums[level][b] - self.sums[level][a], b - a
+
+
+def mixed(count: np.ndarray, total: np.ndarray, kinds: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Discounted share of a child in its context and the lower order's part; the lower order alone in an unknown context."""
+    known = np.maximum(total, 1)
+    return np.where(total > 0, (np.maximum(count - DISCOUNT, 0.0) + DISCOUNT * kinds * lower) / known, lower)
+
+
+def shard_scores(u: np.ndarray, v: np.ndarray, w: np.ndarray, times: np.ndarray, size: int, none: int, p1: np.ndarray, hot: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 P(w | u, v) of the distinct triples, place of each row among them).
+
+    ``times`` is 1 for rows in training, else 0; ``none`` marks a ``u`` that is not there; ``p1`` has the probability of each
+    word; ``hot`` has the words whose pairs are counted outside, and these pairs (v, w, count).
     """
-    ids = np.zeros(len(words), np.int32)
-    ids[in_model] = FIRST + np.arange(int(in_model.sum()))
-    size = FIRST + int(in_model.sum())
-    own = np.zeros(size, np.int64)
-    own[ids[in_model]] = counts[in_model]
-    other = total - int(own.sum())
-    own[OTHER] = other
-    p1 = (own + 1.0) / (total + size - 1.0)  # START is never predicted
-    context = own.copy()
-    context[START] = starts
-    u, v, c = pairs
-    first = np.searchsorted(u, np.arange(size + 1))
-    rest = np.ones(size)
-    known = np.maximum(context, 1)
-    np.add.at(rest, u, -(c - DISCOUNT) / known[u])
-    p2 = (c - DISCOUNT) / known[u] + rest[u] * p1[v]
-    children = EliasFano.arrays(u.astype(np.int64) * size + v)
-    x, y, z, k = triples
-    parent = EliasFano.of(children).find(x.astype(np.int64) * size + y)
-    below = EliasFano.of(children).find(y.astype(np.int64) * size + z)
-    lower = np.where(below >= 0, p2[below] if len(p2) else 0.0, rest[y] * p1[z])
-    rest2 = np.ones(len(u))
-    np.add.at(rest2, parent, -(k - DISCOUNT) / c[parent])
-    p3 = (k - DISCOUNT) / c[parent] + rest2[parent] * lower
-    first2 = np.searchsorted(parent, np.arange(len(u) + 1))
-    out = {"words": words, "counts": counts, "ids": ids, "size": np.array([size, total, distinct, other, distinct - int(in_model.sum())], np.int64)}
-    for name, values in (("p1", p1), ("b1", rest), ("p2", p2), ("b2", rest2), ("p3", p3)):
-        codes, book = quantised(np.log10(np.maximum(values, 1e-12)))
-        out |= {f"{name}.codes": codes, f"{name}.book": book}
-    for name, values in (("pointers1", first), ("pointers2", first2), ("children2", u.astype(np.int64) * size + v), ("children3", parent * size + z)):
-        out |= {f"{name}.{k2}": a for k2, a in EliasFano.arrays(values).items()}
-    return out
+    contexts, at = np.unique(v * size + u, return_inverse=True)
+    keys, place = np.unique(at * size + w, return_inverse=True)
+    three = np.bincount(place, weights=times, minlength=len(keys)).astype(np.int64)
+    own, word = keys // size, keys % size
+    middle, before = contexts[own] // size, contexts[own] % size
+    pairs, which = np.unique(middle * size + word, return_inverse=True)
+    two = np.bincount(which, weights=three, minlength=len(pairs)).astype(np.int64)
+    outside, hot_v, hot_w, hot_c = hot
+    mine = (two > 0) & ~np.isin(pairs // size, outside)
+    all_pairs, all_two = np.concatenate([pairs[mine], hot_v * size + hot_w]), np.concatenate([two[mine], hot_c])
+    order = np.argsort(all_pairs)
+    seen = three > 0
+    trie = Trie(size, all_pairs[order], all_two[order], len(contexts), keys[seen], three[seen])
+    parent, child = pairs // size, pairs % size
+    lower = mixed(trie.count(0, parent, child), *trie.context(0, parent), p1[child])[which]
+    full = mixed(trie.count(1, own, word), *trie.context(1, own), lower)
+    return np.log10(np.where(before == none, lower, full)), place
 
 
 def write_file(arrays: dict[str, np.ndarray], path: str) -> list[tuple[str, str, int, int]]:
@@ -172,53 +187,20 @@ def write_file(arrays: dict[str, np.ndarray], path: str) -> list[tuple[str, str,
     return header
 
 
-class Trie:
-    """The model file, mapped into memory."""
+class Dictionary:
+    """The file of word counts, mapped into memory."""
 
     def __init__(self, path: str, header: list[tuple[str, str, int, int]]):
         file = np.memmap(path, np.uint8, "r")
-        a = {name: np.frombuffer(file, kind, n, at) for name, kind, n, at in header}
-        self.words, self.counts, self.ids = a["words"], a["counts"], a["ids"]
-        self.size, self.total, self.distinct, self.other, self.other_words = (int(x) for x in a["size"])
-        self.value = {n: (a[f"{n}.codes"], a[f"{n}.book"]) for n in ("p1", "b1", "p2", "b2", "p3")}
-        self.level = {n: EliasFano.of({k: a[f"{n}.{k}"] for k in ("low", "unary", "shape")}) for n in ("children2", "children3", "pointers1", "pointers2")}
-
-    def _take(self, name: str, i: np.ndarray) -> np.ndarray:
-        codes, book = self.value[name]
-        return book[codes[i]]
-
-    def look_up(self, words: np.ndarray) -> np.ndarray:
-        """Place of each word in the dictionary, or -1."""
+        self.words, self.counts = (np.frombuffer(file, kind, n, at) for _, kind, n, at in header)
+
+    def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each word is in the file, its count or 0)."""
         if not len(self.words):
-            return np.full(len(words), -1)
+            return np.zeros(len(words), bool), np.zeros(len(words), np.int64)
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, at, -1)
-
-    def child(self, level: str, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Place of ``word`` among the children of ``parent``, or -1."""
-        out = np.full(len(parent), -1)
-        some = np.flatnonzero(parent >= 0)
-        if self.level[level].size:
-            out[some] = self.level[level].find(parent[some] * self.size + word[some])
-        return out
-
-    def children(self, pointers: str, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Range of the children of each entry."""
-        return self.level[pointers].access(parent), self.level[pointers].access(parent + 1)
-
-    def log10(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """log10 P(w | u, v) of class ids; u may be -1 where the context is one token."""
-        low = self.child("children2", v, w)
-        p = np.where(low >= 0, self._take("p2", np.maximum(low, 0)) if len(self.value["p2"][0]) else 0, self._take("b1", v) + self._take("p1", w))
-        context = np.full(len(u), -1)
-        two = u >= 0
-        context[two] = self.child("children2", u[two], v[two])
-        has = np.flatnonzero(context >= 0)
-        if len(has):
-            full = self.child("children3", context[has], w[has])
-            top = self._take("p3", np.maximum(full, 0)) if len(self.value["p3"][0]) else 0
-            p[has] = np.where(full >= 0, top, self._take("b2", context[has]) + p[has])
-        return p.astype(np.float64)
+        found = self.words[at] == words
+        return found, np.where(found, self.counts[at], 0)
 
 
 # -- counting and scoring in Spark ------------------------------------------------------
@@ -227,7 +209,8 @@ class Trie:
 def _rows(docs: DataFrame, folds: int, held: int) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     out = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % folds == held, F.lit(False))
-    return docs.select(C.id_or_least().alias("id"), F.xxhash64(text).alias("text_key"), out.alias("held_out"), text.alias("text"))
+    rows = docs.select(C.id_or_least().alias("id"), F.xxhash64(text).alias("text_key"), out.alias("held_out"), text.alias("text"))
+    return rows.withColumn("key", F.xxhash64("id", "text_key"))
 
 
 def _tokens(batch: pa.RecordBatch):
@@ -244,18 +227,25 @@ def _tokens(batch: pa.RecordBatch):
         yield low, row, tokens
 
 
-def _contexts(ids: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(u, v) before each token; START before the first, -1 where there is no second."""
+def _numbered(tokens: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, u, v, w): distinct words, and the triple that ends at each token as places in them; START before the first, NONE before that."""
+    words, last = np.unique(np.concatenate([tokens, np.array([START, NONE], np.uint64)]), return_inverse=True)
+    last = last.astype(np.int32)
+    start, none, last = last[-2], last[-1], last[:-2]
     new = np.ones(len(row), bool)
     new[1:] = row[1:] != row[:-1]
-    v = np.concatenate([[START], ids[:-1]])
-    v[new] = START
-    u = np.concatenate([[-1], v[:-1]])
-    u[new] = -1
-    return u, v
+    middle = np.where(new, start, np.roll(last, 1))
+    return words, np.where(new, none, np.roll(middle, 1)), middle, last
 
 
-def _counted(keys, names: list[str]):
+def _before(tokens: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The token before each one, START before the first."""
+    out = np.roll(tokens, 1)
+    out[np.flatnonzero(np.diff(row, prepend=-1))] = START
+    return out
+
+
+def _counted(keys, names: list[str], chunk: int):
     """A task function that counts the key columns ``keys(batch)`` yields, a chunk at a time."""
 
     def flush(held):
@@ -277,7 +267,7 @@ def _counted(keys, names: list[str]):
                 if len(columns[0]):
                     held.append(columns)
                     size += len(columns[0])
-                if size >= CHUNK:
+                if size >= chunk:
                     yield flush(held)
                     held, size = [], 0
         if held:
@@ -299,130 +289,231 @@ def least_count(table: DataFrame, most: int) -> int:
     return least if least is not None else (1 << 62)
 
 
-def train(docs: DataFrame, folds: int, held: int) -> tuple[DataFrame, dict[str, np.ndarray]]:
-    """(table of all word counts, arrays of the model) from the rows outside the held-out fold."""
-    spark = docs.sparkSession
-    rows = _rows(docs, folds, held).where("NOT held_out").select("text")
+class Shards:
+    """Which shard a triple goes to."""
 
-    def words_of(batch):
-        for _, _, tokens in _tokens(batch):
-            yield (tokens,)
+    def __init__(self, number: int, hot: np.ndarray, parts: np.ndarray):
+        self.number, self.hot, self.parts = number, hot, parts
+
+    def of(self, words: np.ndarray, first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """By the middle word; a word in ``hot`` also by what is before it, or by the last word where there is nothing. Triples are places in ``words``."""
+        out = (C.mix(words) % np.uint64(self.number)).astype(np.int32)[middle]
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)
+            parts = np.where(self.hot[at] == words, self.parts[at], np.uint64(0))
+            some = np.flatnonzero((parts > 0)[middle])
+            v, deal = middle[some], np.where(words[first[some]] == NONE, last[some], first[some])
+            key = self._part(words[v], C.mix(words + np.uint64(C.BASE))[deal] % parts[v])
+            out[some] = C.mix(key) % np.uint64(self.number)
+        return out
+
+    @staticmethod
+    def _part(v: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return C.mix(v + (part + np.uint64(1)) * np.uint64(C.BASE))
+
+    def homes(self) -> list[tuple[int, int]]:
+        """(word, shard) of every shard that a word in ``hot`` is dealt to."""
+        out = set()
+        for word, n in zip(self.hot, self.parts, strict=True):
+            keys = self._part(np.full(int(n), word, np.uint64), np.arange(int(n), dtype=np.uint64))
+            out |= {(int(word.view(np.int64)), int(s)) for s in C.mix(keys) % np.uint64(self.number)}
+        return sorted(out)
+
+
+BLOCK = "shard int, words binary, ids binary, docs binary, keys binary, times binary"
+
+
+def _narrow(numbers: np.ndarray, below: int) -> bytes:
+    return numbers.astype(np.uint16 if below <= 1 << 16 else np.uint32).tobytes()
+
+
+def _wide(data: bytes, below: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint16 if below <= 1 << 16 else np.uint32)
+
+
+def _blocks(shards: Shards, turn: int, turns: int, chunk: int):
+    """A task function: the triples of (key, held_out, text) rows, packed for each shard of a round."""
+
+    def flush(parts) -> Iterator[pa.RecordBatch]:
+        tokens, doc, keys, times = (np.concatenate(c) for c in zip(*parts, strict=True))
+        words, first, middle, last = _numbered(tokens, doc)
+        shard = shards.of(words, first, middle, last)
+        mine = np.flatnonzero(shard % turns == turn)
+        if not len(mine):
+            return
+        mine = mine[np.argsort(shard[mine].astype(np.int64) * len(words) + middle[mine])]
+        number, ends = np.unique(shard[mine], return_index=True)
+        out = {n: [] for n in ("words", "ids", "docs", "keys", "times")}
+        place, spot = np.zeros(len(words), np.int64), np.zeros(len(keys), np.int64)
+        for low, high in zip(ends, [*ends[1:], len(mine)], strict=True):
+            at = mine[low:high]
+            ids = np.concatenate([middle[at], first[at], last[at]])
+            have = np.zeros(len(words), bool)
+            have[ids] = True
+            used = np.flatnonzero(have)
+            place[used] = np.arange(len(used))
+            here = np.unique(doc[at])
+            spot[here] = np.arange(len(here))
+            out["words"].append(words[used].tobytes())
+            out["ids"].append(_narrow(place[ids], len(used)))
+            out["docs"].append(_narrow(spot[doc[at]], len(here)))
+            out["keys"].append(keys[here].tobytes())
+            out["times"].append(times[here].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), *[pa.array(c, pa.binary()) for c in out.values()]], ["shard", *out])
+
+    def run(batches):
+        parts, size, rows = [], 0, 0
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            times = (~batch.column(1).to_numpy(zero_copy_only=False)).astype(np.uint8)
+            for low, row, tokens in _tokens(batch):
+                n = int(row[-1]) + 1 if len(row) else 0
+                parts.append((tokens, row + rows, keys[low : low + n], times[low : low + n]))
+                size, rows = size + len(tokens), rows + n
+                if size >= chunk:
+                    yield from flush(parts)
+                    parts, size, rows = [], 0, 0
+        if size:
+            yield from flush(parts)
+
+    return run
+
+
+def _shard_sums(name: str, header: list, unit: float):
+    """A group function: (key, score) of the documents of a shard from its blocks and the counts that come with it."""
+
+    def run(blocks: pa.Table, extra: pa.Table) -> pa.Table:
+        dictionary = Dictionary(SparkFiles.get(name), header)
+        given = {n: blocks[n].to_pylist() for n in ("words", "ids", "docs", "keys", "times")}
+        lists = [np.frombuffer(x, np.uint64) for x in given["words"]]
+        v, w, c = (extra[n].to_numpy() for n in ("v", "w", "c"))
+        v, w, hot = v.view(np.uint64), w.view(np.uint64), extra["hot"].to_numpy().astype(bool)
+        words = np.unique(np.concatenate([*lists, v[hot], w[hot], np.array([NONE], np.uint64)]))
+        number = lambda x: np.searchsorted(words, x)
+        triples, docs, base = [], [], 0
+        for mine, ids, doc, keys in zip(lists, given["ids"], given["docs"], given["keys"], strict=True):
+            triples.append(number(mine)[_wide(ids, len(mine))].reshape(3, -1))
+            docs.append(_wide(doc, len(keys) // 8).astype(np.int64) + base)
+            base += len(keys) // 8
+        keys = np.frombuffer(b"".join(given["keys"]), np.int64)
+        if not len(keys):
+            return pa.table({"key": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        (middle, first, last), doc = np.concatenate(triples, axis=1), np.concatenate(docs)
+        times = np.frombuffer(b"".join(given["times"]), np.uint8)[doc]
+        counts = dictionary.look_up(words)[1].astype(np.float64)
+        counts[number(w[~hot])] = c[~hot]
+        pairs = (np.unique(number(v[hot])), number(v[hot]), number(w[hot]), c[hot])
+        gain, place = shard_scores(first, middle, last, times, len(words), int(number(np.uint64(NONE))), (counts + 1.0) / unit, pairs)
+        each, whose = np.unique(keys, return_inverse=True)
+        return pa.table({"key": pa.array(each), "score": pa.array(np.bincount(whose[doc], weights=gain[place], minlength=len(each)))})
+
+    return run
 
-    single = rows.mapInArrow(_counted(words_of, ["w", "c"]), "w long, c long")
-    table = saved(single.groupBy("w").agg(F.sum("c").alias("c")))
-    total, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    starts = rows.count()
-    floor = least_count(table, DICTIONARY)
-    known = table.where(F.col("c") >= floor).toArrow()
-    words, counts = known["w"].to_numpy().view(np.uint64), known["c"].to_numpy()
-    order = np.argsort(words)
-    words, counts = words[order], counts[order]
-    own = least_count(table, VOCABULARY)
-    in_model = (counts >= own) | (words == END)
-    ids = np.zeros(len(words), np.int32)
-    ids[in_model] = FIRST + np.arange(int(in_model.sum()))
-    listed = spark.sparkContext.broadcast((words[in_model], ids[in_model]))
-
-    def ids_of(tokens):
-        mine, number = listed.value
-        at = np.minimum(np.searchsorted(mine, tokens), len(mine) - 1)
-        return np.where(mine[at] == tokens, number[at], OTHER).astype(np.int64)
+
+def _extra(rows: DataFrame, rare: DataFrame, table: DataFrame, shards: Shards, chunk: int) -> DataFrame:
+    """(shard, hot, v, w, c): the pairs of frequent words for each of their shards, and counts of the ``rare`` words (shard, w) of a shard."""
 
     def pairs_of(batch):
         for _, row, tokens in _tokens(batch):
-            w = ids_of(tokens)
-            _, v = _contexts(w, row)
-            yield ((v << 32) | w,)
-
-    pairs = saved(rows.mapInArrow(_counted(pairs_of, ["k", "c"]), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).where("c > 1"))
-    kept = pairs.where(F.col("c") >= least_count(pairs, PAIRS)).toArrow().sort_by("k")
-    pair_keys, pair_counts = kept["k"].to_numpy(), kept["c"].to_numpy()
-    frequent = spark.sparkContext.broadcast(pair_keys)
-
-    def triples_of(batch):
-        # a triple is never more frequent than its two pairs
-        mine = frequent.value
-        for _, row, tokens in _tokens(batch):
-            w = ids_of(tokens)
-            u, v = _contexts(w, row)
-            a, b = (u << 32) | v, (v << 32) | w
-            good = np.flatnonzero(u >= 0)
-            if len(mine):
-                for k in (a, b):
-                    at = np.minimum(np.searchsorted(mine, k[good]), len(mine) - 1)
-                    good = good[mine[at] == k[good]]
-                yield a[good], w[good]
-
-    counted = rows.mapInArrow(_counted(triples_of, ["k", "w", "c"]), "k long, w long, c long")
-    triples = saved(counted.groupBy("k", "w").agg(F.sum("c").alias("c")).where("c > 1"))
-    three = triples.where(F.col("c") >= least_count(triples, TRIPLES)).toArrow().sort_by([("k", "ascending"), ("w", "ascending")])
-    k3, w3, c3 = (three[n].to_numpy() for n in ("k", "w", "c"))
-    low = (1 << 32) - 1
-    return table, build(
-        words, counts, in_model, int(total), int(distinct), starts, (pair_keys >> 32, pair_keys & low, pair_counts), (k3 >> 32, k3 & low, w3, c3)
-    )
+            v = _before(tokens, row)
+            good = shards.hot[np.minimum(np.searchsorted(shards.hot, v), len(shards.hot) - 1)] == v
+            yield v[good], tokens[good]
+
+    out = rare.distinct().join(table, "w").select("shard", F.lit(0).alias("hot"), F.lit(0).cast("long").alias("v"), "w", "c")
+    if len(shards.hot):
+        homes = rows.sparkSession.createDataFrame(shards.homes(), "v long, shard int")
+        counted = rows.where("NOT held_out").select("text").mapInArrow(_counted(pairs_of, ["v", "w", "c"], chunk), "v long, w long, c long")
+        counted = counted.groupBy("v", "w").agg(F.sum("c").alias("c"))
+        out = out.union(counted.join(F.broadcast(homes), "v").select("shard", F.lit(1), "v", "w", "c"))
+    return saved(out)
 
 
 def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = docs.sparkSession
-    table, arrays = train(docs, folds, held)
-    name = f"trie-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="abundia-trie-"), name)
-    header = write_file(arrays, path)
+    size, chunk, turns = SHARD, CHUNK, ROUNDS
+    rows = _rows(docs, folds, held)
+
+    def words_of(batch):
+        for _, _, tokens in _tokens(batch):
+            yield (tokens,)
+
+    single = rows.where("NOT held_out").select("text").mapInArrow(_counted(words_of, ["w", "c"], chunk), "w long, c long")
+    table = saved(single.groupBy("w").agg(F.sum("c").alias("c")))
+    total, distinct = (int(x) for x in table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first())
+    known = table.where(F.col("c") >= least_count(table, DICTIONARY)).toArrow()
+    words, counts = known["w"].to_numpy().view(np.uint64), known["c"].to_numpy()
+    order = np.argsort(words)
+    name = f"words-{uuid.uuid4().hex}.bin"
+    path = os.path.join(tempfile.mkdtemp(prefix="abundia-words-"), name)
+    header = write_file({"words": words[order], "counts": counts[order]}, path)
     spark.sparkContext.addFile(path)  # Spark hands the file to every executor, also to later ones
-    _, total, distinct, other, other_words = (int(x) for x in arrays["size"])
+    unit = float(total + distinct + 1)
+
+    # shards are filled by the words that many triples have in the middle; START is one of them
+    texts, trained = rows.agg(F.count("*"), F.coalesce(F.sum((~F.col("held_out")).cast("long")), F.lit(0))).first()
+    tokens = total * texts // max(1, trained)
+    often_words, often = np.append(words[order], np.uint64(START)), np.append(counts[order], trained)
+    hot = np.flatnonzero((often > size // 2) & (often_words != np.uint64(END)))
+    hot = hot[np.argsort(often_words[hot])]
+    shards = Shards(tokens // size + 1, often_words[hot], (often[hot] // (size // 2) + 1).astype(np.uint64))
 
     def run(batches):
-        trie = Trie(SparkFiles.get(name), header)
-        unit = np.log10(float(trie.total + trie.distinct + 1))
-        share = np.log10(float(trie.other + trie.other_words + 1))
+        dictionary = Dictionary(SparkFiles.get(name), header)
         for batch in batches:
-            n_all, known_all, base_all, score_all, rare_all = [], [], [], [], []
+            n_all, known_all, base_all, rare_all, shard_all = [], [], [], [], []
             for _, row, tokens in _tokens(batch):
-                at = trie.look_up(tokens)
-                found = at >= 0
-                count = np.where(found, trie.counts[np.maximum(at, 0)] if len(trie.counts) else 0, 0)
-                ids = np.where(found, trie.ids[np.maximum(at, 0)] if len(trie.ids) else 0, OTHER).astype(np.int64)
-                u, v = _contexts(ids, row)
-                gain = trie.log10(u, v, ids)
-                # inside the class of other words: by count, add-one
-                gain += np.where(ids == OTHER, np.where(found, np.log10(count + 1.0), 0.0) - share, 0.0)
-                base = np.where(found, np.log10(count + 1.0), 0.0) - unit
-                rows = int(row[-1]) + 1 if len(row) else 0
-                n_all.append(np.bincount(row, minlength=rows))
-                known_all.append(np.bincount(row, weights=found, minlength=rows).astype(np.int64))
-                base_all.append(np.bincount(row, weights=base, minlength=rows))
-                score_all.append(np.bincount(row, weights=gain, minlength=rows))
-                rare_all += _split(tokens[~found], row[~found], rows)
+                found, count = dictionary.look_up(tokens)
+                base = np.log10(count + 1.0) - np.log10(unit)
+                n = int(row[-1]) + 1 if len(row) else 0
+                n_all.append(np.bincount(row, minlength=n))
+                known_all.append(np.bincount(row, weights=found, minlength=n).astype(np.int64))
+                base_all.append(np.bincount(row, weights=base, minlength=n))
+                far = np.flatnonzero(~found)
+                rare_all += _split(tokens[far], row[far], n)
+                mine, u, v, w = _numbered(tokens, row)
+                shard_all += _split(shards.of(mine, u[far], v[far], w[far]), row[far], n)
             if n_all:
-                flat = C.longs(np.concatenate(rare_all)) if rare_all else pa.array([], pa.int64())
+                sizes = [len(r) for r in rare_all]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0),
-                        batch.column(1),
-                        batch.column(2),
-                        *[pa.array(np.concatenate(x)) for x in (n_all, known_all, base_all, score_all)],
-                        C.lists_of(flat, [len(r) for r in rare_all]),
+                        *[batch.column(i) for i in range(4)],
+                        *[pa.array(np.concatenate(x)) for x in (n_all, known_all, base_all)],
+                        C.lists_of(C.longs(np.concatenate(rare_all)), sizes),
+                        C.lists_of(pa.array(np.concatenate(shard_all), pa.int32()), sizes),
                     ],
-                    ["id", "text_key", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
+                    ["id", "text_key", "key", "held_out", "n_tokens", "n_known", "base_score", "rare", "shards"],
                 )
 
-    kind = "id long, text_key long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"
-    first = saved(_rows(docs, folds, held).mapInArrow(run, kind))
+    kind = "id long, text_key long, key long, held_out boolean, n_tokens long, n_known long, base_score double, rare array<long>, shards array<int>"
+    first = saved(rows.select("id", "text_key", "key", "held_out", "text").mapInArrow(run, kind))
+    far = first.where("size(rare) > 0").select(F.explode(F.arrays_zip("rare", "shards")).alias("x")).select(F.col("x.shards").alias("shard"), F.col("x.rare").alias("w"))
+    extra = _extra(rows, far, table, shards, chunk)
+    sums = []
+    for turn in range(turns):
+        blocks = rows.select("key", "held_out", "text").mapInArrow(_blocks(shards, turn, turns, chunk), BLOCK)
+        theirs = extra.where(F.col("shard") % turns == turn)
+        found = blocks.groupBy("shard").cogroup(theirs.groupBy("shard")).applyInArrow(_shard_sums(name, header, unit), "key long, score double")
+        sums.append(saved(found.groupBy("key").agg(F.sum("score").alias("score"))))
+    C.drop_table(extra)
+    score = sums[0]
+    for more in sums[1:]:
+        score = score.union(more)
+    # rows that are the same in id and text have one sum together
+    score = score.groupBy("key").agg(F.sum("score").alias("together"))
+    times = first.groupBy("key").agg(F.count("*").alias("times"))
     rare = first.where("size(rare) > 0").select("id", "text_key", "rare").dropDuplicates(["id", "text_key"])
     looked = rare.select("id", "text_key", F.explode("rare").alias("w")).join(table, "w")
     more = looked.groupBy("id", "text_key").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("gain"))
-    out = first.join(more, ["id", "text_key"], "left")
-    gain = F.coalesce("gain", F.lit(0.0))
+    out = first.join(more, ["id", "text_key"], "left").join(score.join(times, "key"), "key", "left")
     return out.select(
         F.nullif("id", F.lit(-(1 << 63)).cast("long")).alias("doc_id"),
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + gain).alias("base_score"),
-        (F.col("score") + gain).alias("score"),
+        (F.col("base_score") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
+        (F.col("together") / F.col("times")).alias("score"),
     )
 
 

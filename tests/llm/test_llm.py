@@ -273,6 +273,43 @@ def test_lm_base_scores_and_held_out_gain(spark):
     assert lm.scored(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("shard,dictionary,chunk", [(1 << 20, 1 << 20, 1 << 21), (200, 40, 300)])
+def test_lm_keeps_every_word_pair_and_triple(spark, monkeypatch, shard, dictionary, chunk):
+    for name, value in (("SHARD", shard), ("DICTIONARY", dictionary), ("CHUNK", chunk)):
+        monkeypatch.setattr(lm, name, value)
+    draw = np.random.default_rng(4)
+    docs = [(i, " ".join(f"w{int(x)}" for x in draw.zipf(1.3, 40) % 300)) for i in range(60)]
+    docs += [(60, docs[0][1]), (60, docs[0][1]), (61, None), (None, "W1 w2 w9999"), *[(i, f"only{i} w1 w1 w1 w1") for i in range(70, 76)]]
+    tokens = [["<s>", *words((t or "").translate(LOWER)), "</s>"] for _, t in docs]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs]
+    assert any(held)
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    for seq, out in zip(tokens, held, strict=True):
+        if not out:
+            one.update(seq[1:])
+            two.update(itertools.pairwise(seq))
+            three.update(zip(seq, seq[1:], seq[2:], strict=False))
+    follow = collections.defaultdict(list)
+    for counts in (two, three):
+        for key, c in counts.items():
+            follow[key[:-1]].append(c)
+
+    def probability(context, w):
+        if not context:
+            return (one[w] + 1) / (sum(one.values()) + len(one) + 1)
+        lower, after = probability(context[1:], w), follow.get(context, [])
+        c = (two if len(context) == 1 else three)[(*context, w)]
+        return (max(c - 0.75, 0) + 0.75 * len(after) * lower) / sum(after) if after else lower
+
+    want = {}
+    for (i, _), seq in zip(docs, tokens, strict=True):
+        want[i] = sum(math.log10(probability(tuple(seq[max(0, k - 2) : k]), seq[k])) for k in range(1, len(seq)))
+    rows = lm.scored(frame(spark, docs)).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert r.score == pytest.approx(want[r.doc_id], rel=1e-9)
+
+
 def test_elias_fano_finds_and_accesses():
     draw = np.random.default_rng(1)
     for top in (10, 5000, 10**9, 10**13):
