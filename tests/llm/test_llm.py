@@ -339,6 +339,30 @@ def test_toxicity_learns_and_scores_edges(spark):
     assert toxicity.toxicity(frame(spark, EDGES), marks.where("false")).count() == len(EDGES)
 
 
+def test_toxicity_counts_and_trains_on_every_labelled_row(spark, monkeypatch):
+    # more rows of a class than the 4,000 that were once drawn; one of them alone holds a word
+    rows = [(i, f"w{i % 50} " + ("scum" if i % 2 else "nice") + (f" single{i}" if i % 400 == 7 else "")) for i in range(9000)]
+    marks = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    seen = {}
+    plain = toxicity.beginning
+
+    def noted(good, bad, kinds, n_good, n_bad, seed=5):
+        seen.setdefault("sizes", []).append((n_good, n_bad))
+        seen.setdefault("bad", []).append(bad)
+        return plain(good, bad, kinds, n_good, n_bad, seed)
+
+    monkeypatch.setattr(toxicity, "beginning", noted)
+    model, cuts = toxicity.fit(frame(spark, rows), marks)
+    taken = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 != 0]
+    assert seen["sizes"][0] == (sum(i % 2 == 0 for i in taken), sum(i % 2 for i in taken))
+    data = np.frombuffer(b"scum", np.uint8)
+    assert seen["bad"][0][toxicity.padded_tokens(np.array([0, 4]), data)[0][0, 0]] == sum(i % 2 for i in taken)
+    for i in (j for j in taken if j % 400 == 7):
+        word = np.frombuffer(f"single{i}".encode(), np.uint8)
+        assert seen["bad"][0][toxicity.padded_tokens(np.array([0, len(word)]), word)[0][0, 0]] >= 1
+    assert set(cuts) == {None, "en"} and model.constant is None
+
+
 def test_templates():
     text, spans = chat.rendered(chat.TEMPLATE, [("user", "</s>[INST] ok"), ("assistant", "a\\.b <s>")])
     assert chat.turns_of(text) == [("user", "</s>[INST] ok"), ("assistant", "a\\.b <s>")]
