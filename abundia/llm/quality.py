@@ -45,6 +45,11 @@ def _hashes(text: Column) -> Column:
     return F.transform(_words(text), lambda w: F.xxhash64(w))
 
 
+def _joined(hashes: Column, gap: int) -> Column:
+    """Each hash with the one ``gap`` places on; the last ones have none and stand for themselves."""
+    return F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + gap)))
+
+
 def _features(hashes: Column) -> Column:
     """Buckets of all words and of all pairs of neighbours; the first word also pairs with the text's start."""
     bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
@@ -85,10 +90,14 @@ def counted(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, word hashes and the counts of the base rules, a row for each row of ``docs``."""
     text = F.col("text")
     step = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    step = step.withColumn("hashes", _hashes(text)).withColumn("n_words", F.size("hashes").cast("long"))
-    starts = F.when(F.col("n_words") >= WINDOW, F.sequence(F.lit(1), F.col("n_words").cast("int") - (WINDOW - 1)))
-    step = step.withColumn("starts", F.coalesce(starts, F.array().cast("array<int>")))
-    step = step.withColumn("windows", F.transform("starts", lambda i: F.xxhash64(F.slice("hashes", i, WINDOW))))
+    step = step.withColumn("words", _words(text)).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    step = step.withColumn("n_words", F.size("hashes").cast("long"))
+    # a window is four words and the four behind them; without equal fours there are no equal windows
+    step = step.withColumn("twos", _joined(F.col("hashes"), 1))
+    step = step.withColumn("fours", _joined(F.col("twos"), 2))
+    equal = (F.col("n_words") >= WINDOW) & (F.size(F.array_distinct("fours")) < F.size("fours"))
+    starts = F.greatest(F.col("n_words").cast("int") - (WINDOW - 1), F.lit(0))
+    step = step.withColumn("windows", F.when(equal, F.slice(_joined(F.col("fours"), WINDOW // 2), F.lit(1), starts)))
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
     placed = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     step = step.withColumn("placed", F.when(repeats, placed))
@@ -105,8 +114,8 @@ def counted(docs: DataFrame) -> DataFrame:
         F.xxhash64(text).alias("text_key"),
         "hashes",
         "n_words",
-        F.char_length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.octet_length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated.cast("long").alias("n_repeat_words"),
     )

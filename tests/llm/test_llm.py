@@ -197,6 +197,26 @@ def test_quality_base_counts_and_verdict(spark):
     assert quality.quality_rules(frame(spark, []), labels.where("false")).count() == 0
 
 
+def test_quality_counts_of_repeats_at_the_edges(spark):
+    eight, ten = [f"e{i}" for i in range(8)], [f"t{i}" for i in range(10)]
+    texts = [
+        eight, eight[:7], [*eight, *eight], [*eight, "x", *eight[:7]], [*ten[:5], "x", *ten[:5], "y", *ten[:5]], [*ten, *ten[1:], "#*$ %&|<>"],
+        ["a"] * 8, ["a"] * 9, [*eight, *ten, *eight, *ten[:4]], ["ünï", "\U0001f600|", "a#b"], [],
+    ]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs += [(50, "a\x0bb\x0c#\r c"), (51, "$\u00a0% \u2003x")]
+    found = quality.counted(frame(spark, docs))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and "sequence(" not in plan  # a pass over every character, and a copy of every window
+    got = {r.doc_id: r for r in found.collect()}
+    for i, text in docs:
+        w = words(text)
+        windows = collections.Counter(tuple(w[s : s + 8]) for s in range(len(w) - 7))
+        twice = {p for s in range(len(w) - 7) if windows[tuple(w[s : s + 8])] > 1 for p in range(s, s + 8)}
+        assert (got[i].n_words, got[i].word_chars, got[i].n_repeat_words) == (len(w), sum(map(len, w)), len(twice))
+        assert got[i].n_symbols == sum(text.count(c) for c in "#*$%&|<>")
+
+
 def test_budgets_share_shortage_with_siblings_first():
     tokens = {("a", "x"): 10, ("a", "y"): 1000, ("b", "x"): 1000, ("b", "y"): 1000}
     assert mixing.budgets(tokens, 200, {}, 1) == {("a", "x"): 10, ("a", "y"): 90, ("b", "x"): 50, ("b", "y"): 50}
