@@ -20,14 +20,16 @@ Stages, each a Spark job over whole tables:
 4. Shingles are ordered by document frequency, then by fingerprint; the cost of an l
    is estimated from the frequencies, and prefixes become postings.
 5. Links. A group of n near copies would give n * n / 2 pairs, so postings first
-   meet one seeded pivot each; verified links merge groups, and only shingles that
-   still lie in several groups go on. When a round links little, stages 3
+   meet one pivot each, by turns the most central set (the text that the others are
+   copies of, if it is there) and a seeded one; verified links merge groups, and only
+   shingles that still lie in several groups go on. When a round links little, stages 3
    and 4 are done once more with groups in place of documents. Then, or when few pairs
    are left, all remaining pairs of different groups of like size with enough shared
    shingles are verified, so no link between groups is missed. A pair is not verified
    when its shared prefix shingles rule the level out: of two prefixes one ends first
    in the common order, and all shared shingles that are not in both lie behind that
-   end. Nor is it when one side has too few shingles that any other document holds.
+   end. Nor is it when one side has too few shingles that any other document holds, or
+   when 256 parity bits of the two sets differ in more places than linked sets can.
 6. Groups are labelled with their smallest doc_id.
 
 Set sizes, intersections and similarities are exact on 64-bit shingle fingerprints.
@@ -66,6 +68,8 @@ VERIFY = 50.0
 WORTH = 20
 #: Remaining pairs that are met at once, as a multiple of the postings.
 SPARE = 4
+#: 64-bit words of a set's parity bits.
+PARITY = 4
 
 
 def shingle_sets(batch: pa.RecordBatch, column: int, width: int) -> Iterator[np.ndarray]:
@@ -150,6 +154,15 @@ def choose_prefix(found: np.ndarray, counts: np.ndarray, level: int, alone: int
     return best + 1, found[order[: lengths[best] - alone]]
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """Of each of 64 * ``PARITY`` bits, whether an odd number of the fingerprints falls on it.
+
+    Two sets differ in at least as many members as their bits do.
+    """
+    bits = np.bincount((found % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _candidates(base: DataFrame) -> DataFrame:
     """doc_id of the classes whose first prefix has enough shingles in another one's."""
     tokens = base.select("doc_id", "n", "one", "need", F.explode("prefix").alias("token"))
@@ -206,8 +219,16 @@ def _between(held: DataFrame, roots: DataFrame, level: int) -> DataFrame:
     return out
 
 
+def _odds() -> list[str]:
+    return [f"odd{k}" for k in range(PARITY)]
+
+
 def _postings(held: DataFrame, level: int) -> DataFrame:
-    """token, doc, n, l, shingles behind the prefix, shingles that others hold: one row for each of a prefix."""
+    """token, doc, n, l, shingles behind the prefix, shingles that others hold, how central the set is, its parity bits: one row for each of a prefix.
+
+    A set is the more central the more other documents hold its shingles (mean of log2 of the frequencies, in thousandths).
+    """
+    odds = _odds()
 
     def run(batches):
         for batch in batches:
@@ -215,7 +236,7 @@ def _postings(held: DataFrame, level: int) -> DataFrame:
             tokens, counts = batch.column("token"), batch.column("c")
             ends = tokens.offsets.to_numpy()
             every, weight = tokens.values.to_numpy().view(np.uint64), counts.values.to_numpy()
-            least, rest, parts = [], [], []
+            least, rest, mid, parts, odd = [], [], [], [], []
             for i in range(batch.num_rows):
                 mine = slice(ends[i], ends[i + 1])
                 size = int(ends[i + 1] - ends[i])
@@ -223,8 +244,11 @@ def _postings(held: DataFrame, level: int) -> DataFrame:
                 least.append(l)
                 rest.append(size - len(part))
                 most.append(size)
+                mid.append(int(1000 * np.log2(weight[mine]).sum() / n[i]))
                 parts.append(part)
+                odd.append(parity(every[mine]))
             flat = C.longs(np.concatenate(parts)) if parts else pa.array([], pa.int64())
+            bits = np.array(odd, np.int64).reshape(-1, PARITY)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc"),
@@ -232,14 +256,16 @@ def _postings(held: DataFrame, level: int) -> DataFrame:
                     pa.array(least, pa.int32()),
                     pa.array(rest, pa.int64()),
                     pa.array(most, pa.int64()),
+                    pa.array(mid, pa.int64()),
+                    *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(PARITY)],
                     C.lists_of(flat, [len(p) for p in parts]),
                 ],
-                ["doc", "n", "l", "rest", "most", "prefix"],
+                ["doc", "n", "l", "rest", "most", "mid", *odds, "prefix"],
             )
 
     rows = held.select("doc", "n", F.col("held.token").alias("token"), F.col("held.c").alias("c"))
-    out = rows.mapInArrow(run, "doc long, n long, l int, rest long, most long, prefix array<long>")
-    return out.select(F.explode("prefix").alias("token"), "doc", "n", "l", "rest", "most")
+    out = rows.mapInArrow(run, f"doc long, n long, l int, rest long, most long, mid long, {' long, '.join(odds)} long, prefix array<long>")
+    return out.select(F.explode("prefix").alias("token"), "doc", "n", "l", "rest", "most", "mid", *odds)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, level: int) -> DataFrame:
@@ -263,26 +289,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, level: int) -> DataFrame:
 
 
 def _links(lists: DataFrame, sets: DataFrame, level: int, roots: DataFrame, last: bool = False) -> tuple[DataFrame, bool]:
-    """(node, root) with the links of ``lists`` (token, doc, n, l, rest, most), and whether none is left between groups."""
+    """(node, root) with the links of ``lists`` (see ``_postings``), and whether none is left between groups; ``lists`` is deleted."""
     turn = 0
     fits = f"100 * least(n, bn) >= {level} * greatest(n, bn) AND {100 + level} * least(most, bmost) >= {level} * (n + bn)"
+    # what no other document holds is in one of the two only, and so is a member for each bit of unlike parity
+    unlike = " + ".join(["n - most + bn - bmost", *[f"bit_count({o} ^ b{o})" for o in _odds()]])
+    fits += f" AND {100 + level} * ({unlike}) <= {100 - level} * (n + bn)"
     enough = f"shared >= least AND {100 + level} * (shared + behind) >= {level} * sizes"
     docs, found = roots.count(), 0
     while True:
         now = lists.join(roots.withColumnRenamed("node", "doc"), "doc")
         spread = now.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
         lists_left = saved(now.join(spread, "token"))
+        C.drop_table(lists)
+        lists = lists_left.drop("root")  # a shingle of one group stays in one group
         per_group = lists_left.groupBy("token", "root").agg(F.count("*").alias("k"))
         cross = per_group.groupBy("token").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("p"))
         rows, pairs_left = lists_left.count(), cross.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]
         if rows == 0:
             C.drop_table(lists_left)
             return roots, True
-        last = last or pairs_left <= SPARE * rows
-        if not last and turn > 0 and found * WORTH < docs:
+        last = last or turn > 0 and pairs_left <= SPARE * rows
+        if not last and turn > 1 and found * WORTH < docs:
             C.drop_table(lists_left)
             return roots, False
-        columns = ("n", "l", "rest", "most", "root")
+        columns = ("n", "l", "rest", "most", *_odds(), "root")
         theirs = [F.col(c).alias(f"b{c}") for c in columns]
         if last:  # linked sets are of the same or of neighbouring size classes
             kind = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / level + 1e-9))) if level < 100 else F.col("n")
@@ -290,7 +321,9 @@ def _links(lists: DataFrame, sets: DataFrame, level: int, roots: DataFrame, last
             near = F.explode(F.array(*[kind + i for i in (-1, 0, 1)])).alias("size")
             met = lists_left.select("token", "doc", *columns, near).join(other, ["token", "size"]).where(f"doc < b AND root <> broot AND {fits}")
         else:
-            drawn = F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), F.col("doc").alias("b"), *theirs)
+            # of near copies of one text that is there too, that text is the most central one
+            rank = -F.col("mid") if turn % 2 == 0 else F.lit(0).cast("long")
+            drawn = F.struct(rank.alias("near"), F.xxhash64("doc", F.lit(turn)).alias("h"), F.col("doc").alias("b"), *theirs)
             pivot = lists_left.groupBy("token").agg(F.min(drawn).alias("p")).select("token", "p.*")
             met = lists_left.join(pivot, "token").where(f"root <> broot AND {fits}")
         met = met.groupBy(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).agg(
@@ -314,8 +347,8 @@ def _links(lists: DataFrame, sets: DataFrame, level: int, roots: DataFrame, last
             C.drop_table(moved)
             C.drop_table(before)
         C.drop_table(edges)
-        C.drop_table(lists_left)
         if last:
+            C.drop_table(lists_left)
             return roots, True
         turn += 1
 
@@ -333,13 +366,11 @@ def components(docs: DataFrame, width: int = SHINGLE, level: int = LEVEL) -> Dat
     lists = saved(_postings(held, level))
     start = saved(held.select(F.col("doc").alias("node")).distinct().select("node", F.col("node").alias("root")))
     roots, done = _links(lists, sets, level, start)
-    C.drop_table(lists)
     if not done:  # pivots link little: only shingles that stand in several groups count from here on
         held, before = _between(held, roots, level), held
         C.drop_table(before)
         lists = saved(_postings(held, level))
         roots, _ = _links(lists, sets, level, roots, last=True)
-        C.drop_table(lists)
     C.drop_table(held)
     C.drop_table(sets)
     # every row's class, every class's group, every group's smallest id
