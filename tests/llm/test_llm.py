@@ -480,6 +480,23 @@ def test_stages_leave_columns_with_their_own_names_alone(spark, step):
         assert all(r[name] == f"{name}-{'none' if r.doc_id is None else r.doc_id}" for name in CLASHING)
 
 
+def test_toxicity_leaves_no_shuffle_files_of_its_passes(spark, monkeypatch):
+    """What a pass sends is gone when the next one starts, and the labels meet the texts alike at every size."""
+    rows = [(i, ("bad worse " if i % 2 else "good better ") + f"w{i}") for i in range(1, 60)]
+    marks = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    written, plain = [], toxicity.saved
+
+    def noted(df):
+        written.append(df._jdf.queryExecution().toString())
+        return plain(df)
+
+    monkeypatch.setattr(toxicity, "saved", noted)
+    toxicity.train(toxicity.training_rows(frame(spark, rows), marks), epochs=2)
+    assert len(written) == 4  # the rows, the counts and two passes
+    assert "SortMergeJoin" in written[0] and "BroadcastHashJoin" not in written[0]
+    assert all("REPARTITION_BY_COL" in plan for plan in written[1:])
+
+
 def test_pipeline_leaves_only_what_is_still_read(spark, monkeypatch):
     """Scratch tables of a stage, and the documents of the stage before, are gone when its own are written."""
     import corpus_pipeline
