@@ -72,7 +72,8 @@ def site_weights(cells: DataFrame, covariates: DataFrame, names: Sequence[str])
     """(site, r, x...) with covariates centred by site weight, the table total, and the constant covariates.
 
     Sites without abundance or without covariates must have been dropped
-    before; see ``align_sites``.
+    before; see ``align_sites``. A covariate without any value, such as the
+    z-score of a constant one, counts as constant.
     """
     sums = saved(cells.groupBy("site").agg(F.sum("abundance").alias("_sum")).join(covariates.select("site", *names), "site"))
     row = sums.agg(
@@ -81,8 +82,9 @@ def site_weights(cells: DataFrame, covariates: DataFrame, names: Sequence[str])
         *[(F.min(n) == F.max(n)).alias(f"flat{i}") for i, n in enumerate(names)],
     ).first()
     total = float(row["total"])
-    centred = [(F.col(n) - row[f"m{i}"] / total).alias(f"x{i}") for i, n in enumerate(names)]
-    constant = [n for i, n in enumerate(names) if row[f"flat{i}"]]
+    empty = [row[f"m{i}"] is None for i in range(len(names))]
+    centred = [(F.lit(0.0) if empty[i] else F.col(n) - row[f"m{i}"] / total).alias(f"x{i}") for i, n in enumerate(names)]
+    constant = [n for i, n in enumerate(names) if empty[i] or row[f"flat{i}"]]
     return sums.select("site", (F.col("_sum") / total).alias("r"), *centred), total, constant
 
 

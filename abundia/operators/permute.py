@@ -132,14 +132,18 @@ def moments(
     seed: int = 1,
     max_kernel_sites: int = MAX_KERNEL_SITES,
 ) -> Moments:
-    """Summarise the observed table and ``n`` permutations of its covariates."""
+    """Summarise the observed table and ``n`` permutations of its covariates.
+
+    A covariate without any value, such as the z-score of a constant one, counts as constant.
+    """
     names = list(names)
     cells = saved(cells.where("abundance <> 0").join(covariates.select("site"), "site", "left_semi").select("site", "entity", "abundance"))
     covariates = saved(covariates.select("site", *names).join(cells.select("site").distinct(), "site", "left_semi"))
     total = cells.agg(F.sum("abundance")).first()[0]
-    flat = [(F.min(n) == F.max(n)).alias(f"f{i}") for i, n in enumerate(names)]
-    row = covariates.agg(F.count("*").alias("n_sites"), *flat).first()
+    flat = [((F.count(n) == 0) | (F.min(n) == F.max(n))).alias(f"f{i}") for i, n in enumerate(names)]
+    row = covariates.agg(F.count("*").alias("n_sites"), *[F.count(n).alias(f"c{i}") for i, n in enumerate(names)], *flat).first()
     n_sites, constant = row["n_sites"], [n for i, n in enumerate(names) if row[f"f{i}"]]
+    covariates = covariates.withColumns({n: F.lit(0.0) for i, n in enumerate(names) if not row[f"c{i}"]})
     if n_sites <= max_kernel_sites:
         sites = bounded_values(covariates, "site", max_kernel_sites)
         table = _kernel_moments(cells, covariates, names, sites, total, n, seed)

@@ -243,3 +243,16 @@ def test_nearly_equal_and_only_constant_constraints(spark):
     assert Z.eigenvalues(empty, spark).count() == 0 and Z.inertia_summary(empty, spark).first().explained == 0.0
     assert P.model_test(P.moments(cells, close, ["flat"], 9, 1)).count() == 0
     assert [r.vif for r in Z.vif(cells, close, ["flat"]).collect()] == [None]
+
+
+def test_a_constant_covariate_takes_no_part_after_scaling(spark):
+    x, y = data()
+    cells, covariates = frames(spark, x, y)
+    scaled = D.zscore_wide(covariates.withColumn("w", F.lit(1.0)), NAMES)
+    model, plain = Z.fit(cells, scaled, NAMES), Z.fit(cells, covariates, ["u", "v"])
+    assert model.names == ["u", "v"] and model.choice.dropped == {"w": {}}
+    assert model.inertia == pytest.approx(plain.inertia) and model.constrained == pytest.approx(plain.constrained)
+    for most in (1024, 1):
+        both = [P.moments(cells, t, n, 19, 7, most) for t, n in ((scaled, NAMES), (covariates, ["u", "v"]))]
+        mine, theirs = ([(r.term, round(r.f, 9), r.reached) for r in P.model_test(m).unionByName(P.margin_test(m)).collect()] for m in both)
+        assert mine == theirs
