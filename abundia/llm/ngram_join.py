@@ -165,16 +165,18 @@ def parity(found: np.ndarray) -> np.ndarray:
 
 def _candidates(base: DataFrame) -> DataFrame:
     """doc_id of the classes whose first prefix has enough shingles in another one's."""
-    tokens = base.select("doc_id", "n", "one", "need", F.explode("prefix").alias("token"))
+    # all texts of a doc_id count together here, by the least of their needs: this only adds candidates
+    tokens = base.select("doc_id", F.explode("prefix").alias("token"))
     common = saved(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"))
-    met = tokens.join(common, "token").groupBy("doc_id", "n", "one", "need").agg(F.count("*").alias("met"))
-    out = saved(met.where("met >= need").select("doc_id").distinct())
+    met = tokens.join(common, "token").groupBy("doc_id").agg(F.count("*").alias("met"))
+    least = base.groupBy("doc_id").agg(F.min("need").alias("need"))
+    out = saved(met.join(least, "doc_id").where("met >= need").select("doc_id"))
     C.drop_table(common)
     return out
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, the sum that tells texts of one doc_id apart, and the whole sorted set."""
+    """doc_id, n, the sum of the set, and the whole sorted set."""
 
     def run(batches):
         for batch in batches:
@@ -191,15 +193,17 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 def _frequencies(sets: DataFrame, level: int) -> DataFrame:
     """doc, n, one and ``held``: frequency and fingerprint of every shingle that another document holds too."""
-    tokens = sets.select(F.col("doc_id").alias("doc"), "n", "one", F.explode("items").alias("token"))
+    # the sum tells texts of one doc_id apart; where there is one text it stays 0, which takes no room in the shuffles
+    several = saved(sets.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("several")))
+    one = F.when(F.col("several"), F.col("one")).otherwise(F.lit(0).cast("long")).alias("one")
+    tokens = sets.join(several, "doc_id", "left").select(F.col("doc_id").alias("doc"), "n", one, F.explode("items").alias("token"))
     before, held = sets.count(), None
     while True:
         common = saved(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
         found = tokens.join(common, "token").groupBy("doc", "n", "one").agg(F.collect_set(F.struct("c", "token")).alias("held"))
         now = saved(found.where(f"100 * size(held) >= {level} * n"))
         C.drop_table(common)
-        if held is not None:
-            C.drop_table(held)
+        C.drop_table(held if held is not None else several)
         held, after = now, now.count()
         if (before - after) * PRUNE <= before:
             return held
@@ -355,11 +359,14 @@ def _links(lists: DataFrame, sets: DataFrame, level: int, roots: DataFrame, last
 
 def components(docs: DataFrame, width: int = SHINGLE, level: int = LEVEL) -> DataFrame:
     """doc_id, n_shingles and component_id for every row."""
-    marks = saved(_first(docs, width, level))
-    known = marks.where("doc_id IS NOT NULL AND n > 0")
+    wide = saved(_first(docs, width, level))
+    marks = saved(wide.select("doc_id", "n", "one", "two"))  # the prefixes go when the candidates are known
+    has_set = "doc_id IS NOT NULL AND n > 0"
+    known = marks.where(has_set)
     classes = saved(known.groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep")))
-    first = known.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "one", "two"], "left_semi")
+    first = wide.where(has_set).join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "one", "two"], "left_semi")
     live = _candidates(first)
+    C.drop_table(wide)
     sets = saved(_sets(_ids(docs).join(live, "doc_id", "left_semi"), width).where("n > 0"))
     C.drop_table(live)
     held = _frequencies(sets, level)

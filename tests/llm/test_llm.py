@@ -6,6 +6,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import re
 import zlib
 
@@ -522,3 +523,29 @@ def test_pipeline_leaves_only_what_is_still_read(spark, monkeypatch):
     left = sum(any(there(f) for f in files) for files in written)
     assert left <= 3  # the mixed documents and packing's own tables
     assert there(f"file://{SF}/documents.parquet")
+
+
+def test_ngram_join_keeps_no_prefix_that_nothing_reads(spark, monkeypatch):
+    wide, seen = [], []
+    save, count = ngram_join.saved, ngram_join._frequencies
+
+    def saved(df):
+        out = save(df)
+        wide.extend(out.inputFiles() if "prefix" in out.columns else [])
+        return out
+
+    def frequencies(sets, level):
+        seen.append([f for f in wide if os.path.exists(f.removeprefix("file://"))])
+        return count(sets, level)
+
+    monkeypatch.setattr(ngram_join, "saved", saved)
+    monkeypatch.setattr(ngram_join, "_frequencies", frequencies)
+    assert ngram_join.components(frame(spark, EDGES)).count() == len(EDGES)
+    assert wide and seen == [[]]
+
+
+def test_ngram_join_with_several_texts_of_one_doc_id(spark):
+    # 1 and 5 are linked by one text of 1 each, 9 hangs on the other text of 1 by way of copies
+    texts = [" ".join(f"{p}{i}" for i in range(60)) for p in "abc"]
+    docs = [(1, texts[0]), (1, texts[1]), (5, texts[0] + " more"), (9, texts[1] + " more"), (9, texts[1] + " more"), (7, texts[2]), (7, texts[2] + " x")]
+    assert {r.doc_id: r.component_id for r in ngram_join.components(frame(spark, docs)).collect()} == {1: 1, 5: 1, 9: 1, 7: 7}
