@@ -176,7 +176,7 @@ def _candidates(base: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, the sum of the set, and the whole sorted set."""
+    """doc_id, n, the sum that tells texts of one doc_id apart, and the whole sorted set."""
 
     def run(batches):
         for batch in batches:
@@ -193,17 +193,15 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 def _frequencies(sets: DataFrame, level: int) -> DataFrame:
     """doc, n, one and ``held``: frequency and fingerprint of every shingle that another document holds too."""
-    # the sum tells texts of one doc_id apart; where there is one text it stays 0, which takes no room in the shuffles
-    several = saved(sets.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("several")))
-    one = F.when(F.col("several"), F.col("one")).otherwise(F.lit(0).cast("long")).alias("one")
-    tokens = sets.join(several, "doc_id", "left").select(F.col("doc_id").alias("doc"), "n", one, F.explode("items").alias("token"))
+    tokens = sets.select(F.col("doc_id").alias("doc"), "n", "one", F.explode("items").alias("token"))
     before, held = sets.count(), None
     while True:
         common = saved(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
         found = tokens.join(common, "token").groupBy("doc", "n", "one").agg(F.collect_set(F.struct("c", "token")).alias("held"))
         now = saved(found.where(f"100 * size(held) >= {level} * n"))
         C.drop_table(common)
-        C.drop_table(held if held is not None else several)
+        if held is not None:
+            C.drop_table(held)
         held, after = now, now.count()
         if (before - after) * PRUNE <= before:
             return held
