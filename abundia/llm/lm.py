@@ -9,7 +9,7 @@ The tries are split by the middle word of a triple, whose shard then holds all t
 triple needs: the pairs and the triples that share this word. Shards have about ``SHARD``
 tokens, so their number grows with the input and their size does not. A word in
 more tokens than half a shard is dealt on by the word before it; its pairs are counted by
-themselves and sent to each of its shards. In ``ROUNDS`` rounds every task sends the triples of its
+themselves, and the counts of those that stand in several of its shards are sent to these. In ``ROUNDS`` rounds every task sends the triples of its
 texts to the shards as packed blocks, so that no more than a part of them is on
 disk at once; a shard builds its trie, looks all of them up and returns a sum for each document.
 
@@ -111,6 +111,16 @@ class EliasFano:
         return np.where(hit, a, -1)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values, place of each value among them), by hashing; only the distinct ones are sorted."""
+    coded = pa.array(values.view(np.int64)).dictionary_encode()
+    kinds = coded.dictionary.to_numpy().view(values.dtype)
+    order = np.argsort(kinds)
+    place = np.empty(len(kinds), np.int32)
+    place[order] = np.arange(len(kinds), dtype=np.int32)
+    return kinds[order], place[coded.indices.to_numpy()]
+
+
 # -- the model -------------------------------------------------------------------------
 
 
@@ -152,23 +162,26 @@ def shard_scores(u: np.ndarray, v: np.ndarray, w: np.ndarray, times: np.ndarray,
     """(log10 P(w | u, v) of the distinct triples, place of each row among them).
 
     ``times`` is 1 for rows in training, else 0; ``none`` marks a ``u`` that is not there; ``p1`` has the probability of each
-    word; ``hot`` has the words whose pairs are counted outside, and these pairs (v, w, count).
+    word; ``hot`` has the words that other shards hold too, tokens and distinct words after each of them in all shards, and
+    those of their pairs that other shards hold too (v, w, count).
     """
-    contexts, at = np.unique(v * size + u, return_inverse=True)
-    keys, place = np.unique(at * size + w, return_inverse=True)
+    contexts, at = distinct(v * size + u)
+    keys, place = distinct(at.astype(np.int64) * size + w)
     three = np.bincount(place, weights=times, minlength=len(keys)).astype(np.int64)
     own, word = keys // size, keys % size
     middle, before = contexts[own] // size, contexts[own] % size
-    pairs, which = np.unique(middle * size + word, return_inverse=True)
+    pairs, which = distinct(middle * size + word)
     two = np.bincount(which, weights=three, minlength=len(pairs)).astype(np.int64)
-    outside, hot_v, hot_w, hot_c = hot
-    mine = (two > 0) & ~np.isin(pairs // size, outside)
-    all_pairs, all_two = np.concatenate([pairs[mine], hot_v * size + hot_w]), np.concatenate([two[mine], hot_c])
-    order = np.argsort(all_pairs)
-    seen = three > 0
-    trie = Trie(size, all_pairs[order], all_two[order], len(contexts), keys[seen], three[seen])
+    outside, after, kinds, hot_v, hot_w, hot_c = hot
+    two[np.searchsorted(pairs, hot_v * size + hot_w)] = hot_c  # every pair that comes stands in this shard too
+    mine, seen = two > 0, three > 0
+    trie = Trie(size, pairs[mine], two[mine], len(contexts), keys[seen], three[seen])
     parent, child = pairs // size, pairs % size
-    lower = mixed(trie.count(0, parent, child), *trie.context(0, parent), p1[child])[which]
+    total, followers = trie.context(0, parent)
+    if len(outside):
+        at = np.minimum(np.searchsorted(outside, parent), len(outside) - 1)
+        total, followers = (np.where(outside[at] == parent, a, b) for a, b in ((after[at], total), (kinds[at], followers)))
+    lower = mixed(trie.count(0, parent, child), total, followers, p1[child])[which]
     full = mixed(trie.count(1, own, word), *trie.context(1, own), lower)
     return np.log10(np.where(before == none, lower, full)), place
 
@@ -229,8 +242,7 @@ def _tokens(batch: pa.RecordBatch):
 
 def _numbered(tokens: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, u, v, w): distinct words, and the triple that ends at each token as places in them; START before the first, NONE before that."""
-    words, last = np.unique(np.concatenate([tokens, np.array([START, NONE], np.uint64)]), return_inverse=True)
-    last = last.astype(np.int32)
+    words, last = distinct(np.concatenate([tokens, np.array([START, NONE], np.uint64)]))
     start, none, last = last[-2], last[-1], last[:-2]
     new = np.ones(len(row), bool)
     new[1:] = row[1:] != row[:-1]
@@ -238,39 +250,23 @@ def _numbered(tokens: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return words, np.where(new, none, np.roll(middle, 1)), middle, last
 
 
-def _before(tokens: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """The token before each one, START before the first."""
-    out = np.roll(tokens, 1)
-    out[np.flatnonzero(np.diff(row, prepend=-1))] = START
-    return out
-
-
-def _counted(keys, names: list[str], chunk: int):
-    """A task function that counts the key columns ``keys(batch)`` yields, a chunk at a time."""
+def _counted(chunk: int):
+    """A task function that counts the tokens of its texts, a chunk at a time."""
 
     def flush(held):
-        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        order = np.lexsort(columns[::-1])
-        columns = [c[order] for c in columns]
-        new = np.zeros(len(order), bool)
-        new[0] = True
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        at = np.flatnonzero(new)
-        times = np.diff(np.concatenate([at, [len(order)]]))
-        return pa.RecordBatch.from_arrays([*[C.longs(c[at]) for c in columns], pa.array(times.astype(np.int64))], names)
+        words, place = distinct(np.concatenate(held))
+        return pa.RecordBatch.from_arrays([C.longs(words), pa.array(np.bincount(place, minlength=len(words)))], ["w", "c"])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for columns in keys(batch):
-                if len(columns[0]):
-                    held.append(columns)
-                    size += len(columns[0])
+            for _, _, tokens in _tokens(batch):
+                held.append(tokens)
+                size += len(tokens)
                 if size >= chunk:
                     yield flush(held)
                     held, size = [], 0
-        if held:
+        if size:
             yield flush(held)
 
     return run
@@ -320,6 +316,7 @@ class Shards:
         return sorted(out)
 
 
+RARE, PAIR, CONTEXT = range(3)
 BLOCK = "shard int, words binary, ids binary, docs binary, keys binary, times binary"
 
 
@@ -331,6 +328,27 @@ def _wide(data: bytes, below: int) -> np.ndarray:
     return np.frombuffer(data, np.uint16 if below <= 1 << 16 else np.uint32)
 
 
+def _chunks(flush, chunk: int):
+    """A task function that gives (tokens, row, key and training mark of the rows) of (key, held_out, text) rows to ``flush``, a chunk at a time."""
+
+    def run(batches):
+        parts, size, rows = [], 0, 0
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            times = (~batch.column(1).to_numpy(zero_copy_only=False)).astype(np.uint8)
+            for low, row, tokens in _tokens(batch):
+                n = int(row[-1]) + 1 if len(row) else 0
+                parts.append((tokens, row + rows, keys[low : low + n], times[low : low + n]))
+                size, rows = size + len(tokens), rows + n
+                if size >= chunk:
+                    yield from flush(parts)
+                    parts, size, rows = [], 0, 0
+        if size:
+            yield from flush(parts)
+
+    return run
+
+
 def _blocks(shards: Shards, turn: int, turns: int, chunk: int):
     """A task function: the triples of (key, held_out, text) rows, packed for each shard of a round."""
 
@@ -361,34 +379,42 @@ def _blocks(shards: Shards, turn: int, turns: int, chunk: int):
             out["times"].append(times[here].tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), *[pa.array(c, pa.binary()) for c in out.values()]], ["shard", *out])
 
-    def run(batches):
-        parts, size, rows = [], 0, 0
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            times = (~batch.column(1).to_numpy(zero_copy_only=False)).astype(np.uint8)
-            for low, row, tokens in _tokens(batch):
-                n = int(row[-1]) + 1 if len(row) else 0
-                parts.append((tokens, row + rows, keys[low : low + n], times[low : low + n]))
-                size, rows = size + len(tokens), rows + n
-                if size >= chunk:
-                    yield from flush(parts)
-                    parts, size, rows = [], 0, 0
-        if size:
-            yield from flush(parts)
+    return _chunks(flush, chunk)
 
-    return run
+
+def _hot_pairs(shards: Shards, chunk: int):
+    """A task function: (v, w, shard, c), how often each pair of a word in ``hot`` is in training, for each shard it goes to."""
+
+    def flush(parts) -> Iterator[pa.RecordBatch]:
+        tokens, doc, _, times = (np.concatenate(c) for c in zip(*parts, strict=True))
+        words, first, middle, last = _numbered(tokens, doc)
+        some = np.flatnonzero(np.isin(words, shards.hot)[middle])
+        if not len(some):
+            return
+        shard = shards.of(words, first[some], middle[some], last[some])
+        size, number = len(words), shards.number
+        keys, place = distinct((middle[some].astype(np.int64) * size + last[some]) * number + shard)
+        c = np.bincount(place, weights=times[doc[some]], minlength=len(keys)).astype(np.int64)
+        pair = keys // number
+        yield pa.RecordBatch.from_arrays([C.longs(words[pair // size]), C.longs(words[pair % size]), pa.array((keys % number).astype(np.int32)), pa.array(c)], ["v", "w", "shard", "c"])
+
+    return _chunks(flush, chunk)
 
 
 def _shard_sums(name: str, header: list, unit: float):
-    """A group function: (key, score) of the documents of a shard from its blocks and the counts that come with it."""
+    """A group function: (key, score, more, gain) of the documents of a shard from its blocks and the counts that come with it.
+
+    ``more`` tokens of a document are known words outside the dictionary, and ``gain`` is their part of the base score.
+    """
 
     def run(blocks: pa.Table, extra: pa.Table) -> pa.Table:
         dictionary = Dictionary(SparkFiles.get(name), header)
         given = {n: blocks[n].to_pylist() for n in ("words", "ids", "docs", "keys", "times")}
         lists = [np.frombuffer(x, np.uint64) for x in given["words"]]
         v, w, c = (extra[n].to_numpy() for n in ("v", "w", "c"))
-        v, w, hot = v.view(np.uint64), w.view(np.uint64), extra["hot"].to_numpy().astype(bool)
-        words = np.unique(np.concatenate([*lists, v[hot], w[hot], np.array([NONE], np.uint64)]))
+        kind = extra["kind"].to_numpy()
+        v, w, rare, pair, context = v.view(np.uint64), w.view(np.uint64), kind == RARE, kind == PAIR, kind == CONTEXT
+        words = np.unique(np.concatenate([*lists, v[context], np.array([NONE], np.uint64)]))
         number = lambda x: np.searchsorted(words, x)
         triples, docs, base = [], [], 0
         for mine, ids, doc, keys in zip(lists, given["ids"], given["docs"], given["keys"], strict=True):
@@ -397,35 +423,43 @@ def _shard_sums(name: str, header: list, unit: float):
             base += len(keys) // 8
         keys = np.frombuffer(b"".join(given["keys"]), np.int64)
         if not len(keys):
-            return pa.table({"key": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({"key": pa.array([], pa.int64()), **{n: pa.array([], pa.float64()) for n in ("score", "more", "gain")}})
         (middle, first, last), doc = np.concatenate(triples, axis=1), np.concatenate(docs)
         times = np.frombuffer(b"".join(given["times"]), np.uint8)[doc]
         counts = dictionary.look_up(words)[1].astype(np.float64)
-        counts[number(w[~hot])] = c[~hot]
-        pairs = (np.unique(number(v[hot])), number(v[hot]), number(w[hot]), c[hot])
-        gain, place = shard_scores(first, middle, last, times, len(words), int(number(np.uint64(NONE))), (counts + 1.0) / unit, pairs)
+        counts[number(w[rare])] = c[rare]
+        far = np.zeros(len(words), bool)
+        far[number(w[rare])] = True
+        order = np.argsort(v[context])
+        around = [x[context][order] for x in (v, c, w.view(np.int64))]
+        hot = (number(around[0]), *around[1:], number(v[pair]), number(w[pair]), c[pair])
+        score, place = shard_scores(first, middle, last, times, len(words), int(number(np.uint64(NONE))), (counts + 1.0) / unit, hot)
         each, whose = np.unique(keys, return_inverse=True)
-        return pa.table({"key": pa.array(each), "score": pa.array(np.bincount(whose[doc], weights=gain[place], minlength=len(each)))})
+        owner, some = whose[doc], np.flatnonzero(far[last])
+        sums = {"score": (owner, score[place]), "more": (owner[some], None), "gain": (owner[some], np.log10(counts[last[some]] + 1.0))}
+        return pa.table({"key": pa.array(each), **{n: pa.array(np.bincount(o, x, len(each)).astype(np.float64)) for n, (o, x) in sums.items()}})
 
     return run
 
 
 def _extra(rows: DataFrame, rare: DataFrame, table: DataFrame, shards: Shards, chunk: int) -> DataFrame:
-    """(shard, hot, v, w, c): the pairs of frequent words for each of their shards, and counts of the ``rare`` words (shard, w) of a shard."""
-
-    def pairs_of(batch):
-        for _, row, tokens in _tokens(batch):
-            v = _before(tokens, row)
-            good = shards.hot[np.minimum(np.searchsorted(shards.hot, v), len(shards.hot) - 1)] == v
-            yield v[good], tokens[good]
+    """(shard, kind, v, w, c): what a shard cannot count by itself.
 
-    out = rare.distinct().join(table, "w").select("shard", F.lit(0).alias("hot"), F.lit(0).cast("long").alias("v"), "w", "c")
-    if len(shards.hot):
-        homes = rows.sparkSession.createDataFrame(shards.homes(), "v long, shard int")
-        counted = rows.where("NOT held_out").select("text").mapInArrow(_counted(pairs_of, ["v", "w", "c"], chunk), "v long, w long, c long")
-        counted = counted.groupBy("v", "w").agg(F.sum("c").alias("c"))
-        out = out.union(counted.join(F.broadcast(homes), "v").select("shard", F.lit(1), "v", "w", "c"))
-    return saved(out)
+    RARE: counts of the ``rare`` words (shard, w) of a shard. PAIR: count of a pair of a word in ``hot``, for those of its shards that
+    hold the pair, if they are several. CONTEXT: a word in ``hot``, for each of its shards, with the distinct words (as ``w``) and tokens that follow it.
+    """
+    none = F.lit(0).cast("long")
+    out = rare.distinct().join(table, "w").select("shard", F.lit(RARE).alias("kind"), none.alias("v"), "w", "c")
+    if not len(shards.hot):
+        return saved(out)
+    homes = F.broadcast(rows.sparkSession.createDataFrame(shards.homes(), "v long, shard int"))
+    found = rows.select("key", "held_out", "text").mapInArrow(_hot_pairs(shards, chunk), "v long, w long, shard int, c long")
+    pairs = saved(found.groupBy("v", "w").agg(F.sum("c").alias("c"), F.collect_set("shard").alias("shards")).where("c > 0"))
+    shared = pairs.where("size(shards) > 1").select(F.explode("shards").alias("shard"), F.lit(PAIR), "v", "w", "c")
+    around = pairs.groupBy("v").agg(F.count("*").alias("w"), F.sum("c").alias("c")).join(homes, "v").select("shard", F.lit(CONTEXT), "v", "w", "c")
+    out = saved(out.union(shared).union(around))
+    C.drop_table(pairs)
+    return out
 
 
 def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
@@ -433,12 +467,7 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     spark = docs.sparkSession
     size, chunk, turns = SHARD, CHUNK, ROUNDS
     rows = _rows(docs, folds, held)
-
-    def words_of(batch):
-        for _, _, tokens in _tokens(batch):
-            yield (tokens,)
-
-    single = rows.where("NOT held_out").select("text").mapInArrow(_counted(words_of, ["w", "c"], chunk), "w long, c long")
+    single = rows.where("NOT held_out").select("text").mapInArrow(_counted(chunk), "w long, c long")
     table = saved(single.groupBy("w").agg(F.sum("c").alias("c")))
     total, distinct = (int(x) for x in table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first())
     known = table.where(F.col("c") >= least_count(table, DICTIONARY)).toArrow()
@@ -463,15 +492,15 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         for batch in batches:
             n_all, known_all, base_all, rare_all, shard_all = [], [], [], [], []
             for _, row, tokens in _tokens(batch):
-                found, count = dictionary.look_up(tokens)
-                base = np.log10(count + 1.0) - np.log10(unit)
+                mine, u, v, w = _numbered(tokens, row)
+                found, count = dictionary.look_up(mine)
+                found, base = found[w], (np.log10(count + 1.0) - np.log10(unit))[w]
                 n = int(row[-1]) + 1 if len(row) else 0
                 n_all.append(np.bincount(row, minlength=n))
                 known_all.append(np.bincount(row, weights=found, minlength=n).astype(np.int64))
                 base_all.append(np.bincount(row, weights=base, minlength=n))
                 far = np.flatnonzero(~found)
                 rare_all += _split(tokens[far], row[far], n)
-                mine, u, v, w = _numbered(tokens, row)
                 shard_all += _split(shards.of(mine, u[far], v[far], w[far]), row[far], n)
             if n_all:
                 sizes = [len(r) for r in rare_all]
@@ -493,27 +522,24 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     for turn in range(turns):
         blocks = rows.select("key", "held_out", "text").mapInArrow(_blocks(shards, turn, turns, chunk), BLOCK)
         theirs = extra.where(F.col("shard") % turns == turn)
-        found = blocks.groupBy("shard").cogroup(theirs.groupBy("shard")).applyInArrow(_shard_sums(name, header, unit), "key long, score double")
-        sums.append(saved(found.groupBy("key").agg(F.sum("score").alias("score"))))
+        found = blocks.groupBy("shard").cogroup(theirs.groupBy("shard")).applyInArrow(_shard_sums(name, header, unit), "key long, score double, more double, gain double")
+        sums.append(saved(found.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("score", "more", "gain")])))
     C.drop_table(extra)
     score = sums[0]
     for more in sums[1:]:
         score = score.union(more)
     # rows that are the same in id and text have one sum together
-    score = score.groupBy("key").agg(F.sum("score").alias("together"))
     times = first.groupBy("key").agg(F.count("*").alias("times"))
-    rare = first.where("size(rare) > 0").select("id", "text_key", "rare").dropDuplicates(["id", "text_key"])
-    looked = rare.select("id", "text_key", F.explode("rare").alias("w")).join(table, "w")
-    more = looked.groupBy("id", "text_key").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("gain"))
-    out = first.join(more, ["id", "text_key"], "left").join(score.join(times, "key"), "key", "left")
+    score = score.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("score", "more", "gain")]).join(times, "key")
+    out = first.join(score.select("key", *[(F.col(c) / F.col("times")).alias(c) for c in ("score", "more", "gain")]), "key", "left")
     return out.select(
         F.nullif("id", F.lit(-(1 << 63)).cast("long")).alias("doc_id"),
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        (F.col("n_known") + F.coalesce("more", F.lit(0.0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
-        (F.col("together") / F.col("times")).alias("score"),
+        "score",
     )
 
 

@@ -364,6 +364,25 @@ def test_lm_keeps_every_word_pair_and_triple(spark, monkeypatch, shard, dictiona
         assert r.score == pytest.approx(want[r.doc_id], rel=1e-9)
 
 
+def test_lm_sends_a_pair_to_the_shards_that_hold_it(spark, monkeypatch):
+    for name, value in (("SHARD", 200), ("DICTIONARY", 40), ("CHUNK", 300)):
+        monkeypatch.setattr(lm, name, value)
+    seen, plain = [], lm._extra
+
+    def noted(rows, rare, table, shards, chunk):
+        out = plain(rows, rare, table, shards, chunk)
+        seen.append((len(shards.homes()), out.where(f"kind = {lm.PAIR}").select("shard", "v", "w").collect()))
+        return out
+
+    monkeypatch.setattr(lm, "_extra", noted)
+    # the frequent word stands before one other word in all texts, and before a word of its own in each
+    lm.scored(frame(spark, [(i, f"hot common hot own{i} end{i} " * 3) for i in range(80)])).count()
+    (homes, sent), = seen
+    assert homes > 4 and len(sent) == len(set(sent))
+    places = collections.Counter((r.v, r.w) for r in sent)
+    assert 0 < len(places) < 80 and min(places.values()) > 1  # what one shard alone holds is counted there
+
+
 def test_elias_fano_finds_and_accesses():
     draw = np.random.default_rng(1)
     for top in (10, 5000, 10**9, 10**13):
