@@ -211,9 +211,15 @@ class Dictionary:
         """(whether each word is in the file, its count or 0)."""
         if not len(self.words):
             return np.zeros(len(words), bool), np.zeros(len(words), np.int64)
+        at = self.places(words)
+        return at >= 0, np.where(at >= 0, self.counts[at], 0)
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Place of each word in the file, or -1."""
+        if not len(self.words):
+            return np.full(len(words), -1)
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        found = self.words[at] == words
-        return found, np.where(found, self.counts[at], 0)
+        return np.where(self.words[at] == words, at, -1)
 
 
 # -- counting and scoring in Spark ------------------------------------------------------
@@ -317,7 +323,7 @@ class Shards:
 
 
 RARE, PAIR, CONTEXT = range(3)
-BLOCK = "shard int, words binary, ids binary, docs binary, keys binary, times binary"
+BLOCK = "shard int, near binary, words binary, ids binary, docs binary, keys binary, times binary"
 
 
 def _narrow(numbers: np.ndarray, below: int) -> bytes:
@@ -349,8 +355,22 @@ def _chunks(flush, chunk: int):
     return run
 
 
-def _blocks(shards: Shards, turn: int, turns: int, chunk: int):
-    """A task function: the triples of (key, held_out, text) rows, packed for each shard of a round."""
+def _steps(places: np.ndarray) -> bytes:
+    """Ascending places as the steps between them, in 2 bytes each if they fit; the first byte tells."""
+    steps = np.diff(places, prepend=0)
+    kind = np.uint16 if not len(steps) or steps.max() < 1 << 16 else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + steps.astype(kind).tobytes()
+
+
+def _places(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint16 if data[0] == 2 else np.uint32, offset=1), dtype=np.int64)
+
+
+def _blocks(shards: Shards, turn: int, turns: int, chunk: int, name: str, header: list):
+    """A task function: the triples of (key, held_out, text) rows, packed for each shard of a round.
+
+    The words of a block are steps between places in the dictionary, and the fingerprints of those outside it.
+    """
 
     def flush(parts) -> Iterator[pa.RecordBatch]:
         tokens, doc, keys, times = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -361,7 +381,8 @@ def _blocks(shards: Shards, turn: int, turns: int, chunk: int):
             return
         mine = mine[np.argsort(shard[mine].astype(np.int64) * len(words) + middle[mine])]
         number, ends = np.unique(shard[mine], return_index=True)
-        out = {n: [] for n in ("words", "ids", "docs", "keys", "times")}
+        out = {n: [] for n in ("near", "words", "ids", "docs", "keys", "times")}
+        listed = Dictionary(SparkFiles.get(name), header).places(words)
         place, spot = np.zeros(len(words), np.int64), np.zeros(len(keys), np.int64)
         for low, high in zip(ends, [*ends[1:], len(mine)], strict=True):
             at = mine[low:high]
@@ -369,10 +390,14 @@ def _blocks(shards: Shards, turn: int, turns: int, chunk: int):
             have = np.zeros(len(words), bool)
             have[ids] = True
             used = np.flatnonzero(have)
+            near = listed[used] >= 0
+            used = np.concatenate([used[near], used[~near]])
             place[used] = np.arange(len(used))
             here = np.unique(doc[at])
             spot[here] = np.arange(len(here))
-            out["words"].append(words[used].tobytes())
+            known = int(near.sum())
+            out["near"].append(_steps(listed[used[:known]]))
+            out["words"].append(words[used[known:]].tobytes())
             out["ids"].append(_narrow(place[ids], len(used)))
             out["docs"].append(_narrow(spot[doc[at]], len(here)))
             out["keys"].append(keys[here].tobytes())
@@ -409,8 +434,8 @@ def _shard_sums(name: str, header: list, unit: float):
 
     def run(blocks: pa.Table, extra: pa.Table) -> pa.Table:
         dictionary = Dictionary(SparkFiles.get(name), header)
-        given = {n: blocks[n].to_pylist() for n in ("words", "ids", "docs", "keys", "times")}
-        lists = [np.frombuffer(x, np.uint64) for x in given["words"]]
+        given = {n: blocks[n].to_pylist() for n in ("near", "words", "ids", "docs", "keys", "times")}
+        lists = [np.concatenate([dictionary.words[_places(x)], np.frombuffer(y, np.uint64)]) for x, y in zip(given["near"], given["words"], strict=True)]
         v, w, c = (extra[n].to_numpy() for n in ("v", "w", "c"))
         kind = extra["kind"].to_numpy()
         v, w, rare, pair, context = v.view(np.uint64), w.view(np.uint64), kind == RARE, kind == PAIR, kind == CONTEXT
@@ -520,7 +545,7 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     extra = _extra(rows, far, table, shards, chunk)
     sums = []
     for turn in range(turns):
-        blocks = rows.select("key", "held_out", "text").mapInArrow(_blocks(shards, turn, turns, chunk), BLOCK)
+        blocks = rows.select("key", "held_out", "text").mapInArrow(_blocks(shards, turn, turns, chunk, name, header), BLOCK)
         theirs = extra.where(F.col("shard") % turns == turn)
         found = blocks.groupBy("shard").cogroup(theirs.groupBy("shard")).applyInArrow(_shard_sums(name, header, unit), "key long, score double, more double, gain double")
         sums.append(saved(found.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("score", "more", "gain")])))

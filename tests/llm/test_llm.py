@@ -383,6 +383,15 @@ def test_lm_sends_a_pair_to_the_shards_that_hold_it(spark, monkeypatch):
     assert 0 < len(places) < 80 and min(places.values()) > 1  # what one shard alone holds is counted there
 
 
+def test_lm_places_of_words_come_back_from_their_steps():
+    draw = np.random.default_rng(2)
+    for top, n, width in ((1 << 16, 500, 2), (1 << 20, 400, 2), (1 << 20, 3, 4), (10, 0, 2)):
+        places = np.unique(draw.integers(0, top, n)) if n != 3 else np.array([5, 6, 900_000])
+        data = lm._steps(places)
+        assert len(data) == 1 + width * len(places)
+        assert lm._places(data).tolist() == places.tolist()
+
+
 def test_elias_fano_finds_and_accesses():
     draw = np.random.default_rng(1)
     for top in (10, 5000, 10**9, 10**13):
