@@ -9,9 +9,11 @@ The tries are split by the middle word of a triple, whose shard then holds all t
 triple needs: the pairs and the triples that share this word. Shards have about ``SHARD``
 tokens, so their number grows with the input and their size does not. A word in
 more tokens than half a shard is dealt on by the word before it; its pairs are counted by
-themselves, and the counts of those that stand in several of its shards are sent to these. In ``ROUNDS`` rounds every task sends the triples of its
+themselves, and the counts of those that stand in several of its shards are sent to these. If that takes more than ``DICTIONARY``
+rows, the pairs that stand in most shards, as many as that, are in a file as frequent words are, and only the others are sent. In ``ROUNDS`` rounds every task sends the triples of its
 texts to the shards as packed blocks, so that no more than a part of them is on
-disk at once; a shard builds its trie, looks all of them up and returns a sum for each document.
+disk at once; a shard builds its trie, looks all of them up and returns a sum for each document of a block.
+Documents are numbered inside the chunk of texts that made the blocks; their keys travel once in a round, and the sums meet by chunk.
 
 A trie has levels for pairs and triples. A level holds, for every parent, its
 children's word ids in order. Two Elias-Fano sequences describe it: the
@@ -40,7 +42,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abundia.llm import common as C
@@ -158,12 +160,12 @@ def mixed(count: np.ndarray, total: np.ndarray, kinds: np.ndarray, lower: np.nda
     return np.where(total > 0, (np.maximum(count - DISCOUNT, 0.0) + DISCOUNT * kinds * lower) / known, lower)
 
 
-def shard_scores(u: np.ndarray, v: np.ndarray, w: np.ndarray, times: np.ndarray, size: int, none: int, p1: np.ndarray, hot: tuple) -> tuple[np.ndarray, np.ndarray]:
+def shard_scores(u: np.ndarray, v: np.ndarray, w: np.ndarray, times: np.ndarray, size: int, none: int, p1: np.ndarray, hot: tuple, listed=None) -> tuple[np.ndarray, np.ndarray]:
     """(log10 P(w | u, v) of the distinct triples, place of each row among them).
 
     ``times`` is 1 for rows in training, else 0; ``none`` marks a ``u`` that is not there; ``p1`` has the probability of each
     word; ``hot`` has the words that other shards hold too, tokens and distinct words after each of them in all shards, and
-    those of their pairs that other shards hold too (v, w, count).
+    those of their pairs that other shards hold too (v, w, count); ``listed`` tells which pairs are in the file of pairs, and their counts.
     """
     contexts, at = distinct(v * size + u)
     keys, place = distinct(at.astype(np.int64) * size + w)
@@ -174,9 +176,13 @@ def shard_scores(u: np.ndarray, v: np.ndarray, w: np.ndarray, times: np.ndarray,
     two = np.bincount(which, weights=three, minlength=len(pairs)).astype(np.int64)
     outside, after, kinds, hot_v, hot_w, hot_c = hot
     two[np.searchsorted(pairs, hot_v * size + hot_w)] = hot_c  # every pair that comes stands in this shard too
+    parent, child = pairs // size, pairs % size
+    if listed is not None:
+        far = np.flatnonzero(np.isin(parent, outside))
+        known, count = listed(parent[far], child[far])
+        two[far[known]] = count[known]
     mine, seen = two > 0, three > 0
     trie = Trie(size, pairs[mine], two[mine], len(contexts), keys[seen], three[seen])
-    parent, child = pairs // size, pairs % size
     total, followers = trie.context(0, parent)
     if len(outside):
         at = np.minimum(np.searchsorted(outside, parent), len(outside) - 1)
@@ -200,8 +206,18 @@ def write_file(arrays: dict[str, np.ndarray], path: str) -> list[tuple[str, str,
     return header
 
 
+def shipped(spark: SparkSession, keys: np.ndarray, counts: np.ndarray) -> tuple[str, list]:
+    """(name, header) of a file of counts by key that Spark hands to every executor, also to later ones."""
+    order = np.argsort(keys)
+    name = f"words-{uuid.uuid4().hex}.bin"
+    path = os.path.join(tempfile.mkdtemp(prefix="abundia-words-"), name)
+    header = write_file({"words": keys[order], "counts": counts[order]}, path)
+    spark.sparkContext.addFile(path)
+    return name, header
+
+
 class Dictionary:
-    """The file of word counts, mapped into memory."""
+    """A file of counts by word, or by pair of words, mapped into memory."""
 
     def __init__(self, path: str, header: list[tuple[str, str, int, int]]):
         file = np.memmap(path, np.uint8, "r")
@@ -296,6 +312,8 @@ class Shards:
 
     def __init__(self, number: int, hot: np.ndarray, parts: np.ndarray):
         self.number, self.hot, self.parts = number, hot, parts
+        #: The file of the pairs that stand in most shards, if there is one.
+        self.listed: tuple[str, list] | None = None
 
     def of(self, words: np.ndarray, first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> np.ndarray:
         """By the middle word; a word in ``hot`` also by what is before it, or by the last word where there is nothing. Triples are places in ``words``."""
@@ -323,15 +341,35 @@ class Shards:
 
 
 RARE, PAIR, CONTEXT = range(3)
-BLOCK = "shard int, near binary, words binary, ids binary, docs binary, keys binary, times binary"
+BLOCK = "shard int, chunk long, data binary"
+ANSWER = "chunk long, data binary"
+SUMS = "key long, score double, more double, gain double"
+KINDS = {1: np.uint8, 2: np.uint16, 4: np.uint32}
+
+
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as the largest needs, first bytes first; the first byte tells how many."""
+    top = int(numbers.max()) if len(numbers) else 0
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+    return bytes([width]) + numbers.astype(KINDS[width]).view(np.uint8).reshape(-1, width).T.tobytes()
 
 
-def _narrow(numbers: np.ndarray, below: int) -> bytes:
-    return numbers.astype(np.uint16 if below <= 1 << 16 else np.uint32).tobytes()
+def _wide(data: bytes) -> np.ndarray:
+    width = data[0]
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T).view(KINDS[width]).ravel()
 
 
-def _wide(data: bytes, below: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint16 if below <= 1 << 16 else np.uint32)
+def _packed(parts: list[bytes]) -> bytes:
+    """Several byte strings as one, compressed; their lengths stand before it."""
+    body = b"".join(parts)
+    return np.array([len(parts), *map(len, parts)], np.uint32).tobytes() + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    ends = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint32, n, 4), dtype=np.int64)])
+    body = pa.decompress(data[4 + 4 * n :], decompressed_size=int(ends[-1]), codec="zstd", asbytes=True)
+    return [body[low:high] for low, high in zip(ends, ends[1:], strict=False)]
 
 
 def _chunks(flush, chunk: int):
@@ -356,20 +394,19 @@ def _chunks(flush, chunk: int):
 
 
 def _steps(places: np.ndarray) -> bytes:
-    """Ascending places as the steps between them, in 2 bytes each if they fit; the first byte tells."""
-    steps = np.diff(places, prepend=0)
-    kind = np.uint16 if not len(steps) or steps.max() < 1 << 16 else np.uint32
-    return bytes([np.dtype(kind).itemsize]) + steps.astype(kind).tobytes()
+    """Ascending places as the steps between them."""
+    return _narrow(np.diff(places, prepend=0))
 
 
 def _places(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint16 if data[0] == 2 else np.uint32, offset=1), dtype=np.int64)
+    return np.cumsum(_wide(data), dtype=np.int64)
 
 
 def _blocks(shards: Shards, turn: int, turns: int, chunk: int, name: str, header: list):
     """A task function: the triples of (key, held_out, text) rows, packed for each shard of a round.
 
-    The words of a block are steps between places in the dictionary, and the fingerprints of those outside it.
+    The words of a block, first those in the middle, are steps between places in the dictionary, and the fingerprints of those outside it.
+    Its texts are steps between their places in the chunk; the first block of a chunk also has the keys of all its texts.
     """
 
     def flush(parts) -> Iterator[pa.RecordBatch]:
@@ -379,36 +416,38 @@ def _blocks(shards: Shards, turn: int, turns: int, chunk: int, name: str, header
         mine = np.flatnonzero(shard % turns == turn)
         if not len(mine):
             return
-        mine = mine[np.argsort(shard[mine].astype(np.int64) * len(words) + middle[mine])]
-        number, ends = np.unique(shard[mine], return_index=True)
-        out = {n: [] for n in ("near", "words", "ids", "docs", "keys", "times")}
+        theirs = shard[mine].astype(np.uint16 if shards.number <= 1 << 16 else np.int32)
+        mine = mine[np.argsort(theirs, kind="stable")]  # texts stay in order inside a shard
+        starts = np.flatnonzero(np.diff(shard[mine], prepend=-1))
         listed = Dictionary(SparkFiles.get(name), header).places(words)
-        place, spot = np.zeros(len(words), np.int64), np.zeros(len(keys), np.int64)
-        for low, high in zip(ends, [*ends[1:], len(mine)], strict=True):
+        place, blocks = np.zeros(len(words), np.int64), []
+        for low, high in zip(starts, [*starts[1:], len(mine)], strict=True):
             at = mine[low:high]
-            ids = np.concatenate([middle[at], first[at], last[at]])
-            have = np.zeros(len(words), bool)
-            have[ids] = True
-            used = np.flatnonzero(have)
-            near = listed[used] >= 0
-            used = np.concatenate([used[near], used[~near]])
+            inner, outer = np.zeros(len(words), bool), np.zeros(len(words), bool)
+            inner[middle[at]] = True
+            outer[first[at]] = True
+            outer[last[at]] = True
+            used, data = [], []
+            for some in (np.flatnonzero(inner), np.flatnonzero(outer & ~inner)):
+                near = listed[some] >= 0
+                used += [some[near], some[~near]]
+                data += [_steps(listed[some[near]]), words[some[~near]].tobytes()]
+            used = np.concatenate(used)
             place[used] = np.arange(len(used))
-            here = np.unique(doc[at])
-            spot[here] = np.arange(len(here))
-            known = int(near.sum())
-            out["near"].append(_steps(listed[used[:known]]))
-            out["words"].append(words[used[known:]].tobytes())
-            out["ids"].append(_narrow(place[ids], len(used)))
-            out["docs"].append(_narrow(spot[doc[at]], len(here)))
-            out["keys"].append(keys[here].tobytes())
-            out["times"].append(times[here].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), *[pa.array(c, pa.binary()) for c in out.values()]], ["shard", *out])
+            begin = np.flatnonzero(np.diff(doc[at], prepend=-1))
+            here = doc[at[begin]]
+            data += [_narrow(place[x[at]]) for x in (middle, first, last)]
+            data += [_steps(here), _narrow(np.diff(begin, append=len(at))), np.packbits(times[here]).tobytes(), b"" if low else keys.tobytes()]
+            blocks.append(_packed(data))
+        # the chunk is known by its texts, in order
+        chunk_id = C.mix(keys.view(np.uint64) + np.arange(len(keys), dtype=np.uint64) * np.uint64(C.BASE)).sum(dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(shard[mine[starts]], pa.int32()), C.longs(np.full(len(blocks), chunk_id)), pa.array(blocks, pa.binary())], ["shard", "chunk", "data"])
 
     return _chunks(flush, chunk)
 
 
 def _hot_pairs(shards: Shards, chunk: int):
-    """A task function: (v, w, shard, c), how often each pair of a word in ``hot`` is in training, for each shard it goes to."""
+    """A task function: (v, w, shards, c), how often each pair of a word in ``hot`` is in training, and the shards it goes to."""
 
     def flush(parts) -> Iterator[pa.RecordBatch]:
         tokens, doc, _, times = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -420,37 +459,48 @@ def _hot_pairs(shards: Shards, chunk: int):
         size, number = len(words), shards.number
         keys, place = distinct((middle[some].astype(np.int64) * size + last[some]) * number + shard)
         c = np.bincount(place, weights=times[doc[some]], minlength=len(keys)).astype(np.int64)
-        pair = keys // number
-        yield pa.RecordBatch.from_arrays([C.longs(words[pair // size]), C.longs(words[pair % size]), pa.array((keys % number).astype(np.int32)), pa.array(c)], ["v", "w", "shard", "c"])
+        starts = np.flatnonzero(np.diff(keys // number, prepend=-1))
+        pair, sizes = keys[starts] // number, np.diff(starts, append=len(keys))
+        homes = C.lists_of(pa.array((keys % number).astype(np.int32)), sizes)
+        yield pa.RecordBatch.from_arrays([C.longs(words[pair // size]), C.longs(words[pair % size]), homes, pa.array(np.add.reduceat(c, starts))], ["v", "w", "shards", "c"])
 
     return _chunks(flush, chunk)
 
 
-def _shard_sums(name: str, header: list, unit: float):
-    """A group function: (key, score, more, gain) of the documents of a shard from its blocks and the counts that come with it.
+def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One fingerprint for two words in order."""
+    return C.mix(C.mix(v) + w)
+
+
+def _shard_sums(shards: Shards, name: str, header: list, unit: float):
+    """A group function: (chunk, data) for each block of a shard, from the blocks and the counts that come with them.
 
-    ``more`` tokens of a document are known words outside the dictionary, and ``gain`` is their part of the base score.
+    An answer has sums for the texts of its block: the score, and for those with known words outside the dictionary in it, how many
+    (``more``) and their part of the base score (``gain``).
     """
 
     def run(blocks: pa.Table, extra: pa.Table) -> pa.Table:
+        if not len(blocks):
+            return pa.table({"chunk": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
         dictionary = Dictionary(SparkFiles.get(name), header)
-        given = {n: blocks[n].to_pylist() for n in ("near", "words", "ids", "docs", "keys", "times")}
-        lists = [np.concatenate([dictionary.words[_places(x)], np.frombuffer(y, np.uint64)]) for x, y in zip(given["near"], given["words"], strict=True)]
+        lists, places, spots, sizes, times, keys = [], [], [], [], [], []
+        for data in blocks["data"]:
+            a, b, c, d, middle, first, last, here, counts, marks, given = _unpacked(data.as_py())
+            lists.append(np.concatenate([x for near, far in ((a, b), (c, d)) for x in (dictionary.words[_places(near)], np.frombuffer(far, np.uint64))]))
+            places.append((_wide(middle), _wide(first), _wide(last)))
+            spots.append(here)
+            sizes.append(_wide(counts))
+            times.append(np.unpackbits(np.frombuffer(marks, np.uint8), count=len(sizes[-1])))
+            keys.append(given)
         v, w, c = (extra[n].to_numpy() for n in ("v", "w", "c"))
         kind = extra["kind"].to_numpy()
         v, w, rare, pair, context = v.view(np.uint64), w.view(np.uint64), kind == RARE, kind == PAIR, kind == CONTEXT
         words = np.unique(np.concatenate([*lists, v[context], np.array([NONE], np.uint64)]))
         number = lambda x: np.searchsorted(words, x)
-        triples, docs, base = [], [], 0
-        for mine, ids, doc, keys in zip(lists, given["ids"], given["docs"], given["keys"], strict=True):
-            triples.append(number(mine)[_wide(ids, len(mine))].reshape(3, -1))
-            docs.append(_wide(doc, len(keys) // 8).astype(np.int64) + base)
-            base += len(keys) // 8
-        keys = np.frombuffer(b"".join(given["keys"]), np.int64)
-        if not len(keys):
-            return pa.table({"key": pa.array([], pa.int64()), **{n: pa.array([], pa.float64()) for n in ("score", "more", "gain")}})
-        (middle, first, last), doc = np.concatenate(triples, axis=1), np.concatenate(docs)
-        times = np.frombuffer(b"".join(given["times"]), np.uint8)[doc]
+        lists = [number(x) for x in lists]
+        middle, first, last = (np.concatenate([x[p[i]] for x, p in zip(lists, places, strict=True)]) for i in range(3))
+        size = np.concatenate(sizes)
+        doc = np.repeat(np.arange(len(size)), size)
         counts = dictionary.look_up(words)[1].astype(np.float64)
         counts[number(w[rare])] = c[rare]
         far = np.zeros(len(words), bool)
@@ -458,29 +508,59 @@ def _shard_sums(name: str, header: list, unit: float):
         order = np.argsort(v[context])
         around = [x[context][order] for x in (v, c, w.view(np.int64))]
         hot = (number(around[0]), *around[1:], number(v[pair]), number(w[pair]), c[pair])
-        score, place = shard_scores(first, middle, last, times, len(words), int(number(np.uint64(NONE))), (counts + 1.0) / unit, hot)
-        each, whose = np.unique(keys, return_inverse=True)
-        owner, some = whose[doc], np.flatnonzero(far[last])
-        sums = {"score": (owner, score[place]), "more": (owner[some], None), "gain": (owner[some], np.log10(counts[last[some]] + 1.0))}
-        return pa.table({"key": pa.array(each), **{n: pa.array(np.bincount(o, x, len(each)).astype(np.float64)) for n, (o, x) in sums.items()}})
+        listed = None
+        if shards.listed and len(around[0]):
+            pairs = Dictionary(SparkFiles.get(shards.listed[0]), shards.listed[1])
+            listed = lambda a, b: pairs.look_up(_pair(words[a], words[b]))
+        score, place = shard_scores(first, middle, last, np.concatenate(times)[doc], len(words), int(number(np.uint64(NONE))), (counts + 1.0) / unit, hot, listed)
+        some = np.flatnonzero(far[last])
+        score = np.bincount(doc, score[place], len(size))
+        more = np.bincount(doc[some], minlength=len(size))
+        gain = np.bincount(doc[some], np.log10(counts[last[some]] + 1.0), len(size))
+        ends, answers = np.cumsum([len(x) for x in sizes]), []
+        for here, low, high, given in zip(spots, [0, *ends], ends, keys, strict=False):
+            some = low + np.flatnonzero(more[low:high])
+            answers.append(_packed([here, score[low:high].tobytes(), _steps(some - low), _narrow(more[some]), gain[some].tobytes(), given]))
+        return pa.table({"chunk": blocks["chunk"], "data": pa.array(answers, pa.binary())})
 
     return run
 
 
+def _chunk_sums(answers: pa.Table) -> pa.Table:
+    """(key, score, more, gain) of the texts of a chunk from the answers to its blocks."""
+    given = [_unpacked(x.as_py()) for x in answers["data"]]
+    keys = np.frombuffer(max((x[-1] for x in given), key=len), np.int64)
+    sums = np.zeros((3, len(keys)))
+    for here, score, far, more, gain, _ in given:
+        spots = _places(here)
+        sums[0, spots] += np.frombuffer(score)
+        spots = spots[_places(far)]
+        sums[1, spots] += _wide(more)
+        sums[2, spots] += np.frombuffer(gain)
+    return pa.table({"key": pa.array(keys), **{n: pa.array(x) for n, x in zip(("score", "more", "gain"), sums, strict=True)}})
+
+
 def _extra(rows: DataFrame, rare: DataFrame, table: DataFrame, shards: Shards, chunk: int) -> DataFrame:
     """(shard, kind, v, w, c): what a shard cannot count by itself.
 
     RARE: counts of the ``rare`` words (shard, w) of a shard. PAIR: count of a pair of a word in ``hot``, for those of its shards that
-    hold the pair, if they are several. CONTEXT: a word in ``hot``, for each of its shards, with the distinct words (as ``w``) and tokens that follow it.
+    hold the pair, if they are several; the pairs in most shards are in the file ``shards.listed`` instead if that is many rows. CONTEXT: a word in ``hot``, for each of its shards, with the distinct words (as ``w``) and tokens that follow it.
     """
     none = F.lit(0).cast("long")
     out = rare.distinct().join(table, "w").select("shard", F.lit(RARE).alias("kind"), none.alias("v"), "w", "c")
     if not len(shards.hot):
         return saved(out)
     homes = F.broadcast(rows.sparkSession.createDataFrame(shards.homes(), "v long, shard int"))
-    found = rows.select("key", "held_out", "text").mapInArrow(_hot_pairs(shards, chunk), "v long, w long, shard int, c long")
-    pairs = saved(found.groupBy("v", "w").agg(F.sum("c").alias("c"), F.collect_set("shard").alias("shards")).where("c > 0"))
-    shared = pairs.where("size(shards) > 1").select(F.explode("shards").alias("shard"), F.lit(PAIR), "v", "w", "c")
+    found = rows.select("key", "held_out", "text").mapInArrow(_hot_pairs(shards, chunk), "v long, w long, shards array<int>, c long")
+    pairs = saved(found.groupBy("v", "w").agg(F.sum("c").alias("c"), F.array_distinct(F.flatten(F.collect_list("shards"))).alias("shards")).where("c > 0"))
+    shared = pairs.where("size(shards) > 1")
+    if (shared.agg(F.sum(F.size("shards"))).first()[0] or 0) > DICTIONARY:
+        least = least_count(shared.select(F.size("shards").alias("c")), DICTIONARY)
+        known = shared.where(F.size("shards") >= least).select("v", "w", "c").toArrow()
+        v, w = (known[n].to_numpy().view(np.uint64) for n in ("v", "w"))
+        shards.listed = shipped(rows.sparkSession, _pair(v, w), known["c"].to_numpy())
+        shared = shared.where(F.size("shards") < least)
+    shared = shared.select(F.explode("shards").alias("shard"), F.lit(PAIR), "v", "w", "c")
     around = pairs.groupBy("v").agg(F.count("*").alias("w"), F.sum("c").alias("c")).join(homes, "v").select("shard", F.lit(CONTEXT), "v", "w", "c")
     out = saved(out.union(shared).union(around))
     C.drop_table(pairs)
@@ -497,17 +577,13 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     total, distinct = (int(x) for x in table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first())
     known = table.where(F.col("c") >= least_count(table, DICTIONARY)).toArrow()
     words, counts = known["w"].to_numpy().view(np.uint64), known["c"].to_numpy()
-    order = np.argsort(words)
-    name = f"words-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="abundia-words-"), name)
-    header = write_file({"words": words[order], "counts": counts[order]}, path)
-    spark.sparkContext.addFile(path)  # Spark hands the file to every executor, also to later ones
+    name, header = shipped(spark, words, counts)
     unit = float(total + distinct + 1)
 
     # shards are filled by the words that many triples have in the middle; START is one of them
     texts, trained = rows.agg(F.count("*"), F.coalesce(F.sum((~F.col("held_out")).cast("long")), F.lit(0))).first()
     tokens = total * texts // max(1, trained)
-    often_words, often = np.append(words[order], np.uint64(START)), np.append(counts[order], trained)
+    often_words, often = np.append(words, np.uint64(START)), np.append(counts, trained)
     hot = np.flatnonzero((often > size // 2) & (often_words != np.uint64(END)))
     hot = hot[np.argsort(often_words[hot])]
     shards = Shards(tokens // size + 1, often_words[hot], (often[hot] // (size // 2) + 1).astype(np.uint64))
@@ -547,8 +623,8 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     for turn in range(turns):
         blocks = rows.select("key", "held_out", "text").mapInArrow(_blocks(shards, turn, turns, chunk, name, header), BLOCK)
         theirs = extra.where(F.col("shard") % turns == turn)
-        found = blocks.groupBy("shard").cogroup(theirs.groupBy("shard")).applyInArrow(_shard_sums(name, header, unit), "key long, score double, more double, gain double")
-        sums.append(saved(found.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("score", "more", "gain")])))
+        found = blocks.groupBy("shard").cogroup(theirs.groupBy("shard")).applyInArrow(_shard_sums(shards, name, header, unit), ANSWER)
+        sums.append(saved(found.groupBy("chunk").applyInArrow(_chunk_sums, SUMS)))
     C.drop_table(extra)
     score = sums[0]
     for more in sums[1:]:

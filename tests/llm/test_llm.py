@@ -383,6 +383,59 @@ def test_lm_sends_a_pair_to_the_shards_that_hold_it(spark, monkeypatch):
     assert 0 < len(places) < 80 and min(places.values()) > 1  # what one shard alone holds is counted there
 
 
+def test_lm_pairs_in_most_shards_are_in_a_file(spark, monkeypatch):
+    for name, value in (("SHARD", 200), ("DICTIONARY", 40), ("CHUNK", 300)):
+        monkeypatch.setattr(lm, name, value)
+    seen, plain = [], lm._extra
+
+    def noted(rows, rare, table, shards, chunk):
+        out = plain(rows, rare, table, shards, chunk)
+        listed = lm.Dictionary(lm.SparkFiles.get(shards.listed[0]), shards.listed[1]) if shards.listed else None
+        seen.append((listed, out.where(f"kind = {lm.PAIR}").select("shard", "v", "w").collect()))
+        return out
+
+    monkeypatch.setattr(lm, "_extra", noted)
+    # 24 frequent words; each pair of them is in many shards, since many words stand before it
+    docs = [(i, f"a{i} b{i % 12} c{i % 2} d{i % 7} b{i * 5 % 12} c{i // 2 % 2} d{i % 5} " * 3) for i in range(300)]
+    assert lm.scored(frame(spark, docs)).count() == 300
+    (listed, sent), = seen
+    assert listed is not None and 0 < len(listed.words) <= 40
+    places = collections.Counter((r.v, r.w) for r in sent)
+    u64 = lambda x: np.array([x], np.int64).view(np.uint64)
+    assert not any(listed.look_up(lm._pair(u64(v), u64(w)))[0][0] for v, w in places)
+    monkeypatch.setattr(lm, "DICTIONARY", 1 << 20)
+    seen.clear()
+    lm.scored(frame(spark, docs)).count()
+    (none, every), = seen
+    before = collections.Counter((r.v, r.w) for r in every)
+    assert none is None and len(before) == len(places) + len(listed.words)
+    assert max(places.values(), default=0) < min(n for pair, n in before.items() if pair not in places)
+    assert len(sent) < len(every) / 2
+
+
+def test_lm_keys_travel_once_for_a_chunk(spark):
+    docs = frame(spark, [(i, f"w{i % 9} w{i % 4} w{i % 7} w{i % 3} " * 5) for i in range(400)]).coalesce(1)
+    rows = lm._rows(docs, 7, 2)
+    none = np.zeros(0, np.uint64)
+    name, header = lm.shipped(spark, none, none)
+    blocks = rows.select("key", "held_out", "text").mapInArrow(lm._blocks(lm.Shards(30, none, none), 0, 1, 1 << 21, name, header), lm.BLOCK).collect()
+    assert len(blocks) > 5 and len({r.chunk for r in blocks}) == 1
+    parts = [lm._unpacked(r.data) for r in blocks]
+    assert sum(len(p[-1]) for p in parts) == 8 * 400
+    assert sorted({int(x) for p in parts for x in lm._places(p[7])}) == list(range(400))
+
+
+def test_lm_numbers_and_blocks_come_back():
+    draw = np.random.default_rng(3)
+    for top, width in ((200, 1), (60_000, 2), (10**9, 4)):
+        numbers = np.append(draw.integers(0, top, 300), top)
+        data = lm._narrow(numbers)
+        assert len(data) == 1 + width * 301 and lm._wide(data).tolist() == numbers.tolist()
+    assert lm._wide(lm._narrow(np.zeros(0, np.int64))).tolist() == []
+    for parts in ([b"", b"abc", b""], [b""], [bytes(1000), draw.bytes(100)]):
+        assert lm._unpacked(lm._packed(parts)) == parts
+
+
 def test_lm_places_of_words_come_back_from_their_steps():
     draw = np.random.default_rng(2)
     for top, n, width in ((1 << 16, 500, 2), (1 << 20, 400, 2), (1 << 20, 3, 4), (10, 0, 2)):
