@@ -382,7 +382,7 @@ def _chunks(flush, chunk: int):
             times = (~batch.column(1).to_numpy(zero_copy_only=False)).astype(np.uint8)
             for low, row, tokens in _tokens(batch):
                 n = int(row[-1]) + 1 if len(row) else 0
-                parts.append((tokens, row + rows, keys[low : low + n], times[low : low + n]))
+                parts.append((tokens, (row + rows).astype(np.int32), keys[low : low + n], times[low : low + n]))
                 size, rows = size + len(tokens), rows + n
                 if size >= chunk:
                     yield from flush(parts)
@@ -411,65 +411,88 @@ def _blocks(shards: Shards, turn: int, turns: int, chunk: int, name: str, header
 
     def flush(parts) -> Iterator[pa.RecordBatch]:
         tokens, doc, keys, times = (np.concatenate(c) for c in zip(*parts, strict=True))
+        parts.clear()
         words, first, middle, last = _numbered(tokens, doc)
+        del tokens
         shard = shards.of(words, first, middle, last)
         mine = np.flatnonzero(shard % turns == turn)
         if not len(mine):
             return
         theirs = shard[mine].astype(np.uint16 if shards.number <= 1 << 16 else np.int32)
         mine = mine[np.argsort(theirs, kind="stable")]  # texts stay in order inside a shard
-        starts = np.flatnonzero(np.diff(shard[mine], prepend=-1))
+        shard, doc, triples = shard[mine], doc[mine], [x[mine] for x in (middle, first, last)]
+        del middle, first, last
+        starts = np.flatnonzero(np.diff(shard, prepend=-1))
         listed = Dictionary(SparkFiles.get(name), header).places(words)
-        place, blocks = np.zeros(len(words), np.int64), []
+        place, inside, blocks = np.zeros(len(words), np.int32), np.zeros(len(words), bool), []
         for low, high in zip(starts, [*starts[1:], len(mine)], strict=True):
-            at = mine[low:high]
-            inner, outer = np.zeros(len(words), bool), np.zeros(len(words), bool)
-            inner[middle[at]] = True
-            outer[first[at]] = True
-            outer[last[at]] = True
+            here = [x[low:high] for x in triples]
+            inner, outer = (x[np.diff(x, prepend=-1) > 0] for x in (np.sort(here[0]), np.sort(np.concatenate(here[1:]))))
+            inside[inner] = True
+            outer = outer[~inside[outer]]
+            inside[inner] = False
             used, data = [], []
-            for some in (np.flatnonzero(inner), np.flatnonzero(outer & ~inner)):
+            for some in (inner, outer):
                 near = listed[some] >= 0
                 used += [some[near], some[~near]]
                 data += [_steps(listed[some[near]]), words[some[~near]].tobytes()]
             used = np.concatenate(used)
             place[used] = np.arange(len(used))
-            begin = np.flatnonzero(np.diff(doc[at], prepend=-1))
-            here = doc[at[begin]]
-            data += [_narrow(place[x[at]]) for x in (middle, first, last)]
-            data += [_steps(here), _narrow(np.diff(begin, append=len(at))), np.packbits(times[here]).tobytes(), b"" if low else keys.tobytes()]
+            data += [_narrow(place[x]) for x in here]
+            begin = np.flatnonzero(np.diff(doc[low:high], prepend=-1))
+            here = doc[low + begin]
+            data += [_steps(here), _narrow(np.diff(begin, append=high - low)), np.packbits(times[here]).tobytes(), b"" if low else keys.tobytes()]
             blocks.append(_packed(data))
         # the chunk is known by its texts, in order
         chunk_id = C.mix(keys.view(np.uint64) + np.arange(len(keys), dtype=np.uint64) * np.uint64(C.BASE)).sum(dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(shard[mine[starts]], pa.int32()), C.longs(np.full(len(blocks), chunk_id)), pa.array(blocks, pa.binary())], ["shard", "chunk", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(shard[starts], pa.int32()), C.longs(np.full(len(blocks), chunk_id)), pa.array(blocks, pa.binary())], ["shard", "chunk", "data"])
 
     return _chunks(flush, chunk)
 
 
+def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One fingerprint for two words in order."""
+    return C.mix(C.mix(v) + w)
+
+
 def _hot_pairs(shards: Shards, chunk: int):
-    """A task function: (v, w, shards, c), how often each pair of a word in ``hot`` is in training, and the shards it goes to."""
+    """A task function: (v, w, shards, c), how often each pair of a word in ``hot`` is in training, and the shards it goes to; once for a task, or for ``chunk`` of them."""
 
-    def flush(parts) -> Iterator[pa.RecordBatch]:
+    def count(parts) -> Iterator[tuple[np.ndarray, ...]]:
         tokens, doc, _, times = (np.concatenate(c) for c in zip(*parts, strict=True))
+        parts.clear()
         words, first, middle, last = _numbered(tokens, doc)
         some = np.flatnonzero(np.isin(words, shards.hot)[middle])
-        if not len(some):
-            return
         shard = shards.of(words, first[some], middle[some], last[some])
         size, number = len(words), shards.number
         keys, place = distinct((middle[some].astype(np.int64) * size + last[some]) * number + shard)
         c = np.bincount(place, weights=times[doc[some]], minlength=len(keys)).astype(np.int64)
-        starts = np.flatnonzero(np.diff(keys // number, prepend=-1))
-        pair, sizes = keys[starts] // number, np.diff(starts, append=len(keys))
-        homes = C.lists_of(pa.array((keys % number).astype(np.int32)), sizes)
-        yield pa.RecordBatch.from_arrays([C.longs(words[pair // size]), C.longs(words[pair % size]), homes, pa.array(np.add.reduceat(c, starts))], ["v", "w", "shards", "c"])
-
-    return _chunks(flush, chunk)
+        pair = keys // number
+        yield words[pair // size], words[pair % size], keys % number, c
+
+    def joined(held: list) -> pa.RecordBatch:
+        v, w, shard, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        kinds, place = distinct(_pair(v, w))
+        row = np.zeros(len(kinds), np.int64)
+        row[place] = np.arange(len(v))
+        keys, at = distinct(place.astype(np.int64) * shards.number + shard)
+        starts = np.flatnonzero(np.diff(keys // shards.number, prepend=-1))
+        homes = C.lists_of(pa.array((keys % shards.number).astype(np.int32)), np.diff(starts, append=len(keys)))
+        total = np.bincount(place, weights=c, minlength=len(kinds)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([C.longs(v[row]), C.longs(w[row]), homes, pa.array(total)], ["v", "w", "shards", "c"])
 
+    def run(batches):
+        held, size = [], 0
+        for part in _chunks(count, chunk)(batches):
+            held.append(part)
+            size += len(part[0])
+            if size >= chunk:
+                yield joined(held)
+                held, size = [], 0
+        if size:
+            yield joined(held)
 
-def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """One fingerprint for two words in order."""
-    return C.mix(C.mix(v) + w)
+    return run
 
 
 def _shard_sums(shards: Shards, name: str, header: list, unit: float):
@@ -495,16 +518,15 @@ def _shard_sums(shards: Shards, name: str, header: list, unit: float):
         v, w, c = (extra[n].to_numpy() for n in ("v", "w", "c"))
         kind = extra["kind"].to_numpy()
         v, w, rare, pair, context = v.view(np.uint64), w.view(np.uint64), kind == RARE, kind == PAIR, kind == CONTEXT
-        words = np.unique(np.concatenate([*lists, v[context], np.array([NONE], np.uint64)]))
+        words, at = distinct(np.concatenate([*lists, v[context], np.array([NONE], np.uint64)]))
         number = lambda x: np.searchsorted(words, x)
-        lists = [number(x) for x in lists]
+        lists = np.split(at.astype(np.int64), np.cumsum([len(x) for x in lists]))[:-1]
         middle, first, last = (np.concatenate([x[p[i]] for x, p in zip(lists, places, strict=True)]) for i in range(3))
         size = np.concatenate(sizes)
         doc = np.repeat(np.arange(len(size)), size)
         counts = dictionary.look_up(words)[1].astype(np.float64)
-        counts[number(w[rare])] = c[rare]
-        far = np.zeros(len(words), bool)
-        far[number(w[rare])] = True
+        far, some = np.zeros(len(words), bool), number(w[rare])
+        counts[some], far[some] = c[rare], True
         order = np.argsort(v[context])
         around = [x[context][order] for x in (v, c, w.view(np.int64))]
         hot = (number(around[0]), *around[1:], number(v[pair]), number(w[pair]), c[pair])
