@@ -53,8 +53,9 @@ def fold(largest: bool):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            table = pa.Table.from_batches([held, batch]) if held is not None else pa.Table.from_batches([batch])
-            table = table.combine_chunks()
+            # by name and type alone: Spark's columns may be marked as never null, the row carried over is not
+            batch = pa.RecordBatch.from_arrays(batch.columns, batch.schema.names)
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
             new = np.zeros(table.num_rows, bool)
             new[0] = True
             for name in ("part", "slice", "digest", "check", "size"):

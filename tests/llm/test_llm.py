@@ -212,6 +212,16 @@ def test_exact_dedup_edges(spark):
     assert exact_dedup.dedup(frame(spark, [])).count() == 0
 
 
+def test_exact_dedup_of_a_partition_of_several_batches(spark):
+    # 10,000 rows go to Python at once; a group of seven equal texts lies across that line
+    n = 3 * 7000
+    docs = spark.range(0, n, 1, 1).selectExpr("id AS doc_id", "concat('text ', id % 3000) AS text")
+    found = exact_dedup.groups(docs, largest=True).collect()
+    assert len(found) == n
+    assert all((r.keep_id, r.group_size, r.kept) == (n - 3000 + r.doc_id % 3000, 7, r.doc_id >= n - 3000) for r in found)
+    assert {r.doc_id for r in exact_dedup.dedup(docs).collect()} == set(range(3000))
+
+
 def test_quality_base_counts_and_verdict(spark):
     junk = [(100 + i, "BUY!! NOW!! $$$ " * 30) for i in range(5)]
     clean = [(200 + i, " ".join(f"c{(i * 7 + j) % 211}" for j in range(60))) for i in range(20)]
