@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
@@ -14,6 +15,9 @@ from pyspark.sql import types as T
 
 from abundia.sources.scratch import saved
 
+#: Rows of the table that one task grows trees on.
+ROWS_PER_TASK = 4096
+
 
 def _is_text(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.StringType)
@@ -49,18 +53,21 @@ def impute_forest(
     cells are never touched. The trees of a forest are grown by Spark over the
     whole table; only the loop over columns runs on the driver.
     """
-    missing = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns]).first().asDict()
+    *empty, rows = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)) for c in columns], F.count("*")).first()
+    missing = dict(zip(columns, empty))
     order = sorted((c for c in columns if missing[c]), key=lambda c: (missing[c], c))
     if not order:
         return df
     holes = {f"_hole_{i}": F.col(c).isNull() for i, c in enumerate(order)}
     marked = df.withColumns(holes)
-    current = saved(impute_baseline(marked, columns))
+    tasks = math.ceil(rows / ROWS_PER_TASK)
+    current = saved(_dealt(impute_baseline(marked, columns), key, tasks))
     best, last = current, None
     for _ in range(max_iter):
         filled = current
         for i, target in enumerate(order):
-            filled = saved(_refit(filled, target, f"_hole_{i}", [c for c in columns if c != target], trees, depth, seed))
+            others = [c for c in columns if c != target]
+            filled = saved(_refit(filled, key, target, f"_hole_{i}", others, trees, depth, seed, tasks))
         change = _change(current, filled, key, order)
         if last is not None and settled(change, last):
             break
@@ -73,7 +80,17 @@ def settled(change: Sequence[float | None], last: Sequence[float | None]) -> boo
     return not any(c < l for c, l in zip(change, last) if c is not None and l is not None)
 
 
-def _refit(df: DataFrame, target: str, hole: str, others: Sequence[str], trees: int, depth: int, seed: int) -> DataFrame:
+def _dealt(df: DataFrame, key: str, tasks: int) -> DataFrame:
+    """Rows dealt by key to so many tasks, in the same order each time, since trees draw rows by place.
+
+    A forest is grown by as many tasks as its table has partitions, and few files come as one.
+    """
+    return df.repartition(tasks, key).sortWithinPartitions(key) if tasks > 1 else df
+
+
+def _refit(
+    df: DataFrame, key: str, target: str, hole: str, others: Sequence[str], trees: int, depth: int, seed: int, tasks: int
+) -> DataFrame:
     """Replace the holes of one column by the predictions of a forest fitted on the rest.
 
     Text features enter as their rank by frequency, for any number of values.
@@ -85,7 +102,7 @@ def _refit(df: DataFrame, target: str, hole: str, others: Sequence[str], trees:
         df = index.transform(df).withColumn(f"_ix_{c}", F.col(f"_ix_{c}") + 0.0)
     inputs = [f"_ix_{c}" if _is_text(df, c) else c for c in others]
     stages = [VectorAssembler(inputCols=inputs, outputCol="_features")]
-    known = df.where(~F.col(hole))
+    known = _dealt(df.where(~F.col(hole)), key, tasks)
     options = dict(featuresCol="_features", predictionCol="_guess", numTrees=trees, maxDepth=depth, seed=seed, maxBins=128)
     if _is_text(df, target):
         index = StringIndexer(inputCol=target, outputCol="_label", handleInvalid="keep").fit(known)

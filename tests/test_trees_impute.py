@@ -111,3 +111,15 @@ def test_passes_end_when_no_kind_of_change_shrinks():
     assert not I.settled((0.5, 0.2), (0.4, 0.3)) and not I.settled((0.3, 0.3), (0.4, 0.2))
     assert I.settled((0.5, 0.3), (0.4, 0.3)) and I.settled((0.0, 0.0), (0.0, 0.0))
     assert I.settled((0.5, None), (0.4, None)) and not I.settled((None, 0.1), (None, 0.2))
+
+
+def test_forest_grows_on_rows_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(I, "ROWS_PER_TASK", 40)
+    rows = [(i, None if i % 7 == 0 else float(i % 10), float(i % 10) * 2) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, a double, b double").coalesce(1)
+    dealt, fit = [], I._dealt
+    monkeypatch.setattr(I, "_dealt", lambda *a: dealt.append(fit(*a)) or dealt[-1])
+    twice = [sorted(tuple(r) for r in I.impute_forest(df, "id", ["a", "b"], max_iter=1, trees=5, depth=3).collect()) for _ in range(2)]
+    assert {d.rdd.getNumPartitions() for d in dealt} == {3}
+    assert twice[0] == twice[1] and [r[0] for r in twice[0]] == list(range(100))
+    assert all(r[1] is not None and (r[0] % 7 == 0 or r[1] == r[0] % 10) for r in twice[0])
